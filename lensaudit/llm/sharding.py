@@ -35,7 +35,6 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     base = common.stage(docs.select(F.col("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), common.text_digest().alias("group")), f"{work}/rows")
 
     groups = base.groupBy("group", "size").agg(F.count(F.lit(1)).alias("n")).select("group", (F.col("n") * F.col("size")).alias("bytes"))
-    groups = common.stage(groups, f"{work}/groups")
     hist = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
     placed = fit.even(hist, shards)
     table = spark.createDataFrame(pa.table({"bytes": pa.array([p.size for p in placed], pa.int64()), "lo": pa.array([p.lo for p in placed], pa.int64()), "hi": pa.array([p.hi for p in placed], pa.int64()), "shard": pa.array([p.bin for p in placed], pa.int32())}))
@@ -44,5 +43,5 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     where = ranked.join(table, "bytes").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("group", "shard")
 
     rows = base.join(where, "group").select("doc_id", "size", "text_crc32", "shard")
-    rows = common.spread_rank(common.stage(rows, f"{work}/placed"), ["shard"], ["doc_id", "text_crc32", "size"], "slot", few_keys=True)
+    rows = common.spread_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", few_keys=True)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
