@@ -9,12 +9,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, warc
+
+    return warc.read_pages(spark, warc.write_pages(_table(spark, sf_dir, "pages"), common.work_dir(spark, "warc")))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, token_files
+
+    uri = common.work_dir(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), uri, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_tokens(spark, uri)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op10_sharding,)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_token_files, op10_sharding)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
+), f AS (
+  SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to
+FROM p LEFT JOIN f USING (d)
+""",
+}
