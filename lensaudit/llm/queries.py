@@ -41,13 +41,19 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_files, op7_decontaminate, op8_vector_search, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_token_files, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
