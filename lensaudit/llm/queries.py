@@ -21,6 +21,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, warc.write_pages(_table(spark, sf_dir, "pages"), common.work_dir(spark, "warc")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import common, token_files
 
@@ -53,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_files, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
