@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,18 @@ def read_array(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
+def batched(batches: Iterator[pa.RecordBatch], col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to about ``most`` bytes of ``col``, or one row."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, a = np.cumsum(sizes), 0
+        while a < b.num_rows:
+            done = upto[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(upto, done + most)))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -205,17 +205,6 @@ class _Items:
             yield self._kept
 
 
-def _batched(batches, col: str):
-    """Record batches cut to about BATCH_BYTES of text."""
-    for b in batches:
-        sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in b.column(col)], np.int64)
-        a = 0
-        while a < b.num_rows:
-            z = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), BATCH_BYTES)))
-            yield b.slice(a, z - a)
-            a = z
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
     """How much of each of ``docs`` (doc_id, text) lies in windows of ``benchmark`` (item_id, text).
 
@@ -230,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     def run(batches):
         automata = _Items(uris, window)
-        for b in _batched(batches, "text"):
+        for b in common.batched(batches, "text", BATCH_BYTES):
             found = scan(b.column("text").to_pylist(), automata)
             n, hit = [len(h) for h, _ in found], [int(h.sum()) for h, _ in found]
             names = [sorted(x for x in k if x is not None) for _, k in found]
@@ -263,7 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     def run(batches):
         automata = _Items(uris, window)
-        for b in _batched(batches, "text"):
+        for b in common.batched(batches, "text", BATCH_BYTES):
             texts = b.column("text").to_pylist()
             found = scan(texts, automata)
             keep = [not (h.sum() > 0 and coverage * int(h.sum()) >= len(h)) for h, _ in found]

@@ -11,31 +11,34 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: A single space that ends or starts a longer run of white space, or ends the text.
-_RUNS = re.compile(r" \s| \Z")
+#: A single space before more white space or the end of the text; or NUL. (Characters that
+#: only some libraries take for white space are in it: such texts are encoded whole.)
+_WHOLE = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z|\x00"
 #: Distinct units kept by an encoder before it starts anew: about 150 bytes each.
-CACHE_UNITS = 300_000
-BATCH_CHARS = 2_000_000
+CACHE_UNITS = 1_200_000
+BATCH_BYTES = 8_000_000
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library, each distinct unit encoded once.
 
     Byte-level BPE with the usual pre-tokenizing pattern never joins across a single
-    space that stands between other characters: a pre-token may begin with the space.
-    So a text is cut before every such space, and the units are encoded by the library
-    and kept. Texts with runs of white space after a space are encoded whole.
+    space that stands between other characters: the space starts a pre-token. So a text
+    is cut at such spaces, and units are encoded by the library and kept. New units are
+    joined again for the call; the ids that begin with a space mark where each starts.
+    Texts with longer runs of white space after a space are encoded whole.
     """
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
@@ -45,81 +48,80 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         self._most = cache_units
-        self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self._tok.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
+        self._opens = np.zeros(max(vocab.values()) + 1, bool)
+        self._opens[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True  # a space, in byte-level spelling
         self._clear()
 
     def _clear(self):
-        self._ids: dict[str, int] = {}
-        self._flat, self._lens = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), self.dtype, int(lens.sum())), lens
-
-    def batch(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self._ids: defaultdict[str, int] = defaultdict()
+        self._ids.default_factory = self._ids.__len__
+        self._flat, self._lens = np.empty(0, self.dtype), np.empty(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode units in their order; those that open a text (NUL first) have no space before them."""
+        flat, lens = [], []
+        for first, group in groupby(new, key=lambda x: x[:1] == "\0"):
+            if first:
+                got = self._encode([x[1:] for x in group])
+                flat += got
+                lens.append(np.fromiter(map(len, got), np.int64, len(got)))
+                continue
+            group = list(group)
+            for i in range(0, len(group), 5_000):
+                got = self._encode([" " + " ".join(group[i : i + 5_000])])[0]
+                at = np.flatnonzero(self._opens[got])
+                flat.append(got)
+                lens.append(np.diff(np.append(at, len(got))))
+        self._flat, self._lens = np.concatenate([self._flat, *flat]), np.concatenate([self._lens, *lens])
+        if len(self._lens) != len(self._ids):
+            raise ValueError("a unit is not encoded on its own: not a byte-level tokenizer of this pattern")
+
+    def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the number of ids of each."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
         if len(self._ids) > self._most:
             self._clear()
-        ids = self._ids
-        known, new, units, counts, whole = len(ids), [], [], [], []
-        closing = ids.get("")
-        if closing is None:
-            closing = ids[""] = len(ids)
-            new.append("")
-        for t in texts:
-            if not t:
-                u = []
-            elif _RUNS.search(t):
-                u = ["\0" + t]  # a key that no cut unit shares: only a first unit can start with NUL
-                whole.append(u[0])
-            else:
-                u = t.split(" ")
-                u[1:] = [" " + x for x in u[1:]]
-                if not u[0]:
-                    del u[0]
-                elif u[0][0] == "\0":
-                    u = ["\0" + t]
-                    whole.append(u[0])
-            for x in u:
-                k = ids.get(x)
-                if k is None:
-                    k = ids[x] = len(ids)
-                    new.append(x)
-                units.append(k)
-            units.append(closing)
-            counts.append(len(u) + 1)
-        if new:
-            flat, lens = self._encode([x[1:] if x[:1] == "\0" else x for x in new])
-            if not known:
-                flat, lens = np.concatenate([np.array([end], self.dtype), flat]), np.concatenate([[1], lens[1:]])
-            self._flat, self._lens = [np.concatenate([*self._flat, flat])], [np.concatenate([*self._lens, lens])]
-        flat, lens = self._flat[0], self._lens[0]
-        starts = np.cumsum(lens) - lens
-        at = np.array(units, np.int64)
-        n = lens[at]
+        ids, known = self._ids, len(self._ids)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        entire = pc.match_substring_regex(texts, _WHOLE)
+        whole = {i: texts[i].as_py() for i in np.flatnonzero(entire.to_numpy(zero_copy_only=False)).tolist()}
+        cut = pc.split_pattern(pc.if_else(entire, "", texts), " ")
+        opens, units = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        at = np.fromiter(map(ids.__getitem__, units.dictionary.to_pylist()), np.int64, len(units.dictionary))[units.indices.to_numpy()]
+        first = cut.values.take(pa.array(opens[:-1])).to_pylist()
+        at[opens[:-1]] = np.fromiter((ids["\0" + x] for x in first), np.int64, len(first))
+        if len(ids) > known:
+            self._learn(list(islice(ids, known, None)))
+        whole = dict(zip(whole, self._encode(list(whole.values())))) if whole else {}
+        starts = np.cumsum(self._lens) - self._lens
+        n = self._lens[at]
         pos = np.cumsum(n) - n
-        out = flat[np.arange(int(n.sum())) + np.repeat(starts[at] - pos, n)]
-        per_doc = np.add.reduceat(n, np.cumsum(counts) - counts) if counts else np.empty(0, np.int64)
-        for x in whole:  # texts encoded whole don't come again
-            ids.pop(x, None)
-        return out, per_doc
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) of at most about BATCH_CHARS characters, or one text."""
-    keys, texts, size = [], [], 0
-    for b in batches:
-        for k, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-            t = t.as_py()
-            keys.append(k)
-            texts.append(t)
-            size += len(t or "")
-            if size >= BATCH_CHARS:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+        flat = self._flat[np.arange(int(n.sum())) + np.repeat(starts[at] - pos, n)]
+        upto = np.concatenate([[0], np.cumsum(n)])[opens[1:]]
+        out, per_doc, a, close = [], [], 0, np.array([end], self.dtype)
+        for i, z in enumerate(upto.tolist()):
+            mine = whole[i] if i in whole else flat[a:z]
+            out += [mine, close]
+            per_doc.append(len(mine) + 1)
+            a = z
+        return np.concatenate(out), np.array(per_doc, np.int64)
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process: later tasks find the units of earlier ones. It
+    hangs on the library's module, as code that came by value has no module of its own."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> None:
@@ -133,13 +135,13 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) ->
 
     def write(batches):
         pid = TaskContext.get().partitionId()
-        encoder, lens, keys = Encoder(tokenizer), [np.zeros(1, np.int64)], []
+        encoder, lens, keys = _encoder(tokenizer), [np.zeros(1, np.int64)], []
 
         def ids():
-            for k, texts in _batches(batches):
-                got, n = encoder.batch(texts, end_id)
+            for b in common.batched(batches, "text", BATCH_BYTES):
+                got, n = encoder.batch(b.column("text"), end_id)
                 lens.append(n)
-                keys.extend(k)
+                keys.extend(b.column("doc_id").to_pylist())
                 yield got.tobytes()
 
         name = f"{uri}/part-{pid:06d}"
