@@ -35,6 +35,22 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, uri)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    rows = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return rows.select("doc_id", "n_lines", "removed_lines", "removed_words", F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept).alias("kept_crc32"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -59,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
