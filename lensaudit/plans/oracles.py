@@ -80,7 +80,7 @@ _METRICS = """round(100 * rate, 4) AS mean, round(sd, 4) AS per_trial_stddev, ro
   CAST(n AS BIGINT) AS question_trials, round(abstained / n, 4) AS abstention_rate, round(wrong / n, 4) AS hallucination_rate"""
 
 _WORDS = r"list_distinct(list_filter(string_split(lower(trim(regexp_replace({}, '\s+', ' ', 'g'))), ' '), lambda x: x <> ''))"
-_LINES = "ln AS (SELECT source AS page, doc_id, string_split(text, chr(10))[1] AS text FROM documents)"
+_LINES = "ln AS (SELECT source AS page, doc_id, text FROM documents)"
 _ASKS = "ak AS (SELECT 'src' || (item_id % 20) AS page, item_id AS q_id, text AS question FROM benchmark)"
 _REC = f"""
 r AS (
@@ -149,19 +149,19 @@ UNION ALL SELECT DISTINCT site_id, 0, start_url FROM p JOIN s USING (site_id) WH
     "overall_scores": f"WITH {_REC}, {_CATS} SELECT site_id, coalesce(round(100.0 * sum(points) / nullif(sum(max), 0), 1), 0.0) AS overall, coalesce(round(100.0 * sum(points) / nullif(sum(max), 0), 1), 0.0) < 60 AS fails FROM c GROUP BY site_id",
     "status_counts": f"WITH {_REC} SELECT site_id, category, " + ", ".join(f"count(*) FILTER (status = '{x}') AS n_{x}" for x in fixed.STATUSES) + " FROM r WHERE weight = 0 GROUP BY ALL",
     "top_findings": f"WITH {_REC}, o AS (SELECT site_id, check_id, weight, max(status) AS status FROM r GROUP BY ALL), w AS (SELECT o.*, row_number() OVER (PARTITION BY site_id ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, o.weight DESC, k.ord) AS rank FROM o JOIN {_CATALOG} USING (check_id) WHERE status IN ('fail', 'error', 'warn')) SELECT site_id, check_id, status, CAST(rank AS INT) AS rank FROM w WHERE rank <= 8",
-    "calibration": f"WITH {_REC}, o AS (SELECT site_id, check_id, max(status) AS status FROM r GROUP BY ALL) SELECT check_id, count(*) AS compared, count(*) FILTER (status <> 'warn') AS different, count(*) FILTER (status = 'fail' AND length(site_id) % 2 = 0) AS false_alarms, CAST(0 AS BIGINT) AS absent FROM o WHERE check_id <> 'STR-001' GROUP BY check_id",
+    "calibration": f"WITH {_REC}, o AS (SELECT site_id, check_id, max(status) AS status FROM r GROUP BY ALL) SELECT check_id, count(*) AS compared, count(*) FILTER (status <> 'warn') AS different, count(*) FILTER (status = 'fail' AND length(site_id) % 2 = 0) AS false_alarms, CAST(0 AS BIGINT) AS absent FROM o GROUP BY check_id",
     "llms_sections": f"WITH {_P}, e AS (SELECT p.site_id, rtrim(url, '/') = rtrim(start_url, '/') AS st, string_split(trim(path, '/'), '/')[1] AS seg FROM p JOIN s USING (site_id) WHERE page_id % 41 <> 40), g AS (SELECT site_id, CASE WHEN st THEN 0 WHEN seg = '' THEN 1 ELSE 2 END AS r, CASE WHEN st THEN '' ELSE seg END AS sec, count(*) AS pages FROM e GROUP BY ALL) SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY r, sec) AS INT) AS ord, pages FROM g",
     "generated_robots": f"WITH {_P} SELECT site_id, CAST({len(fixed.TRAINING_AGENTS)} AS BIGINT) AS denied, true AS allows FROM s",
     "generated_json_ld": f"WITH {_P} SELECT site_id, CASE WHEN length(site_id) % 2 = 0 THEN site_id END AS name, start_url AS url, CASE WHEN length(site_id) % 2 = 0 THEN '' ELSE 'name' END AS missing FROM s",
     "jaccard_docs_benchmark": f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), j AS (SELECT item_id, len(list_intersect(d.w, b.w)) AS n, len(d.w) + len(b.w) AS m FROM d CROSS JOIN b) SELECT item_id AS b, count(*) AS pairs, round(sum(n / (m - n)), 4) AS total, round(max(n / (m - n)), 6) AS best FROM j WHERE n > 0 GROUP BY item_id",
-    "question_dedupe": "WITH q AS (SELECT conv_id, turn, substr(text, 1, 12) AS question, trim(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9 ]', '', 'g')) AS k FROM conversations WHERE role = 'user') SELECT conv_id, turn, question FROM q WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY conv_id % 3, k ORDER BY conv_id, turn) = 1",
-    "question_filter": r"WITH q AS (SELECT doc_id, trim(substr(text, 1, 40)) AS question, trim(substr(text, 1, CAST(doc_id % 12 AS INT))) AS answer, trim(CASE WHEN doc_id % 3 = 0 THEN 'not there at all' ELSE substr(text, 20, 30) END) AS span, text FROM documents) SELECT doc_id, span <> '' AND contains(regexp_replace(lower(text), '\s+', ' ', 'g'), substr(regexp_replace(lower(span), '\s+', ' ', 'g'), 1, 80)) AS has_span FROM q WHERE length(question) >= 8 AND length(answer) >= 8 AND trim(regexp_replace(lower(question), '[^a-z0-9 ]', '', 'g')) <> ''",
+    "question_dedupe": "WITH q AS (SELECT conv_id, turn, text AS question, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS k FROM conversations WHERE role = 'user') SELECT conv_id, turn, question FROM q WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) = 1",
+    "question_filter": r"WITH q AS (SELECT doc_id, trim(text) AS question, repeat('a', CAST(doc_id % 12 AS INT)) AS answer, trim(CASE WHEN doc_id % 3 = 0 THEN 'not there at all' ELSE text END) AS span, text FROM documents) SELECT doc_id, span <> '' AND contains(regexp_replace(lower(text), '\s+', ' ', 'g'), substr(regexp_replace(lower(span), '\s+', ' ', 'g'), 1, 80)) AS has_span FROM q WHERE length(question) >= 8 AND length(answer) >= 8 AND trim(regexp_replace(lower(question), '[^a-z0-9 ]', '', 'g')) <> ''",
     "generation_budget": "SELECT doc_id, CAST(least(2000 + 50 * 90 + floor(length(text) / 4 * 3.0), 32000) AS BIGINT) AS budget, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents",
     "chunk_docs": f"WITH {_CHUNKS} SELECT doc_id, CAST(len(lens) AS BIGINT) AS chunks, CAST(list_sum(list_transform(lens, lambda x: greatest(1, x // 4))) AS BIGINT) AS tokens, CAST(list_max(lens) AS BIGINT) AS longest FROM ck",
     "prepared_docs": f"WITH {_CHUNKS} SELECT CASE WHEN len(lens) >= 3 THEN 'chunked' ELSE 'whole_page' END AS mode, count(*) AS docs, CAST(sum(CASE WHEN len(lens) >= 3 THEN len(lens) ELSE 1 END) AS BIGINT) AS chunks FROM ck GROUP BY 1",
     "lexical_top_k": f"WITH {_LINES}, {_ASKS}, w AS (SELECT q_id, doc_id, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM ak JOIN ln USING (page)), z AS (SELECT q_id, doc_id, coalesce(len(list_intersect(q, t)) / nullif(sqrt(len(q) * len(t)), 0), 0) AS score FROM w), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM z) SELECT q_id, rank, doc_id, round(score, 9) AS score FROM r WHERE rank <= 5",
     "lexical_top_k_corpus": f"WITH {_LINES}, {_ASKS}, w AS (SELECT q_id, doc_id, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM ak CROSS JOIN ln), z AS (SELECT q_id, doc_id, len(list_intersect(q, t)) / sqrt(len(q) * len(t)) AS score FROM w WHERE len(list_intersect(q, t)) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC) AS INT) AS rank FROM z) SELECT q_id, rank, round(score, 9) AS score FROM r WHERE rank <= 5",
-    "vector_top_k": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), z AS (SELECT q.vec_id AS q_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c USING (label) WHERE q.vec_id % 10 = 0) SELECT q_id, vec_id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 5",
+    "vector_top_k": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), z AS (SELECT q.vec_id AS q_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c USING (label)) SELECT q_id, vec_id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 5",
     "eval_trials": f"WITH {_TRIALS} SELECT site_id, url, trial, n, points, abstained, wrong, hits, spans, score FROM sc",
     "eval_pages": f"WITH {_TRIALS}, {_pooled('site_id, url')} SELECT site_id, url, {_METRICS}, round(hits / nullif(spans, 0), 4) AS context_recall, questions, trials FROM e",
     "eval_sites": f"WITH {_TRIALS}, {_pooled('site_id')}, cl AS (SELECT site_id, round(avg(x), 4) AS coverage_loss FROM (SELECT site_id, url, round(avg(CAST(correct = 0 AS DOUBLE)), 4) AS x FROM q GROUP BY ALL) GROUP BY site_id) SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, questions, pages, trials, coverage_loss FROM e JOIN cl USING (site_id)",
@@ -172,8 +172,8 @@ UNION ALL SELECT DISTINCT site_id, 0, start_url FROM p JOIN s USING (site_id) WH
 SELECT source, count(*) AS pages, count(*) * 150 AS answer_calls, count(*) * 150 AS judge_calls, count(*) AS embed_calls, count(*) AS generation_calls, CAST(sum(gen + ans + 30000) AS BIGINT) AS input_tokens, count(*) * 30000 AS output_tokens, CAST(sum(chunks * 200) AS BIGINT) AS embed_tokens,
   round(sum(round(ans / 1e6 * 0.15 + 18000 / 1e6 * 0.6, 6) + round(30000 / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6) + round(gen / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6)), 3) AS cost_usd,
   round(sum(round(ans / 1e6 * 0.15 + 18000 / 1e6 * 0.6, 6) + round(30000 / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6) + round(gen / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6)), 6) > 0.5 AS exceeds FROM e GROUP BY source""",
-    "price_lookup": f"WITH m AS (SELECT ['gpt-4o-mini', 'openai/gpt-4o-2024', 'glm-5.3-flashx', 'groq/llama-3.3-70b-versatile', 'unknown-1', 'text-embedding-3-small', 'nvidia/nemotron-3-embed-1b', 'CLAUDE-SONNET-4'][n_nationkey + 1] AS model FROM nation WHERE n_nationkey < 8), h AS (SELECT model, arg_min((prefix, input_rate, output_rate), ord) AS p FROM m JOIN {_PRICES} ON starts_with(lower(string_split(model, '/')[-1]), prefix) GROUP BY model) SELECT model, p[1] AS prefix, CAST(p[2] AS DOUBLE) AS input_rate, CAST(p[3] AS DOUBLE) AS output_rate, contains(lower(model), 'text-embedding') OR contains(lower(model), '-embed') AS embedding FROM m LEFT JOIN h USING (model)",
-    "parsed_answers": r"SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'quoted' ELSE regexp_replace(substr(text, 1, 20), '^\s+|\s+$', '', 'g') END AS answer, turn % 4 = 2 AS abstained, CASE turn % 4 WHEN 1 THEN '[1]' ELSE '' END AS quoted FROM conversations",
+    "price_lookup": f"WITH m AS (SELECT ['gpt-4o-mini', 'openai/gpt-4o-2024', 'glm-5.3-flashx', 'groq/llama-3.3-70b-versatile', 'unknown-1', 'text-embedding-3-small', 'nvidia/nemotron-3-embed-1b', 'CLAUDE-SONNET-4'][n_nationkey % 8 + 1] AS model FROM nation), h AS (SELECT model, arg_min((prefix, input_rate, output_rate), ord) AS p FROM (SELECT DISTINCT model FROM m) JOIN {_PRICES} ON starts_with(lower(string_split(model, '/')[-1]), prefix) GROUP BY model) SELECT model, p[1] AS prefix, CAST(p[2] AS DOUBLE) AS input_rate, CAST(p[3] AS DOUBLE) AS output_rate, contains(lower(model), 'text-embedding') OR contains(lower(model), '-embed') AS embedding FROM m LEFT JOIN h USING (model)",
+    "parsed_answers": r"SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'quoted' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS answer, turn % 4 = 2 AS abstained, CASE turn % 4 WHEN 1 THEN '[1]' ELSE '' END AS quoted FROM conversations",
     "parsed_verdicts": "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'partially_correct' WHEN 2 THEN 'incorrect' WHEN 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'abstained' ELSE 'incorrect' END ELSE 'abstained' END AS verdict FROM conversations",
     "check_acc001": _check("ACC-001", "SELECT *, length(site_id) % 5 AS m, regexp_extract(start_url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS spath FROM s", "CASE WHEN m IN (1, 3) OR m = 2 AND NOT (spath IN ('', '/') OR regexp_matches(spath, '^/.*/1')) THEN 'warn' ELSE 'pass' END"),
     "check_acc003": _check("ACC-003", "SELECT site_id, count(*) FILTER (kind IN ('waf', 'down', 'challenge')) AS bad, bool_or(kind = 'down' AND url = start_url AND ord = 0) AS st FROM l JOIN s USING (site_id) GROUP BY site_id", "CASE WHEN bad = 0 THEN 'pass' WHEN st THEN 'fail' ELSE 'warn' END", ctes=_P + ", " + _L),
@@ -200,9 +200,8 @@ ORACLE_SQL |= {
     "check_sd002": _check("SD-002", "SELECT t.site_id, count(*) AS pages, count(*) FILTER (down OR len(types) = 0) AS none, bool_or(url = start_url AND path IN ('', '/', '/index.html') AND (down OR NOT list_contains(types, 'Organization'))) AS home, count(*) FILTER (down OR len(missing) > 0) AS odd FROM (SELECT *, page_id % 41 = 40 AS down FROM t) t JOIN s USING (site_id) GROUP BY t.site_id", "CASE WHEN none = pages THEN 'fail' WHEN home THEN 'fail' WHEN odd > 0 THEN 'warn' ELSE 'pass' END", ctes=_ROLE_CTE),
 }
 
-_WORDS_SIM = "CASE kind WHEN 'same' THEN 1.0 WHEN 'half' THEN NULL ELSE 0.0 END"
 ORACLE_SQL |= {
-    "span_recall": f"""WITH {_LINES}, a AS (SELECT page, doc_id AS q_id, text AS question, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 60) ELSE '' END AS span FROM ln WHERE doc_id % 5 = 0),
+    "span_recall": f"""WITH {_LINES}, {_ASKS}, a AS (SELECT *, CASE WHEN q_id % 5 < 4 THEN question ELSE '' END AS span FROM ak),
 w AS (SELECT q_id, doc_id, span, ln.text, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM a JOIN ln USING (page)),
 r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY coalesce(len(list_intersect(q, t)) / nullif(sqrt(len(q) * len(t)), 0), 0) DESC, doc_id) <= 5),
 k AS (SELECT *, substr(trim(regexp_replace(lower(span), '\\s+', ' ', 'g')), 1, 120) AS needle, regexp_replace(lower(text), '\\s+', ' ', 'g') AS hay FROM r)

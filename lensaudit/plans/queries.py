@@ -213,7 +213,7 @@ def top_findings(spark, sf_dir):
 
 def calibration(spark, sf_dir):
     got = _recorded(spark, sf_dir).groupBy("site_id", "check_id").agg(F.max("status").alias("status"))
-    want = got.where("check_id <> 'STR-001'").select("site_id", "check_id", F.lit("warn").alias("status"), (F.length("site_id") % 2 == 0).alias("known_good"))
+    want = got.select("site_id", "check_id", F.lit("warn").alias("status"), (F.length("site_id") % 2 == 0).alias("known_good"))
     return scoring.calibration(got, want)
 
 
@@ -244,12 +244,12 @@ def jaccard_docs_benchmark(spark, sf_dir):
 
 
 def question_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 12).alias("question"))
-    return questions.dedupe(rows.withColumn("by", F.col("conv_id") % 3), ["by"], ["conv_id", "turn"]).select("conv_id", "turn", "question")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return questions.dedupe(rows.withColumn("by", F.lit(0)), ["by"], ["conv_id", "turn"]).select("conv_id", "turn", "question")
 
 
 def question_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("question"), F.expr("substring(text, 1, cast(doc_id % 12 as int))").alias("reference_answer"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'not there at all' ELSE substring(text, 20, 30) END").alias("source_span"), F.col("text").alias("ground_truth"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), F.expr("repeat('a', cast(doc_id % 12 as int))").alias("reference_answer"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'not there at all' ELSE text END").alias("source_span"), F.col("text").alias("ground_truth"))
     return questions.post_filter(rows, ["doc_id"], ["doc_id"]).select("doc_id", (F.col("source_span") != "").alias("has_span"))
 
 
@@ -268,10 +268,10 @@ def prepared_docs(spark, sf_dir):
     return rows.groupBy("mode").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("chunks"))
 
 
-def _lines(spark, sf_dir):
-    """Lines of documents as chunks of a page for each source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("page"), F.element_at(F.split("text", "\n"), 1).alias("text"))
-    return docs.select("page", F.col("doc_id").alias("chunk_idx"), F.lit("").alias("heading_path"), "text")
+def _chunked(spark, sf_dir):
+    """Documents as chunks of a page for each source."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("page"), F.col("doc_id").alias("chunk_idx"), F.lit("").alias("heading_path"), "text")
 
 
 def _asks(spark, sf_dir):
@@ -280,30 +280,30 @@ def _asks(spark, sf_dir):
 
 
 def lexical_top_k(spark, sf_dir):
-    rows = retrieval.lexical_top_k(_asks(spark, sf_dir), _lines(spark, sf_dir), ["page"])
+    rows = retrieval.lexical_top_k(_asks(spark, sf_dir), _chunked(spark, sf_dir), ["page"])
     return rows.select("q_id", "rank", F.col("chunk_idx").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 def lexical_top_k_corpus(spark, sf_dir):
-    rows = retrieval.lexical_top_k_corpus(_asks(spark, sf_dir), _lines(spark, sf_dir), ["page"])
+    rows = retrieval.lexical_top_k_corpus(_asks(spark, sf_dir), _chunked(spark, sf_dir), ["page"])
     return rows.select("q_id", "rank", F.round("score", 9).alias("score"))
 
 
 def vector_top_k(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), "vec_id", F.col("embedding").alias("vector"))
-    rows = retrieval.vector_top_k(v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "chunk_idx"), ["page"])
+    rows = retrieval.vector_top_k(v.withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "chunk_idx"), ["page"])
     return rows.select("q_id", F.col("chunk_idx").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def span_recall(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    asks = lines.where("chunk_idx % 5 = 0").select("page", F.col("chunk_idx").alias("q_id"), F.col("text").alias("question"), F.expr("CASE WHEN chunk_idx % 2 = 0 THEN substring(text, 1, 60) ELSE '' END").alias("source_span"))
+    lines = _chunked(spark, sf_dir)
+    asks = _asks(spark, sf_dir).withColumn("source_span", F.expr("CASE WHEN q_id % 5 < 4 THEN question ELSE '' END"))
     found = retrieval.lexical_top_k(asks, lines, ["page"])
     return retrieval.span_hits(asks, found, lines, ["page"]).select("q_id", "has_span", "span_hit")
 
 
 def parsed_answers(spark, sf_dir):
-    raw = F.expr("CASE turn % 4 WHEN 0 THEN concat('Answer: ', substring(text, 1, 20)) WHEN 1 THEN concat(substring(text, 1, 20), '\\nUsed: [1]') WHEN 2 THEN 'not_found' ELSE '\"quoted\"' END")
+    raw = F.expr("CASE turn % 4 WHEN 0 THEN concat('Answer: ', text) WHEN 1 THEN concat(text, '\\nUsed: [1]') WHEN 2 THEN 'not_found' ELSE '\"quoted\"' END")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", judging.parse_answer(raw).alias("a"))
     return rows.select("conv_id", "turn", "a.answer", "a.abstained", "a.quoted")
 
@@ -360,7 +360,7 @@ def cost_estimate(spark, sf_dir):
 
 def price_lookup(spark, sf_dir):
     names = ["gpt-4o-mini", "openai/gpt-4o-2024", "glm-5.3-flashx", "groq/llama-3.3-70b-versatile", "unknown-1", "text-embedding-3-small", "nvidia/nemotron-3-embed-1b", "CLAUDE-SONNET-4"]
-    models = table(spark, sf_dir, "nation").where(f"n_nationkey < {len(names)}").select(F.element_at(F.array(*map(F.lit, names)), F.col("n_nationkey").cast("int") + 1).alias("model"))
+    models = table(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") % len(names)).cast("int") + 1).alias("model"))
     return cost.price_lookup(models).withColumn("embedding", cost.is_embedding_model(F.col("model")))
 
 
