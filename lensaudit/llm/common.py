@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -49,13 +50,24 @@ def _clean() -> None:
             continue  # the folder was never written, or the store is gone with the session
 
 
-def stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at the files."""
-    w = df.write.mode("overwrite")
+def stage(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at the files. With
+    ``files``, the last step writes at most so many."""
+    w = (df.coalesce(files) if files else df).write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that are no longer read, and let Spark drop shuffles nobody refers to."""
+    for path in paths:
+        fs, p = pafs.FileSystem.from_uri(path)
+        if fs.get_file_info(p).type != pafs.FileType.NotFound:
+            fs.delete_dir(p)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -119,6 +131,17 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     return ranked.drop("_sub", "_start")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_digest(col: str = "text"):
     """128 bits of SHA-256 of the UTF-8 text; null counts as empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(col), F.lit("")).cast("binary"), 256)), 1, 16)

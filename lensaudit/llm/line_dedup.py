@@ -143,14 +143,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     extra = ("n_lines", "removed_lines", "removed_words")
     base = docs.drop(*extra)
-    runs = repeated_runs(base.select("doc_id", "text"), least).withColumnsRenamed({"did": "_did", "th": "_th", "runs": "_runs"})
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_did")) & (F.xxhash64("text") == F.col("_th"))
-    joined = base.join(runs, key, "left").drop("_did", "_th")
+    did, th, found = common.fresh(base, "_did", "_th", "_runs")
+    runs = repeated_runs(base.select("doc_id", "text"), least).withColumnsRenamed({"did": did, "th": th, "runs": found})
+    key = (F.coalesce(base["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col(did)) & (F.xxhash64(base["text"]) == F.col(th))
+    joined = base.join(runs, key, "left").drop(did, th)
 
     def run(batches):
         for b in common.batched(batches, "text", BATCH_BYTES):
             texts, n, lines, words = [], [], [], []
-            for t, r in zip(b.column("text"), b.column("_runs")):
+            for t, r in zip(b.column("text"), b.column(found)):
                 t, r = t.as_py(), r.as_py()
                 n.append(len(lines_of(t)))
                 t, removed, w = _cut(t, r) if r else (t, 0, 0)
@@ -158,7 +159,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                 lines.append(removed)
                 words.append(w)
             at = b.schema.get_field_index("text")
-            b = b.set_column(at, "text", pa.array(texts, b.schema.field(at).type)).drop_columns(["_runs"])
+            b = b.set_column(at, "text", pa.array(texts, b.schema.field(at).type)).drop_columns([found])
             for name, x in zip(extra, (n, lines, words)):
                 b = b.append_column(name, pa.array(x, pa.int64()))
             yield b

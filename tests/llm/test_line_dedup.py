@@ -71,6 +71,8 @@ def test_first_occurrence_stays_and_repeats_of_one_document_go(spark):
     df = spark.createDataFrame([(5, "own start\n" + text), (2, text + "\nown end"), (9, text), (9, text), (None, "a b")], "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in L.dedup_lines(df).collect()}
     assert got == {(5, "own start"), (2, text + "\nown end"), (9, ""), (None, "a b")}
+    clash = df.selectExpr("*", "1 AS _did", "2 AS _RUNS", "3 AS th")
+    assert L.dedup_lines(clash).columns == [*clash.columns, "n_lines", "removed_lines", "removed_words"] and L.dedup_lines(clash).count() == 5
     twice = spark.createDataFrame([(1, text + "\nbetween\n" + text)], "doc_id long, text string")
     assert L.dedup_lines(twice).collect()[0].text == text + "\nbetween"
 
