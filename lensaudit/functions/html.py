@@ -16,6 +16,8 @@ NOISE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 #: Elements that are not main content.
 CHROME = ("nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "select", "template")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+BLOCK_TAGS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|main|blockquote|br|body|html)(?:\s[^>]*)?/?>"
+ARTICLE = r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)>"
 LD_BLOCK = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 
 
@@ -115,7 +117,7 @@ def markdown(fragment: Column) -> Column:
     c = fragment
     for level in range(1, 7):
         c = F.regexp_replace(c, rf"(?i)<h{level}(?:\s[^>]*)?>", "\n" + "#" * level + " ")
-    c = F.regexp_replace(c, r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|main|blockquote|br|body|html)(?:\s[^>]*)?/?>", "\n")
+    c = F.regexp_replace(c, BLOCK_TAGS, "\n")
     c = unescape(F.regexp_replace(c, r"<[^>]*>", ""))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
     return F.trim(F.regexp_replace(c, r"^\n+|\n+$", ""))
@@ -131,7 +133,7 @@ def recall_text(html: Column) -> Column:
 
 def precision_text(html: Column) -> Column:
     """Main text, strictly: what lies in article or main."""
-    return markdown(F.regexp_extract(clean(html), r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)>", 1))
+    return markdown(F.regexp_extract(clean(html), ARTICLE, 1))
 
 
 def main_text(html: Column) -> tuple[Column, Column, Column]:

@@ -4,8 +4,11 @@ from parsing: what a tag was made to say is what the query must find."""
 from __future__ import annotations
 
 import ipaddress
+import re
 
 from .. import fixed
+from ..functions import html
+from . import simulate as sim
 
 _ROLES = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(path), '{n}')''' for n in needles)} THEN '{role}'" for role, needles in fixed.ROLE_PATHS) + " WHEN lower(path) IN ('/', '', '/index.html') THEN 'home'"
 _EXPECTED = "CASE role " + " ".join(f"WHEN '{r}' THEN [{', '.join(repr(t) for t in sorted(ts))}]" for r, ts in fixed.ROLE_TYPES.items()) + " ELSE [] END"
@@ -208,3 +211,78 @@ k AS (SELECT *, substr(trim(regexp_replace(lower(span), '\\s+', ' ', 'g')), 1, 1
 SELECT q_id, bool_or(span <> '') AS has_span, bool_or(needle <> '' AND (contains(hay, needle) OR contains(hay, array_to_string(string_split(trim(needle), ' ')[1:12], ' ')))) AS span_hit FROM k GROUP BY q_id""",
     "check_acc002": _check("ACC-002", "SELECT site_id, max(share) AS worst FROM (SELECT site_id, lens, round(count(*) FILTER (kind <> 'same') / count(*), 4) AS share FROM l WHERE ord > 0 AND page_id % 41 <> 40 GROUP BY ALL) RIGHT JOIN s USING (site_id) GROUP BY site_id", "CASE WHEN worst IS NULL THEN 'skip' WHEN worst > 0.5 THEN 'fail' WHEN worst > 0 THEN 'warn' ELSE 'pass' END", ctes=_P + ", " + _L),
 }
+
+
+# Main text in SQL: the same extraction rules, said as nested replacements.
+
+
+def _re(x: str, pattern: str, to: str = "''") -> str:
+    return f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {to}, 'g')"
+
+
+def _unescape(x: str) -> str:
+    for code, char in html.ENTITIES:
+        x = f"replace({x}, '{code}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _markdown(x: str) -> str:
+    for level in range(1, 7):
+        x = _re(x, rf"(?i)<h{level}(?:\s[^>]*)?>", f"chr(10) || '{'#' * level} '")
+    x = _re(x, html.BLOCK_TAGS, "chr(10)")
+    x = _unescape(_re(x, r"<[^>]*>"))
+    x = _re(_re(x, r"[ \t\r]+", "' '"), r" ?\n[ \n]*", "chr(10)")
+    return f"trim({_re(x, chr(94) + chr(92) + 'n+|' + chr(92) + 'n+$')})"
+
+
+def _recall(x: str) -> str:
+    x = _re(_re(f"coalesce({x}, '')", html.NOISE), r"(?is)<head\b.*?</head>")
+    for name in html.CHROME:
+        x = _re(x, rf"(?is)<{name}\b.*?</{name}>")
+    return _markdown(x)
+
+
+def _precise(x: str) -> str:
+    return _markdown(f"regexp_extract({_re(f'coalesce({x}, {chr(39) * 2})', html.NOISE)}, '{html.ARTICLE}', 1)")
+
+
+def _main(table: str, cols: str, x: str) -> str:
+    """``cols`` of ``table`` with text, mode, ratio and html_chars of ``x``."""
+    return f"""SELECT *, CASE WHEN length(rc) < 200 AND length(pr) > length(rc) THEN pr ELSE rc END AS text, CASE WHEN length(rc) < 200 AND length(pr) > length(rc) THEN 'precision' WHEN rc = '' AND pr = '' THEN 'none' ELSE 'recall' END AS mode
+FROM (SELECT {cols}, length(coalesce({x}, '')) AS html_chars, {_recall(x)} AS rc, {_precise(x)} AS pr FROM {table})"""
+
+
+_DUCK = lambda e: re.sub(r"pmod\(([^,()]+), (\d+)\)", r"((\1) % \2)", e)
+_HTML = f"CASE WHEN contains(html, '</body>') THEN replace(replace({_DUCK(sim.LANG)}, '</head>', {_DUCK(sim.HEAD)}), '</body>', {_DUCK(sim.BODY)}) ELSE replace({_DUCK(sim.LANG)}, '</head>', {_DUCK(sim.HEAD)}) || {_DUCK(sim.BODY)} END"
+_SIM = f"""{_P}, x0 AS (SELECT page_id, url, site_id, {_HTML} AS h FROM p), x AS (
+  SELECT *, CASE WHEN page_id % 41 = 40 THEN NULL ELSE h END AS shown, CASE WHEN page_id % 3 = 0 THEN replace(h, '</article>', '<p>' || repeat('Rendered words of this page. ', CAST(100 * (page_id % 4) AS INT)) || '</p></article>') END AS ren FROM x0
+), nv AS ({_main("x", "page_id, url, site_id, shown", "shown")}), rv AS ({_main("x", "page_id, url", "ren")})"""
+_LOW = "contains(lower(coalesce(shown, '')), '"
+_SHELL = "(" + " OR ".join(f"{_LOW}{n.lower().replace(chr(39), chr(39) * 2)}')" for ns in fixed.SHELL_MARKERS.values() for n in ns) + ")"
+_SIMILAR = "CASE WHEN len(a) + len(b) = 0 THEN NULL ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) END"
+
+ORACLE_SQL |= {
+    "main_text": f"WITH m AS ({_main('pages', 'page_id', 'html')}) SELECT page_id, CAST(length(text) AS BIGINT) AS chars, mode, CASE WHEN html_chars > 0 THEN round(length(text) / html_chars, 5) ELSE 0.0 END AS ratio FROM m",
+    "check_ren001": _check("REN-001", f"SELECT site_id, count(*) AS pages, bool_or(rch > 0) AS compared, count(*) FILTER (rch >= 400) AS usable, avg(round(ch / rch, 4)) FILTER (rch >= 400) AS mr, count(*) FILTER (ch < 300) AS empty, count(*) FILTER (ch < 1200) AS small, bool_or({_SHELL}) AS sh FROM (SELECT nv.site_id, nv.shown, length(nv.text) AS ch, CASE WHEN nv.page_id % 3 = 0 THEN length(rv.text) ELSE 0 END AS rch FROM nv JOIN rv USING (page_id)) GROUP BY site_id",
+        "CASE WHEN compared AND usable = 0 THEN 'skip' WHEN compared AND mr >= 0.8 THEN 'pass' WHEN compared AND mr >= 0.4 THEN 'warn' WHEN compared THEN 'fail' WHEN empty > 0 AND sh THEN 'fail' WHEN sh OR small > 0 THEN 'warn' ELSE 'pass' END",
+        "CASE WHEN compared THEN 'high' WHEN empty > 0 AND sh THEN 'high' WHEN sh THEN 'low' ELSE 'medium' END", ctes=_SIM),
+    "check_ren002": _check("REN-002", "SELECT site_id, count(*) FILTER (length(text) < 100) AS thin, count(*) FILTER (length(text) >= 100 AND length(text) < 300 OR html_chars > 20000 AND length(text) / html_chars < 0.01) AS weak FROM nv GROUP BY site_id", "CASE WHEN thin > 0 THEN 'fail' WHEN weak > 0 THEN 'warn' ELSE 'pass' END", ctes=_SIM),
+    "parity_rows": f"""WITH {_SIM}, {_L}, hv AS ({_main("(SELECT page_id, substr(h, 1, CAST(length(h) // 2 AS INT)) AS hh FROM x)", "page_id, hh", "hh")}),
+w AS (SELECT nv.page_id, nv.url, nv.shown, {_WORDS.format("nv.text")} AS a, hv.hh, {_WORDS.format("hv.text")} AS half FROM nv JOIN hv USING (page_id)),
+r AS (SELECT w.url, l.lens AS bot, l.kind, shown, a, CASE l.kind WHEN 'same' THEN a WHEN 'half' THEN half WHEN 'challenge' THEN ['wait'] ELSE CAST([] AS VARCHAR[]) END AS b, CASE l.kind WHEN 'same' THEN strlen(shown) WHEN 'half' THEN strlen(hh) WHEN 'challenge' THEN {len(sim.CHALLENGE)} ELSE 0 END AS bytes FROM w JOIN l USING (page_id) WHERE l.ord > 0 AND w.page_id % 41 <> 40),
+z AS (SELECT *, {_SIMILAR} AS similarity FROM r)
+SELECT url, bot, kind NOT IN ('waf', 'timeout') AS status_match, round(bytes / strlen(shown), 4) AS size_ratio, similarity, kind IN ('waf', 'timeout') OR coalesce(similarity < 0.9, false) OR bytes = 0 AS diverged FROM z""",
+}
+
+
+def _scored(categories: tuple[str, ...]) -> str:
+    """Rows of the scored checks of some categories."""
+    parts = (f"SELECT '{c}' AS category, * FROM ({ORACLE_SQL['check_' + i.lower().replace('-', '')]})" for i, c, _, w in fixed.CATALOG if w and c in categories)
+    return " UNION ALL ".join(parts)
+
+
+_BY_CATEGORY = "g AS (SELECT site_id, category, round(coalesce(sum(points) FILTER (status <> 'skip'), 0), 2) AS points, round(CAST(coalesce(sum(weight) FILTER (status <> 'skip'), 0) AS DOUBLE), 2) AS max FROM r GROUP BY ALL), o AS (SELECT site_id, coalesce(round(100.0 * sum(points) / nullif(sum(max), 0), 1), 0.0) AS overall FROM g GROUP BY site_id)"
+ORACLE_SQL |= {
+    "scores": f"WITH r AS ({_scored(fixed.SCORED_CATEGORIES)}), {_BY_CATEGORY} SELECT site_id, category, points, max, overall FROM g JOIN o USING (site_id)",
+    "site_reports": f"WITH r AS ({_scored(('access', 'rendering'))}), {_BY_CATEGORY} SELECT site_id, overall, '1.0.0' AS version FROM o",
+}
