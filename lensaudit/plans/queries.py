@@ -180,7 +180,7 @@ def _results(spark, sf_dir, only=()):
 
 
 def scores(spark, sf_dir):
-    cats = scoring.category_scores(_results(spark, sf_dir))
+    cats = scoring.category_scores(_results(spark, sf_dir, fixed.SCORED_CATEGORIES))
     return cats.join(scoring.overall(cats), "site_id")
 
 
