@@ -136,14 +136,17 @@ def precision_text(html: Column) -> Column:
     return markdown(F.regexp_extract(clean(html), ARTICLE, 1))
 
 
+def choose(recall: Column, precise: Column, chars: Column) -> tuple[Column, Column, Column]:
+    """(text, mode, ratio to ``chars``): recall, or the longer of both where recall finds little."""
+    longer = (F.length(recall) < fixed.RECALL_FLOOR) & (F.length(precise) > F.length(recall))
+    text = F.when(longer, precise).otherwise(recall)
+    mode = F.when(longer, "precision").when((recall == "") & (precise == ""), "none").otherwise("recall")
+    return text, mode, F.when(chars > 0, F.round(F.length(text) / chars, 5)).otherwise(0.0)
+
+
 def main_text(html: Column) -> tuple[Column, Column, Column]:
-    """(text, mode, ratio): recall, or the longer of both where recall finds little."""
-    recall, precise = recall_text(html), precision_text(html)
-    short = F.length(recall) < fixed.RECALL_FLOOR
-    text = F.when(short & (F.length(precise) > F.length(recall)), precise).otherwise(recall)
-    mode = F.when(short & (F.length(precise) > F.length(recall)), "precision").when((recall == "") & (precise == ""), "none").otherwise("recall")
-    n = F.length(F.coalesce(html, F.lit("")))
-    return text, mode, F.when(n > 0, F.round(F.length(text) / n, 5)).otherwise(0.0)
+    """(text, mode, ratio) of a page."""
+    return choose(recall_text(html), precision_text(html), F.length(F.coalesce(html, F.lit(""))))
 
 
 def framework_markers(html: Column) -> Column:

@@ -84,9 +84,12 @@ def ok(prefix: str = "") -> Column:
 
 def page_views(fetches: DataFrame) -> DataFrame:
     """Main text and markers of every fetched body; the browser's lens is called browser-nojs."""
-    text, mode, ratio = H.main_text(F.col("body"))
     lens = F.when(F.col("lens") == "browser", "browser-nojs").otherwise(F.col("lens"))
-    rows = fetches.select("site_id", "url", "pos", lens.alias("lens"), text.alias("text"), mode.alias("extraction_mode"), ratio.alias("extraction_ratio"), F.length(F.coalesce("body", F.lit(""))).alias("html_chars"), H.framework_markers(F.col("body")).alias("framework_markers"), H.shell_markers(F.col("body")).alias("shell_markers"))
+    rows = fetches.select("site_id", "url", "pos", lens.alias("lens"), "body", H.recall_text(F.col("body")).alias("_recall"), H.framework_markers(F.col("body")).alias("framework_markers"), H.shell_markers(F.col("body")).alias("shell_markers"))
+    # each extraction is a column of its own, so that it is evaluated once; the second only where needed
+    rows = rows.withColumn("_precise", F.when(F.length("_recall") < fixed.RECALL_FLOOR, H.precision_text(F.col("body"))).otherwise(""))
+    text, mode, ratio = H.choose(F.col("_recall"), F.col("_precise"), F.length(F.coalesce("body", F.lit(""))))
+    rows = rows.select("site_id", "url", "pos", "lens", text.alias("text"), mode.alias("extraction_mode"), ratio.alias("extraction_ratio"), F.length(F.coalesce("body", F.lit(""))).alias("html_chars"), "framework_markers", "shell_markers")
     return rows.withColumn("text_chars", F.length("text"))
 
 
