@@ -28,8 +28,8 @@ SYMBOLS, CLASSES, CONTEXT, WIDTH = 256, 64, 4, 16
 HEAD = SYMBOLS - CLASSES - 1
 #: Text in one chunk: its ids, words and counts are held in memory together.
 CHUNK_BYTES = 16_000_000
-#: Positions that train the network: every STRIDE-th of all training text, in batches.
-STRIDE, BATCH, NOISE, RATE = 8, 4096, 64, 0.1
+#: Positions that train the network: every STRIDE-th of all training text (1: all), in batches.
+STRIDE, BATCH, NOISE, RATE = 1, 4096, 64, 0.1
 SCORE_BATCH = 8192
 
 

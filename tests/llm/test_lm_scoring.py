@@ -56,3 +56,12 @@ def test_without_rows_or_training_rows(spark):
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = M.score(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).collect()[0]
     assert tuple(row)[:6] == (out, True, 3, 0, 0, 0.0) and math.isfinite(row.score)
+
+
+def test_default_trains_on_every_position(spark):
+    df = spark.createDataFrame(_docs(), "doc_id long, text string").coalesce(1)
+    kept = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score, r.held_out, r.base_score) for r in rows.collect()))
+    got, whole, part = kept(M.score(df)), kept(M.score(df, stride=1)), kept(M.score(df, stride=8))
+    assert np.allclose([r[3] for r in got], [r[3] for r in whole]) and not np.allclose([r[3] for r in got], [r[3] for r in part])
+    held = [r for r in got if r[4]]
+    assert sum(r[3] for r in held) > sum(r[5] for r in held)
