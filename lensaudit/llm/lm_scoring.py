@@ -4,15 +4,19 @@ Words are counted over the whole corpus without a dictionary in one place: docum
 encoded in chunks with a dictionary of their own, chunks send (hash, count) arrays by
 ranges of the 64-bit hash, and get back the corpus counts of just their words.
 
-The model predicts one of SYMBOLS outcomes from the last CONTEXT ones: the end of a text,
-the most frequent words, and classes of the remaining words by their first two bytes. The
-probability of a word within its class is its share of the class's count, with a
-Good-Turing share for all words not seen in training. So token probabilities sum to 1
-over the known words and, for each class, one unknown word.
+The model predicts in two levels from the last CONTEXT words. The first has SYMBOLS
+outcomes: the end of a text, the most frequent words, and classes of the remaining words by
+their first two bytes. The second, within a class, has the class's members and one outcome
+for its other words. Members are all words that occur at least sqrt(tokens) / MEMBERS times
+in training, so the vocabulary grows with the corpus (as its square root at most, which
+bounds what tasks hold); they are contexts of their own too. Other words share their
+outcome by count, with a Good-Turing share for all words not seen in training. So token
+probabilities sum to 1 over the known words and, for each class, one unknown word.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -30,7 +34,9 @@ HEAD = SYMBOLS - CLASSES - 1
 CHUNK_BYTES = 16_000_000
 #: Positions that train the network: every STRIDE-th of all training text (1: all), in batches.
 STRIDE, BATCH, NOISE, RATE = 1, 4096, 64, 0.1
-SCORE_BATCH = 8192
+#: Words are members that occur sqrt(training tokens) / MEMBERS times; noise words of a class in a batch.
+MEMBERS, INNER_NOISE = 4, 4
+SCORE_BATCH, INNER_BATCH = 8192, 65536
 
 
 def held_out(col: str = "doc_id"):
@@ -110,7 +116,8 @@ def _end_hash() -> int:
 
 def add_up(parts: DataFrame) -> DataFrame:
     """Corpus counts of each bucket's words, back to every chunk that has them in the order
-    it sent; and per bucket a row with chunk -1: sums by class, the most frequent words, and the ends."""
+    it sent; and per bucket a row with chunk -1: sums by class, the most frequent words and
+    those that may be members, and the ends."""
     end = np.uint64(_end_hash())
 
     def run(t: pa.Table) -> pa.Table:
@@ -124,7 +131,9 @@ def add_up(parts: DataFrame) -> DataFrame:
         cls, is_end = k[first], words == end
         ends = int(total[is_end].sum())
         distinct, total_words = int((total > 0).sum()), np.where(is_end, 0, total)
-        top = np.lexsort((words, -total_words))[:HEAD]
+        top = np.lexsort((words, -total_words))
+        least = _least(int(total.sum()))  # not above that of the corpus
+        top = top[: max(HEAD, int((total_words >= least).sum()))]
         back = np.split(total[at].astype("<u8"), np.cumsum(n)[:-1])
         b = t["bucket"][0].as_py()
         rows = [{"chunk": x, "bucket": b, "n": len(y), "counts": (y.astype("<u4") if y.max() < 1 << 32 else y).tobytes()} for x, y in zip(t["chunk"].to_pylist(), back)]
@@ -134,20 +143,49 @@ def add_up(parts: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, n long, counts binary, distinct long, ends long, by_class array<long>, once array<long>, top_word array<long>, top_count array<long>, top_class array<long>")
 
 
+def _least(tokens: int) -> int:
+    """The count from which words are members."""
+    return max(2, -(-math.isqrt(tokens) // MEMBERS))
+
+
+def _by_row(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their values."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first].astype(np.int64), np.add.reduceat(values[order], first)
+
+
 class Network:
-    """r = sum_i c_i * e[context_i]; the score of a symbol is r . q + b."""
+    """r = sum_i c_i * e[context_i]; the score of a symbol is r . q + b, that of an outcome
+    within its class r . q2 + b2.
+
+    Words have codes: those under SYMBOLS are symbols (of a class: its words that are not
+    members), the others members, whose classes are ``member`` in ascending order.
+    ``counts`` are those of the outcomes within classes: for each class the rest, then members.
+    """
 
-    def __init__(self, noise: np.ndarray, seed: int = 7):
+    def __init__(self, noise: np.ndarray, member: np.ndarray | None = None, counts: np.ndarray | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.noise = noise
-        self.e = rng.normal(0, 0.1, (SYMBOLS, WIDTH)).astype(np.float32)
+        self.members = 0 if member is None else len(member)
+        cls = np.arange(CLASSES) if member is None else np.concatenate([np.arange(CLASSES), member])
+        counts = np.ones(len(cls)) if counts is None else counts
+        self.symbol = np.concatenate([np.arange(SYMBOLS), 1 + HEAD + cls[CLASSES:]]).astype(np.uint8)
+        self.share = counts / np.bincount(cls, counts)[cls]
+        self.order = np.argsort(cls, kind="stable")
+        self.cut = np.searchsorted(cls[self.order], np.arange(CLASSES + 1))
+        self.cum = np.cumsum(self.share[self.order])
+        self.q2 = np.zeros((len(cls), WIDTH), np.float32)
+        self.b2 = np.log(self.share).astype(np.float32)
+        self.e = rng.normal(0, 0.1, (SYMBOLS + self.members, WIDTH)).astype(np.float32)
         self.q = rng.normal(0, 0.1, (SYMBOLS, WIDTH)).astype(np.float32)
         self.c = np.ones((CONTEXT, WIDTH), np.float32)
         self.b = np.log(noise).astype(np.float32)
-        self.sums = [np.full(p.shape, 1e-2, np.float32) for p in (self.e, self.q, self.c, self.b)]
+        self.sums = [np.full(p.shape, 1e-2, np.float32) for p in self.parameters()]
 
     def parameters(self):
-        return [self.e, self.q, self.c, self.b]
+        return [self.e, self.q, self.c, self.b, self.q2, self.b2]
 
     def pack(self) -> bytes:
         return b"".join(p.astype("<f4").tobytes() for p in [*self.parameters(), *self.sums])
@@ -158,35 +196,67 @@ class Network:
         for p in [*self.parameters(), *self.sums]:
             out.append(flat[at : at + p.size].reshape(p.shape).copy())
             at += p.size
-        (self.e, self.q, self.c, self.b), self.sums = out[:4], out[4:]
+        (self.e, self.q, self.c, self.b, self.q2, self.b2), self.sums = out[:6], out[6:]
         return self
 
     def step(self, ctx: np.ndarray, word: np.ndarray, rng) -> None:
         """One batch of noise-contrastive estimation; the noise words are shared by the batch."""
-        n, eye = len(word), np.eye(SYMBOLS, dtype=np.float32)
+        n, symbol = len(word), self.symbol[word]
         noise = rng.choice(SYMBOLS, NOISE, p=self.noise)
         e = [self.e[ctx[:, i]] for i in range(CONTEXT)]
         r = sum(x * self.c[i] for i, x in enumerate(e))
         prior = np.log(NOISE * self.noise).astype(np.float32)
-        true = 1 / (1 + np.exp(-((r * self.q[word]).sum(1) + self.b[word] - prior[word])))
+        own = self.q[symbol]
+        true = 1 / (1 + np.exp(-((r * own).sum(1) + self.b[symbol] - prior[symbol])))
         false = 1 / (1 + np.exp(-(r @ self.q[noise].T + self.b[noise] - prior[noise])))
         up, down = (1 - true)[:, None], -false
-        dr = up * self.q[word] + down @ self.q[noise]
-        hot = eye[word]
-        dq, db = hot.T @ (up * r), hot.T @ up[:, 0]
+        dr = up * own + down @ self.q[noise]
+        dq, db = np.zeros_like(self.q), np.bincount(symbol, up[:, 0], SYMBOLS).astype(np.float32)
+        at, d = _by_row(symbol, up * r)
+        dq[at] = d
         np.add.at(dq, noise, down.T @ r)
         np.add.at(db, noise, down.sum(0))
-        de = sum(eye[ctx[:, i]].T @ (dr * self.c[i]) for i in range(CONTEXT))
+        inner = self._inner(word, symbol, r, dr, rng) if self.members else []
         dc = np.stack([(dr * x).sum(0) for x in e])
-        for p, s, d in zip(self.parameters(), self.sums, (de, dq, dc, db)):
-            d = d / n
-            s += d * d
-            p += RATE * d / np.sqrt(s)
+        at, de = _by_row(ctx.T.ravel(), np.concatenate([dr * c for c in self.c]))
+        full = slice(None)
+        p, s = self.parameters(), self.sums
+        # rare words take sums: means over the batch would vanish beside the start of their sums of squares
+        for k, at, d in ((0, at, de), (1, full, dq / n), (2, full, dc / n), (3, full, db / n), *inner):
+            s[k][at] += d * d
+            p[k][at] += RATE * d / np.sqrt(s[k][at])
+
+    def _inner(self, word: np.ndarray, symbol: np.ndarray, r: np.ndarray, dr: np.ndarray, rng) -> list:
+        """The same within classes, with INNER_NOISE noise words for each class; adds to ``dr``."""
+        low = np.flatnonzero(symbol > HEAD)
+        if not len(low):
+            return []
+        low = low[np.argsort(symbol[low], kind="stable")]
+        cls, out, r = symbol[low].astype(np.int64) - 1 - HEAD, word[low].astype(np.int64) - 1 - HEAD, r[low]
+        draw = np.searchsorted(self.cum, np.arange(CLASSES)[:, None] + rng.random((CLASSES, INNER_NOISE)), "right")
+        noise = self.order[np.clip(draw, self.cut[:-1, None], self.cut[1:, None] - 1)]
+        bias = self.b2 - np.log(INNER_NOISE * self.share).astype(np.float32)
+        own = self.q2[out]
+        up = 1 - 1 / (1 + np.exp(-((r * own).sum(1) + bias[out])))
+        back = up[:, None] * own
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        rows, grads, steps = [out], [up[:, None] * r], [up]
+        for m in range(INNER_NOISE):
+            at = noise[cls, m]
+            q = self.q2[at]
+            down = -1 / (1 + np.exp(-((r * q).sum(1) + bias[at])))
+            back += down[:, None] * q
+            rows.append(at[first])
+            grads.append(np.add.reduceat(down[:, None] * r, first))
+            steps.append(np.add.reduceat(down, first))
+        dr[low] += back
+        at, d = _by_row(np.concatenate(rows), np.column_stack([np.concatenate(grads), np.concatenate(steps)]))
+        return [(4, at, d[:, :WIDTH]), (5, at, d[:, WIDTH])]
 
     def log10(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of symbols, by products of whole batches."""
+        """Normalised log10 probabilities of codes, by products of whole batches."""
         tables = [self.e * self.c[i] for i in range(CONTEXT)]
-        out = np.empty(len(word))
+        out, symbol = np.empty(len(word)), self.symbol[word]
         for a in range(0, len(word), SCORE_BATCH):
             s = slice(a, a + SCORE_BATCH)
             r = tables[0][ctx[s, 0]]
@@ -195,27 +265,47 @@ class Network:
             x = r @ self.q.T
             x += self.b
             x -= x.max(1, keepdims=True)
-            got = x[np.arange(len(x)), word[s]]
+            got = x[np.arange(len(x)), symbol[s]]
             np.exp(x, out=x)
             out[s] = got - np.log(x.sum(1, dtype=np.float64))
+        for a in range(0, len(word) if self.members else 0, INNER_BATCH):
+            low = a + np.flatnonzero(symbol[a : a + INNER_BATCH] > HEAD)
+            low = low[np.argsort(symbol[low], kind="stable")]
+            r = sum(t[ctx[low, i]] for i, t in enumerate(tables))
+            place = np.searchsorted(symbol[low], 1 + HEAD + np.arange(CLASSES + 1))
+            for k in range(CLASSES):
+                at, rows = slice(place[k], place[k + 1]), self.order[self.cut[k] : self.cut[k + 1]]
+                if place[k] == place[k + 1] or len(rows) == 1:
+                    continue
+                x = r[at] @ self.q2[rows].T
+                x += self.b2[rows]
+                x -= x.max(1, keepdims=True)
+                own = word[low[at]].astype(np.int64)  # the rest is first, members of a class follow each other
+                got = x[np.arange(len(x)), np.where(own < SYMBOLS, 0, own - 1 - HEAD - rows[1] + 1)]
+                np.exp(x, out=x)
+                out[low[at]] += got - np.log(x.sum(1, dtype=np.float64))
         return out / np.log(10)
 
 
 def contexts(symbols: np.ndarray, lengths: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """The CONTEXT symbols before each position of its text, nearest first; 0 before a text."""
-    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.arange(len(symbols)) if at is None else at
-    out = np.zeros((len(at), CONTEXT), np.uint8)
+    place = np.full(len(symbols), CONTEXT, np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    for i in range(CONTEXT):
+        place[starts[lengths > i] + i] = i
+    if at is not None:
+        place = place[at]
+    out = np.zeros((len(place), CONTEXT), symbols.dtype)
     for i in range(CONTEXT):
-        ok = place[at] > i
-        out[ok, i] = symbols[at[ok] - i - 1]
+        ok = np.flatnonzero(place > i)
+        out[ok, i] = symbols[(ok if at is None else at[ok]) - (i + 1)]
     return out
 
 
 class Chunk:
-    """A chunk's files, with the corpus counts and symbols of its words."""
+    """A chunk's files, with the corpus counts and codes of its words."""
 
-    def __init__(self, uri: str, chunk: int, head: dict[int, int]):
+    def __init__(self, uri: str, chunk: int, head: np.ndarray, codes: np.ndarray):
         read = lambda ext, kind: common.read_array(f"{uri}/{chunk}.{ext}", kind)
         self.tokens, self.lengths, self.keys = read("tok", "<u4"), np.array(read("len", "<i8")), read("key", "<i8")
         self.null, self.out = np.array(read("nul", "u1"), bool), np.array(read("out", "u1"), bool)
@@ -223,12 +313,11 @@ class Chunk:
         hashes, counts = read("hsh", "<u8"), read("cnt", "u1")
         self.counts = np.empty(len(order), np.int64)
         self.counts[order] = _wide(counts.tobytes(), len(order))
-        self.symbols = (1 + HEAD + self.classes.astype(np.int64)).astype(np.uint8)
-        self.symbols[0] = 0
-        for h, symbol in head.items():
-            i = int(np.searchsorted(hashes, np.uint64(h)))
-            if i < len(hashes) and int(hashes[i]) == h:
-                self.symbols[order[i]] = symbol
+        self.codes = (1 + HEAD + self.classes.astype(np.int64)).astype(np.uint16 if codes.max(initial=0) < 1 << 16 else np.uint32)
+        self.codes[0] = 0
+        i = np.minimum(np.searchsorted(hashes, head), len(hashes) - 1)
+        ok = np.asarray(hashes)[i] == head
+        self.codes[np.asarray(order)[i[ok]]] = codes[ok]
 
 
 def score(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
@@ -251,32 +340,43 @@ def score(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     distinct, ends = got["v"] or 0, got["ends"] or 0
     by_class, once = (np.array([got[f"{k}{i}"] or 0 for i in range(CLASSES)], np.int64) for k in ("by_class", "once"))
     n_train = int(by_class.sum()) + ends
-    top = sums.select(F.explode(F.arrays_zip("top_word", "top_count", "top_class")).alias("t")).select("t.*").where("top_count > 0").orderBy(F.desc("top_count"), "top_word").limit(HEAD).collect()
-    head = {r["top_word"] % (1 << 64): 1 + i for i, r in enumerate(top)}
-    for r in top:
+    top = sums.select(F.explode(F.arrays_zip("top_word", "top_count", "top_class")).alias("t")).select("t.*").where("top_count > 0")
+    first = top.orderBy(F.desc("top_count"), "top_word").limit(HEAD).collect()
+    least = _least(n_train)
+    found = {r["top_word"]: r for r in top.where(F.col("top_count") >= least).collect()}  # at most MEMBERS * sqrt(n_train)
+    for r in first:
+        found.pop(r["top_word"], None)
+    rest = sorted(found.values(), key=lambda r: (r["top_class"], -r["top_count"], r["top_word"]))
+    head = np.array([r["top_word"] for r in first + rest], np.int64).view(np.uint64)
+    codes = np.concatenate([1 + np.arange(len(first)), SYMBOLS + np.arange(len(rest))])
+    for r in first:
         by_class[r["top_class"]] -= r["top_count"]
         once[r["top_class"]] -= r["top_count"] == 1
-    unknown = (once + 1) / (by_class + 2)
-    noise = np.concatenate([[ends], [r["top_count"] for r in top], np.zeros(HEAD - len(top)), by_class]) + 1.0
+    noise = np.concatenate([[ends], [r["top_count"] for r in first], np.zeros(HEAD - len(first)), by_class]) + 1.0
     noise /= noise.sum()
+    member = np.array([r["top_class"] for r in rest], np.int64)
+    for r in rest:
+        by_class[r["top_class"]] -= r["top_count"]
+    unknown = (once + 1) / (by_class + 2)
+    shape = (noise, member, np.concatenate([by_class, [r["top_count"] for r in rest]]) + 1.0)
 
     _give_back(totals.where("chunk >= 0"), f"{uri}/chunks")
     chunks = parts.where("bucket = -1").select("chunk", "n")
-    trained = train(chunks, f"{uri}/chunks", head, noise, stride)
+    trained = train(chunks, f"{uri}/chunks", head, codes, shape, stride)
     floor = np.log10(n_train + distinct + 1)
 
     def run(batches):
-        network = Network(noise).unpack(trained)
+        network = Network(*shape).unpack(trained)
         for b in batches:
             for chunk in b.column("chunk").to_pylist():
-                c = Chunk(f"{uri}/chunks", chunk, head)
+                c = Chunk(f"{uri}/chunks", chunk, head, codes)
                 ids = np.asarray(c.tokens)
                 within = np.zeros(len(c.counts))
-                rest = c.symbols > HEAD
+                rest = (c.codes > HEAD) & (c.codes < SYMBOLS)
                 k = c.classes[rest]
                 seen = c.counts[rest]
                 within[rest] = np.log10(np.where(seen > 0, (1 - unknown[k]) * seen / np.maximum(by_class[k], 1), unknown[k]))
-                symbols = c.symbols[ids]
+                words = c.codes[ids]
                 starts = np.cumsum(c.lengths) - c.lengths
                 ends_ = starts + c.lengths
                 model = np.empty(len(c.lengths))
@@ -284,7 +384,7 @@ def score(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
                 while i < len(c.lengths):  # whole texts of about a million tokens, or one longer text
                     j = max(i + 1, int(np.searchsorted(ends_, starts[i] + 1_000_000)))
                     s = slice(int(starts[i]), int(ends_[j - 1]))
-                    got = network.log10(contexts(symbols[s], c.lengths[i:j]), symbols[s]) + within[ids[s]]
+                    got = network.log10(contexts(words[s], c.lengths[i:j]), words[s]) + within[ids[s]]
                     model[i:j] = np.add.reduceat(got, starts[i:j] - starts[i])
                     i = j
                 base = np.add.reduceat(np.log10(c.counts + 1.0)[ids], starts) - c.lengths * floor
@@ -310,7 +410,7 @@ def _give_back(counts: DataFrame, uri: str) -> None:
     counts.groupBy("chunk").applyInArrow(run, "chunk long, words long").agg(F.sum("words")).collect()
 
 
-def train(chunks: DataFrame, uri: str, head: dict[int, int], noise: np.ndarray, stride: int) -> bytes:
+def train(chunks: DataFrame, uri: str, head: np.ndarray, codes: np.ndarray, shape: tuple, stride: int) -> bytes:
     """The network after one pass over every ``stride``-th position of all training texts.
 
     One chunk gives a common start; from there each task goes through its chunks, and the
@@ -319,19 +419,20 @@ def train(chunks: DataFrame, uri: str, head: dict[int, int], noise: np.ndarray,
     spark = chunks.sparkSession
 
     def learn(network: Network, chunk: int) -> int:
-        c = Chunk(uri, chunk, head)
-        symbols = c.symbols[np.asarray(c.tokens)]
+        c = Chunk(uri, chunk, head, codes)
+        words = c.codes[np.asarray(c.tokens)]
         free = np.flatnonzero(np.repeat(~c.out, c.lengths))[chunk % stride :: stride]
         rng = np.random.default_rng(chunk)
-        free = rng.permutation(free)
-        ctx = contexts(symbols, c.lengths, free)
+        rng.shuffle(free)
+        ctx = contexts(words, c.lengths)
         for a in range(0, len(free), BATCH):
-            network.step(ctx[a : a + BATCH], symbols[free[a : a + BATCH]], rng)
+            at = free[a : a + BATCH]
+            network.step(ctx[at], words[at], rng)
         return len(free)
 
     def task(start: bytes | None):
         def run(batches):
-            network, seen = Network(noise), 0
+            network, seen = Network(*shape), 0
             network = network.unpack(start) if start else network
             for b in batches:
                 for chunk in b.column("chunk").to_pylist():
@@ -351,7 +452,7 @@ def train(chunks: DataFrame, uri: str, head: dict[int, int], noise: np.ndarray,
 
     kind = "seen long, net binary"
     first = chunks.orderBy("chunk").limit(1).mapInArrow(task(None), kind).collect()
-    start = first[0]["net"] if first else Network(noise).pack()
+    start = first[0]["net"] if first else Network(*shape).pack()
     nets = chunks.repartition(common.shuffle_partitions(spark)).mapInArrow(task(start), kind).where("seen > 0")
     nets = nets.repartition(16).mapInArrow(average, kind).collect()  # at most 16 rows
     if not nets:

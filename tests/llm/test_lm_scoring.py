@@ -65,3 +65,33 @@ def test_default_trains_on_every_position(spark):
     assert np.allclose([r[3] for r in got], [r[3] for r in whole]) and not np.allclose([r[3] for r in got], [r[3] for r in part])
     held = [r for r in got if r[4]]
     assert sum(r[3] for r in held) > sum(r[5] for r in held)
+
+
+def test_members_are_told_apart_by_context_and_sum_to_one():
+    """Words a and b of one class, each always after its own head word."""
+    rng = np.random.default_rng(0)
+    a, b = M.SYMBOLS, M.SYMBOLS + 1
+    word = np.where(rng.random(20000) < 0.5, 1, 2)
+    word = np.stack([word, np.where(word == 1, a, b)], 1).ravel().astype(np.uint16)
+    noise = np.full(M.SYMBOLS, 1e-6)
+    noise[[1, 2, 1 + M.HEAD + 5]] += [0.25, 0.25, 0.5]
+    net = M.Network(noise / noise.sum(), np.array([5, 5]), np.concatenate([np.ones(M.CLASSES), [10000.0, 10000.0]]))
+    ctx = M.contexts(word, np.array([len(word)]))
+    before = net.log10(ctx, word)[1::2].mean()
+    for i in range(0, len(word), 500):
+        net.step(ctx[i : i + 500], word[i : i + 500], rng)
+    assert net.log10(ctx, word)[1::2].mean() > max(before, math.log10(0.6))  # by count share alone at most 1/2
+    codes = np.arange(M.SYMBOLS + 2)
+    assert abs((10 ** net.log10(np.repeat(ctx[7:8], len(codes), 0), codes)).sum() - 1) < 1e-5
+    assert np.array_equal(M.Network(net.noise, np.array([5, 5]), seed=1).unpack(net.pack()).q2, net.q2)
+
+
+def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    """All words of a text with 400 equally frequent ones are outcomes and contexts of their own."""
+    ws = [f"{chr(97 + i % 20)}{chr(97 + i // 20)}-{i}" for i in range(400)]
+    docs = [(d, " ".join(ws[(37 * d + j) % 400] for j in range(200))) for d in range(600)]
+    seen, train = [], M.train
+    monkeypatch.setattr(M, "train", lambda *a: seen.append(len(a[2])) or train(*a))
+    rows = M.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).where("held_out").collect()
+    assert seen == [400] and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert M._least(120000) == 87 and M._least(100 * 120000) > 3 * M._least(120000)
