@@ -4,8 +4,10 @@ A window is a shortest run of whole lines, ending at some line, of at least ``le
 words. Each window selects the smallest of its line hashes; equal windows select equal
 lines, so any repeated run of ``least`` words shares a fingerprint. Positions whose
 fingerprint comes more than once are joined by the contents of the windows that selected
-them; each match with the first occurrence is extended line by line both ways, and the
-later run is deleted.
+them, and by those of each window with the lines before it that can begin a repeated run
+without a window of their own (its leads); each match with the first occurrence is
+extended line by line both ways, and the later run is deleted. So every run of ``least``
+words that stands earlier goes, whichever occurrence it is that it repeats.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from . import common
 
 LEAST_WORDS = 50
 BATCH_BYTES = 4_000_000
+#: Windows and leads of so much text are held as Python objects.
+LINES_BYTES = 500_000
 _KEY = ("did", "th")
 
 
@@ -45,6 +49,18 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int) -> dict[int,
     return out
 
 
+def leads(hashes: np.ndarray, upto: np.ndarray, i: int, j: int, least: int) -> list[int]:
+    """Hashes of contents of the runs from before line i to j, the shortest first, of which j ends
+    the first window: those with fewer than ``least`` words before line j."""
+    import xxhash
+
+    out, unsigned = [], hashes.view(np.uint64)
+    while i > 0 and upto[j] - upto[i - 1] < least:
+        i -= 1
+        out.append(xxhash.xxh3_64_intdigest(unsigned[i : j + 1].tobytes()) - (1 << 63))
+    return out
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
@@ -57,16 +73,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _lines(batches, least: int):
     import xxhash
 
-    window = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("wh", pa.int64())])
+    window = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("wh", pa.int64()), ("leads", pa.list_(pa.int64()))])
     mark = pa.struct([("fh", pa.int64()), ("wins", pa.list_(window))])
     schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("hs", pa.list_(pa.int64())), ("marks", pa.list_(mark))])
-    for b in common.batched(batches, "text", BATCH_BYTES):
+    for b in common.batched(batches, "text", LINES_BYTES):
         rows = []
         for did, th, text in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("text")):
             lines = [s for _, s in lines_of(text.as_py())]
             h = np.array([_signed(xxhash.xxh3_64_intdigest(s)) for s in lines], np.int64)
             w = np.array([len(s.split()) for s in lines], np.int64)
-            marks = [{"fh": int(h[p]), "wins": [{"i": i, "j": j, "wh": x} for i, j, x in wins]} for p, wins in fingerprints(h, w, least).items()]
+            upto = np.concatenate([[0], np.cumsum(w)])
+            marks = [{"fh": int(h[p]), "wins": [{"i": i, "j": j, "wh": x, "leads": leads(h, upto, i, j, least)} for i, j, x in wins]} for p, wins in fingerprints(h, w, least).items()]
             rows.append({"did": did, "th": th, "hs": h, "marks": marks})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -88,12 +105,13 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     spark = docs.sparkSession
     work = common.work_dir(spark, "lines")
     rows = _keyed(docs).select(*_KEY, "text")
-    kind = "did long, th long, hs array<long>, marks array<struct<fh: long, wins: array<struct<i: int, j: int, wh: long>>>>"
+    kind = "did long, th long, hs array<long>, marks array<struct<fh: long, wins: array<struct<i: int, j: int, wh: long, leads: array<long>>>>>"
     lines = common.stage(rows.mapInArrow(lambda batches: _lines(batches, least), kind), f"{work}/lines")
 
     marks = lines.select(*_KEY, F.explode("marks").alias("m")).select(*_KEY, "m.fh", "m.wins")
     often = marks.groupBy("fh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fh")
-    wins = marks.join(often, "fh").select(*_KEY, F.explode("wins").alias("w")).select(*_KEY, "w.i", "w.j", "w.wh")
+    wins = marks.join(often, "fh").select(*_KEY, F.explode("wins").alias("w")).select(*_KEY, "w.i", "w.j", F.posexplode(F.concat(F.array("w.wh"), "w.leads")).alias("more", "wh"))
+    wins = wins.withColumn("i", F.col("i") - F.col("more")).drop("more")
     # a document that comes as several rows is one document: its windows are at the same lines
     first = wins.groupBy("wh").agg(F.min(F.struct("did", "th", "i")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("wh", "o")
     met = wins.join(first, "wh").select(*_KEY, F.col("o.did").alias("odid"), F.col("o.th").alias("oth"), "i", "j", F.col("o.i").alias("oi"))

@@ -79,3 +79,23 @@ def test_first_occurrence_stays_and_repeats_of_one_document_go(spark):
 
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_lines_before_a_window_that_repeat_a_later_occurrence_go(spark):
+    """The first occurrences of the long line L stand without S, and without T, S."""
+    long, short, more = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 60), ("s", 20), ("t", 20)))
+    docs = [(1, "x\n" + long), (2, f"{short}\n{long}"), (3, f"{more}\n{short}\n{long}"), (4, f"own\n{more}\n{short}\n{long}\nend")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: short, 3: more, 4: "own\nend"}
+
+
+def test_every_run_of_an_earlier_document_goes(spark):
+    docs, least = [(k, t) for k, t in _docs(5, 80) if len(_lines(t)) < 40], 10
+    runs = {r.did: {x for g in r.runs for x in range(g.i, g.j + 1)} for r in L.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()}
+    seen = set()
+    for k, t in docs:
+        ls = _lines(t)
+        whole = [(i, j) for i in range(len(ls)) for j in range(i, len(ls)) if sum(len(x.split()) for x in ls[i : j + 1]) >= least]
+        for i, j in whole:
+            assert tuple(ls[i : j + 1]) not in seen or set(range(i, j + 1)) <= runs.get(k, set())
+        seen |= {tuple(ls[i : j + 1]) for i, j in whole}
