@@ -8,6 +8,8 @@ order of their best possible score until nothing unread can enter the first k.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,13 +21,12 @@ from . import common
 BLOCK, QUERY_BLOCK, SCAN_ROWS, CELLS = 16_384, 2_048, 256, 256
 #: Candidate blocks are dealt to at most so many groups; a group keeps k rows for a query.
 GROUPS = 32
-#: Components are held within this, so that scores fit 64 bits.
-MOST = 1 << 26
 
 
 def _vectors(batch: pa.RecordBatch, key: str, col: str, scale: float):
     """(ids, integer vectors) by dimension. Null ids and vectors, empty vectors, and
-    vectors with a null, infinite or NaN component take no part."""
+    vectors with a null, infinite or NaN component take no part. Raises where scores of a
+    dimension may not fit 64 bits."""
     ids, rows = batch.column(key), batch.column(col)
     rows = rows.cast(pa.list_(pa.float64()))
     by: dict[int, tuple[list, list]] = {}
@@ -37,7 +38,13 @@ def _vectors(batch: pa.RecordBatch, key: str, col: str, scale: float):
             got = by.setdefault(len(v), ([], []))
             got[0].append(k)
             got[1].append(v)
-    return {d: (np.array(k, np.int64), np.clip(np.floor(scale * np.stack(v)), -MOST, MOST).astype(np.int64)) for d, (k, v) in by.items()}
+    out = {}
+    for d, (k, v) in by.items():
+        x, most = np.floor(scale * np.stack(v)), math.isqrt(((1 << 63) - 1) // d)
+        if np.abs(x).max() > most:
+            raise ValueError(f"scaled components over {most} in {d} dimensions: scores may not fit 64 bits")
+        out[d] = np.array(k, np.int64), x.astype(np.int64)
+    return out
 
 
 def _put(uri: str, name: str, **arrays: np.ndarray) -> None:
@@ -129,7 +136,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     not; repeated query rows are separate queries. Rows with null ids or vectors, empty
     vectors, or null or non-finite components take no part; vectors are compared only
     within their dimension. Fewer than k rows give fewer results, none give none.
-    Scaled components are held within +-2^26. Other columns are ignored.
+    Scaled components are exact; where one is over sqrt(2^63 / dimension), so that scores may
+    not fit 64 bits, the query fails. Other columns are ignored.
     """
     spark = vectors.sparkSession
     uri = common.work_dir(spark, "va")

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from lensaudit.llm import vector_search as V
 
 
@@ -31,3 +33,12 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [2.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, V.top_k(df).collect())) == [(0, 1, 20, 8192), (20, 1, 0, 8192)]
     assert V.top_k(df.where("false")).collect() == []
+
+
+def test_large_components_are_exact_and_too_large_ones_fail(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1, 1]) * rng.uniform(1e6, 1.7e7) for _ in range(6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, V.top_k(df, k=7, every=5).collect())) == _brute(rows, 7, 5, 64.0)
+    with pytest.raises(Exception, match="64 bits"):
+        V.top_k(spark.createDataFrame([(0, [1e9] * 2)], df.schema)).collect()
