@@ -59,7 +59,7 @@ def confidence(ground_truth: Column) -> Column:
 
 def for_page(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """Questions of each page of ``pages`` (url): those that name it, or all where none does."""
-    pairs = pages.select("url").crossJoin(F.broadcast(questions.limit(10_000)))  # a facts file is written by hand
-    own = pairs.withColumn("_own", F.coalesce(F.col("page") == F.col("url"), F.lit(False)))
-    any_own = F.max("_own").over(Window.partitionBy("url"))
-    return own.withColumn("_any", any_own).where("_own or not _any").drop("_own", "_any")
+    urls = pages.select("url")
+    named = questions.select(F.col("page").alias("url")).distinct()
+    own = urls.join(questions, F.col("url") == F.col("page"))
+    return own.unionByName(urls.join(named, "url", "left_anti").crossJoin(questions))

@@ -85,3 +85,12 @@ def test_selection():
     assert catalog.select(["Access"], ["acc-003"]) == ["ACC-002", "ACC-001"] and len(catalog.select()) == 20 and sum(c[3] for c in fixed.CATALOG) == 100
     with pytest.raises(ValueError):
         catalog.select(["nothing"])
+
+
+def test_for_page_with_more_questions_than_fit_a_hand_written_file(spark):
+    from lensaudit.operators import questions as Q
+
+    rows = spark.range(12_000).selectExpr("concat('q', id) AS question", "CASE WHEN id < 11999 THEN concat('u', id % 2) ELSE 'v' END AS page")
+    pages = spark.createDataFrame([("u0",), ("v",), ("w",), (None,)], "url string")
+    got = {r.url: r["count"] for r in Q.for_page(rows, pages).groupBy("url").count().collect()}
+    assert got == {"u0": 6000, "v": 1, "w": 12_000, None: 12_000}
