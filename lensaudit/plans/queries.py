@@ -382,11 +382,13 @@ def block_stream(spark, sf_dir):
 
     base += uuid.uuid4().hex
     rows = sim.fetches(_pages(spark, sf_dir)).withColumn("fetched_at", F.expr("timestamp'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, pos)"))
-    rows.write.parquet(f"{base}/in")
+    # a row after the last window, so that the watermark passes all others
+    end = rows.agg((F.max("fetched_at") + F.expr("INTERVAL 1 MINUTE")).alias("fetched_at"))
+    rows.unionByName(end, allowMissingColumns=True).write.parquet(f"{base}/in")
     agg = incremental.block_rates(incremental.snapshots(spark, f"{base}/in"), window="10 seconds", late="5 seconds")
     q = agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(agg.schema).parquet(f"{base}/out")
+    return spark.read.schema(agg.schema).parquet(f"{base}/out").where("site_id IS NOT NULL")
 
 
 QUERIES = {

@@ -50,3 +50,14 @@ def test_entry(spark):
 
 def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_block_stream_has_all_windows(spark):
+    from pyspark.sql import functions as F
+
+    from lensaudit.plans import queries, simulate
+    from lensaudit.streaming import incremental
+
+    rows = simulate.fetches(queries._pages(spark, SF)).withColumn("fetched_at", F.expr("timestamp'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, pos)"))
+    want = sorted(map(tuple, incremental.block_rates(rows, window="10 seconds").collect()))
+    assert want and sorted(map(tuple, entry.queries()["block_stream"](spark, SF).collect())) == want
