@@ -38,8 +38,16 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in windows of the benchmark."""
-    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    """Drops documents of which a twentieth or more lies in windows of the benchmark, and cuts
+    runs of at least a whole window (13 words) out of the others; n_chars is counted again where
+    a text changed."""
+    (was,) = common.fresh(docs, "_was")
+    rows = docs.withColumn(was, F.length("text"))
+    rows = decontaminate.decontaminate(rows, _table(spark, sf_dir, "benchmark"), span=decontaminate.WINDOW)
+    if "n_chars" in docs.columns:
+        left = F.length("text")
+        rows = rows.withColumn("n_chars", F.when(left < F.col(was), left.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

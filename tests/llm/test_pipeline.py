@@ -66,3 +66,12 @@ def test_empty_documents(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_benchmark_passages_of_documents_that_stay_are_cut(spark, folder):
+    path, docs = folder
+    rows = spark.read.parquet(f"{path}/documents.parquet").where("doc_id IN (0, 221)")
+    got = {r.doc_id: r for r in corpus_pipeline.decontaminate_stage(spark, rows, path).collect()}
+    item = spark.read.parquet(f"{path}/benchmark.parquet").where("item_id = 1").collect()[0].text
+    assert item in docs[221] and got[221].text == docs[221].replace(item, "") and got[221].n_chars == len(got[221].text)
+    assert got[0].text == docs[0] and got[0].n_chars == len(docs[0])
