@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from itertools import groupby, islice
@@ -38,7 +39,8 @@ class Encoder:
     space that stands between other characters: the space starts a pre-token. So a text
     is cut at such spaces, and units are encoded by the library and kept. New units are
     joined again for the call; the ids that begin with a space mark where each starts.
-    Texts with longer runs of white space after a space are encoded whole.
+    Texts with longer runs of white space after a space are encoded whole, and so are texts
+    that hold the spelling of an added (special) token, which the library reads as that token.
     """
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
@@ -46,8 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
         self._most = cache_units
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        # a spelling with a space in it could arise between units: then every text is encoded whole
+        self._whole = "" if any(" " in t for t in added) else "|".join([_WHOLE, *map(re.escape, added)])
         vocab = self._tok.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self._opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -89,7 +93,7 @@ class Encoder:
             self._clear()
         ids, known = self._ids, len(self._ids)
         texts = texts.cast(pa.large_string()).fill_null("")
-        entire = pc.match_substring_regex(texts, _WHOLE)
+        entire = pc.match_substring_regex(texts, self._whole)
         whole = {i: texts[i].as_py() for i in np.flatnonzero(entire.to_numpy(zero_copy_only=False)).tolist()}
         cut = pc.split_pattern(pc.if_else(entire, "", texts), " ")
         opens, units = cut.offsets.to_numpy(), cut.values.dictionary_encode()
@@ -127,8 +131,11 @@ def _encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order into files under ``uri``.
 
-    Null text is empty: only the end id. Null doc_ids sort first; rows with one doc_id
-    are ordered by text. A retried task writes the same files again under the same names.
+    Texts are encoded as the library does by itself with ``add_special_tokens=False``. Null
+    and empty texts have only the end id; texts of any length are encoded whole. Null doc_ids
+    sort first; rows with one doc_id are ordered by text, and repeated rows are written each.
+    An empty table makes no documents. Other columns are ignored. A retried task writes the
+    same files again under the same names.
     """
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)

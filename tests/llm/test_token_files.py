@@ -15,9 +15,7 @@ PATH = P.path("byte_bpe_50k.json")
 def tok():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_encoder_equals_the_library_on_odd_texts(tok):
@@ -30,6 +28,14 @@ def test_encoder_equals_the_library_on_odd_texts(tok):
         assert n.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
 
 
+def test_added_tokens_are_read_as_the_library_reads_them(tok):
+    assert 50256 in tok.encode("<|endoftext|> x", add_special_tokens=False).ids
+    texts = ["<|endoftext|> x", "a <|endoftext|>", "a<|endoftext|><|endoftext|> b", "< |endoftext|>", "<|endoftext| >", "plain"]
+    flat, n = token_files.Encoder(PATH).batch(pa.array(texts), 0)
+    want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
 def test_files_read_back(spark, tok):
     rows = [(7, "The the cat, sat.\nOn it", "x"), (2, None, "y"), (5, "", None), (None, "null id", None), (11, "word " * 3000, None), (3, "ü ß 中", None), (3, "again", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
