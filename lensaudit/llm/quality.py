@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
+BATCH_BYTES = 4_000_000
 #: Labelled rows the trees are grown from: those first by a hash of the id.
 TRAIN_ROWS = 20_000
 
@@ -155,18 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from at most ``rows`` labelled documents that are not held out.
 
     Labels with a null id or quality are left out; of several labels of an id the
-    greatest holds. Features come from the text alone.
+    greatest holds, of several texts the one of the smallest hash. Features come from the
+    text alone.
     """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     good = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id")  # at most ``rows`` rows
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).join(F.broadcast(good), "doc_id")  # at most ``rows`` ids
 
     def run(batches):
-        for b in batches:
+        for b in common.batched(batches, "text", BATCH_BYTES):
             x = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_pydict({"key": b.column("doc_id"), "y": b.column("quality").cast(pa.int64()), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"key": b.column("doc_id"), "th": b.column("th"), "y": b.column("quality").cast(pa.int64()), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = sample.mapInArrow(run, "key long, y long, x array<double>").limit(2 * rows).toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
+    one = sample.mapInArrow(run, "key long, th long, y long, x array<double>").groupBy("key").agg(F.min(F.struct("th", "y", "x")).alias("r"))
+    got = one.select("key", "r.y", "r.x").toArrow().sort_by("key")
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return grow(x, (got["y"].to_numpy() > 0).astype(float))
 
@@ -181,12 +186,13 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
     Null and empty texts have all statistics 0 and get the score of such texts. A null
     doc_id is never in the labels and is not held out. Repeated rows are scored alike.
-    Without labels every score is 1/2 and predicted 1. Other columns are ignored.
+    Without labels every score is 1/2 and predicted 1. Texts of any length are read whole. An
+    empty table gives an empty result. Other columns are ignored.
     """
     model = fit(docs, labels, rows)
 
     def run(batches):
-        for b in batches:
+        for b in common.batched(batches, "text", BATCH_BYTES):
             s = _scores(b, model)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": s, "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
@@ -195,11 +201,17 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the rows whose score is below 1/2; all columns are kept."""
+    """``docs`` without the rows whose score is below 1/2; all columns are kept, whatever
+    their names.
+
+    Null, empty and very long texts, repeated rows and null ids are scored as by ``classify``,
+    so rows of one text stay or go together. A score of 1/2 stays: so does every row where
+    there are no labels to learn from. An empty table stays empty.
+    """
     model = fit(docs, labels, rows)
 
     def run(batches):
-        for b in batches:
+        for b in common.batched(batches, "text", BATCH_BYTES):
             yield b.filter(pa.array(_scores(b, model) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

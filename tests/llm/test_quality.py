@@ -38,6 +38,20 @@ def test_odd_rows_and_no_labels(spark):
     assert Q.classify(d.where("false"), spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id long, quality int")).collect() == []
 
 
+def test_repeated_ids_train_alike_in_any_order(spark):
+    docs, labels = _docs(200)
+    docs += [(k, t + " more", q) for k, t, q in docs[:80]] + docs[:50]
+    lab = spark.createDataFrame(labels + [(k, 1 - q) for k, q in labels[:40]], "doc_id long, quality int")
+    one, two = (Q.fit(spark.createDataFrame(x, "doc_id long, text string, quality int").repartition(n), lab) for x, n in ((docs, 2), (docs[::-1], 7)))
+    assert np.array_equal(one.value, two.value) and np.array_equal(one.threshold, two.threshold) and np.ptp(one.value) > 0
+
+
+def test_names_that_clash_and_long_texts(spark):
+    d = spark.createDataFrame([(1, "word " * 400_000, 0.5, "x", 3), (2, None, 0.1, "y", 4)], "doc_id long, text string, score double, th string, quality int")
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert sorted(Q.keep_good(d, lab).drop("text").collect()) == sorted(d.drop("text").collect())
+
+
 def test_flattened_trees_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, len(Q.FEATURES)))
