@@ -6,7 +6,7 @@ lines, so any repeated run of ``least`` words shares a fingerprint. Positions wh
 fingerprint comes more than once are joined by the contents of the windows that selected
 them, and by those of each window with the lines before it that can begin a repeated run
 without a window of their own (its leads); each match with the first occurrence is
-extended line by line both ways, and the later run is deleted. So every run of ``least``
+compared line by line, extended both ways, and the later run is deleted. So every run of ``least``
 words that stands earlier goes, whichever occurrence it is that it repeats.
 """
 
@@ -33,10 +33,14 @@ def lines_of(text: str | None) -> list[tuple[int, bytes]]:
     return [(i, s) for i, x in enumerate(raw.split(b"\n")) if (s := x.strip())]
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int) -> dict[int, list[tuple[int, int, int]]]:
-    """Selected line -> the windows (first, last line, hash of contents) that select it."""
+def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int, second: np.ndarray | None = None) -> dict[int, list[tuple[int, int, int]]]:
+    """Selected line -> the windows (first, last line, hash of contents) that select it.
+
+    Lines are selected by ``hashes``, contents are hashed from ``second``, independent hashes of
+    the lines: windows that are joined by contents are compared by ``hashes`` again."""
     import xxhash
 
+    second = hashes if second is None else second
     out: dict[int, list] = {}
     upto = np.concatenate([[0], np.cumsum(words)])
     unsigned = hashes.view(np.uint64)
@@ -45,7 +49,7 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int) -> dict[int,
     for i, j in zip(starts.tolist(), ends.tolist()):
         part = unsigned[i : j + 1]
         pick = j - int(part[::-1].argmin())  # the last of equal ones
-        out.setdefault(pick, []).append((i, j, xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63)))
+        out.setdefault(pick, []).append((i, j, xxhash.xxh3_64_intdigest(second[i : j + 1].tobytes()) - (1 << 63)))
     return out
 
 
@@ -81,17 +85,21 @@ def _lines(batches, least: int):
         for did, th, text in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("text")):
             lines = [s for _, s in lines_of(text.as_py())]
             h = np.array([_signed(xxhash.xxh3_64_intdigest(s)) for s in lines], np.int64)
+            second = np.array([_signed(xxhash.xxh3_64_intdigest(s, seed=1)) for s in lines], np.int64)
             w = np.array([len(s.split()) for s in lines], np.int64)
             upto = np.concatenate([[0], np.cumsum(w)])
-            marks = [{"fh": int(h[p]), "wins": [{"i": i, "j": j, "wh": x, "leads": leads(h, upto, i, j, least)} for i, j, x in wins]} for p, wins in fingerprints(h, w, least).items()]
+            marks = [{"fh": int(h[p]), "wins": [{"i": i, "j": j, "wh": x, "leads": leads(second, upto, i, j, least)} for i, j, x in wins]} for p, wins in fingerprints(h, w, least, second).items()]
             rows.append({"did": did, "th": th, "hs": h, "marks": marks})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def extend(mine: np.ndarray, first: np.ndarray, i: int, j: int, o: int, same: bool) -> tuple[int, int]:
-    """The run of ``mine`` around lines i to j that equals ``first`` around o, as far as it goes.
-    Within one document the run does not reach into the one it repeats."""
+def extend(mine: np.ndarray, first: np.ndarray, i: int, j: int, o: int, same: bool) -> tuple[int, int] | None:
+    """The run of ``mine`` around lines i to j that equals ``first`` around o, as far as it goes;
+    None if the lines themselves differ. Within one document the run does not reach into the
+    one it repeats."""
     end = o + (j - i)
+    if not np.array_equal(mine[i : j + 1], first[o : end + 1]):
+        return None
     while i > 0 and o > 0 and mine[i - 1] == first[o - 1] and not (same and i - 1 <= end):
         i, o = i - 1, o - 1
     while j + 1 < len(mine) and end + 1 < len(first) and mine[j + 1] == first[end + 1] and not (same and end + 1 >= i):
@@ -108,19 +116,22 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     kind = "did long, th long, hs array<long>, marks array<struct<fh: long, wins: array<struct<i: int, j: int, wh: long, leads: array<long>>>>>"
     lines = common.stage(rows.mapInArrow(lambda batches: _lines(batches, least), kind), f"{work}/lines")
 
+    # what hot keys are joined to is written first: a join of two plain shuffles is split by its skew
     marks = lines.select(*_KEY, F.explode("marks").alias("m")).select(*_KEY, "m.fh", "m.wins")
-    often = marks.groupBy("fh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fh")
+    often = common.stage(marks.groupBy("fh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fh"), f"{work}/often")
     wins = marks.join(often, "fh").select(*_KEY, F.explode("wins").alias("w")).select(*_KEY, "w.i", "w.j", F.posexplode(F.concat(F.array("w.wh"), "w.leads")).alias("more", "wh"))
-    wins = wins.withColumn("i", F.col("i") - F.col("more")).drop("more")
+    wins = common.stage(wins.withColumn("i", F.col("i") - F.col("more")).drop("more"), f"{work}/wins")
     # a document that comes as several rows is one document: its windows are at the same lines
-    first = wins.groupBy("wh").agg(F.min(F.struct("did", "th", "i")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("wh", "o")
-    met = wins.join(first, "wh").select(*_KEY, F.col("o.did").alias("odid"), F.col("o.th").alias("oth"), "i", "j", F.col("o.i").alias("oi"))
+    first = wins.groupBy("wh").agg(F.min(F.struct("did", "th", "i")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.stage(first.select("wh", F.col("o.did").alias("odid"), F.col("o.th").alias("oth"), F.col("o.i").alias("oi")), f"{work}/first")
+    hashes = lines.select(*_KEY, "hs")
+    heads = first.select("odid", "oth").distinct().join(hashes.toDF("odid", "oth", "ohs"), ["odid", "oth"]).dropDuplicates(["odid", "oth"])
+    heads = common.stage(heads, f"{work}/heads")
+    met = wins.join(first, "wh").select(*_KEY, "odid", "oth", "i", "j", "oi")
     same = (F.col("did") == F.col("odid")) & (F.col("th") == F.col("oth"))
     met = met.where(~same | (F.col("i") > F.col("oi") + F.col("j") - F.col("i")))
     met = met.groupBy(*_KEY, "odid", "oth").agg(F.collect_set(F.struct("i", "j", "oi")).alias("hits"))
-    hashes = lines.select(*_KEY, "hs").dropDuplicates(list(_KEY))
-    met = met.join(hashes, list(_KEY))
-    met = met.join(hashes.select(F.col("did").alias("odid"), F.col("th").alias("oth"), F.col("hs").alias("ohs")), ["odid", "oth"])
+    met = met.join(hashes, list(_KEY)).join(heads, ["odid", "oth"])
 
     def grow(batches):
         for b in batches:
@@ -128,12 +139,14 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             for did, th, odid, oth, hits, hs, ohs in zip(*(b.column(c) for c in ("did", "th", "odid", "oth", "hits", "hs", "ohs"))):
                 same_doc = did.as_py() == odid.as_py() and th.as_py() == oth.as_py()
                 mine, other = hs.values.to_numpy(), ohs.values.to_numpy()
-                out["runs"].append([dict(zip("ij", extend(mine, other, h["i"], h["j"], h["oi"], same_doc))) for h in hits.as_py()])
+                found = (extend(mine, other, h["i"], h["j"], h["oi"], same_doc) for h in hits.as_py())
+                out["runs"].append([dict(zip("ij", x)) for x in found if x])
             out["runs"] = pa.array(out["runs"], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
             yield pa.RecordBatch.from_pydict(out)
 
     runs = met.select("did", "th", "odid", "oth", "hits", "hs", "ohs").mapInArrow(grow, "did long, th long, runs array<struct<i: int, j: int>>")
-    return runs.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    runs = runs.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
+    return common.stage(runs, f"{work}/runs")
 
 
 def _cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
@@ -156,8 +169,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     equal runs the first stays: by doc_id (null first), a hash of the text, and position.
     A run that repeats within its own document stays once, and what overlaps it stays.
     Rows that agree in doc_id and text are one document and are treated alike. Texts
-    without a repeated run, null and empty texts are returned unchanged. Other columns
-    are kept; a column that is called like one of the three is replaced.
+    without a repeated run, null and empty texts are returned unchanged; texts of any
+    length are read whole. An empty table gives an empty result. Other columns are kept; a
+    column that is called like one of the three is replaced.
     """
     extra = ("n_lines", "removed_lines", "removed_words")
     base = docs.drop(*extra)
