@@ -111,6 +111,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, each: int) -> int:
+    """A number of parts for ``df``: one for each ``each`` bytes of the files it reads, but no
+    fewer than the shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # what is no file has no known size
+    return min(max(shuffle_partitions(df.sparkSession), size // each), 1 << 20)
+
+
 def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, few_keys: bool = False) -> DataFrame:
     """0-based rank of each row within ``keys``; no key is gathered in one task.
 

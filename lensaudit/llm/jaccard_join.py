@@ -31,6 +31,8 @@ from . import common
 
 SHINGLE = 5
 BATCH_BYTES = 2_000_000
+#: Bytes of input to a bucket of the index, which one task lists.
+BUCKET_BYTES = 32_000_000
 #: A block of documents reports shingles that at least so many of its sets have; those
 #: reported LEAST times or more in all are put last in the order, at most MOST_FREQUENT of
 #: them (8 bytes each).
@@ -286,10 +288,12 @@ def _lists(index: DataFrame) -> DataFrame:
     return index.groupBy("bucket").applyInArrow(run, "lh long, gid long")
 
 
-def _frequent_lists(rows: DataFrame) -> DataFrame:
-    """The same for frequent prefix shingles, whose lists may be long: joins, no task holds a list."""
-    rows = rows.distinct()
+def _frequent_lists(rows: DataFrame, work: str) -> DataFrame:
+    """The same for frequent prefix shingles, whose lists may be long: joins, no task holds a list.
+    What long lists are joined to is written first, so that the join is split by its skew."""
+    rows = common.stage(rows.distinct(), f"{work}/hot")
     least = rows.groupBy("lh").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    least = common.stage(least, f"{work}/least")
     reach = F.floor(F.lit(9) * (F.col("n") - F.col("place")) / 4) - F.col("n")
     return rows.join(least, "lh").where(reach >= F.col("least")).select("lh", "gid")
 
@@ -372,7 +376,7 @@ def verify(units: DataFrame, members: DataFrame, docs: DataFrame, work: str) ->
     """
     sizes = units.groupBy("u").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK_SETS).cast("int").alias("nb"), F.count_if(F.col("side") == 0).alias("k"), F.count_if(F.col("side") == 1).alias("m"))
     sizes = sizes.select("u", "nb", F.ceil(F.col("m") / F.when(F.col("k") == 1, STREAM_ONE).otherwise(STREAM_SETS)).cast("int").alias("ns"))
-    dealt = units.join(sizes, "u").where("nb > 0 and ns > 0")
+    dealt = units.join(common.stage(sizes.where("nb > 0 and ns > 0"), f"{work}/sizes"), "u")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.array(F.pmod(F.xxhash64("cid"), F.col(n)).cast("int"))
     held = F.col("side") == 0
@@ -466,11 +470,12 @@ def join(docs: DataFrame) -> Joined:
     work = common.work_dir(spark, "jaccard")
     rows = docs.select("doc_id", "text")
     frequent = frequent_shingles(rows)
-    sig = common.stage(signatures(rows, frequent, common.shuffle_partitions(spark)), f"{work}/sig", ["kind"])
+    buckets = common.buckets(rows, BUCKET_BYTES)
+    sig = common.stage(signatures(rows, frequent, buckets), f"{work}/sig", ["kind"])
     nodes = sig.where("kind = 0").select("did", "th", "n", "rare", "cid", "gid", F.col("tokens").alias("sketch"))
 
     hot = sig.where("kind = 2").select("gid", "n", "rare", "tokens").mapInArrow(_unpack, "lh long, gid long, n long, place long")
-    lists = _lists(sig.where("kind = 1").select("bucket", "tokens", "gids", "sizes", "places")).unionByName(_frequent_lists(hot)).distinct()
+    lists = _lists(sig.where("kind = 1").select("bucket", "tokens", "gids", "sizes", "places")).unionByName(_frequent_lists(hot, work)).distinct()
     members = nodes.where("n > 0").groupBy("cid", "gid", "n", "rare").agg(F.min(F.struct(F.coalesce("did", F.lit(-(1 << 63))).alias("did"), "th", "sketch")).alias("doc"))
     members = common.stage(members, f"{work}/members")
     several = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gid")
@@ -481,6 +486,7 @@ def join(docs: DataFrame) -> Joined:
 
     order = F.floor(100 * F.col("rare") / F.col("n"))
     pivot = cand.groupBy("lh").agg(F.min(F.struct(order.alias("o"), F.col("cid").alias("p"), F.col("n").alias("pn"))).alias("v"))
+    pivot = common.stage(pivot, f"{work}/pivot")
     near = cand.join(pivot, "lh").where("cid <> v.p and 5 * least(n, v.pn) >= 4 * greatest(n, v.pn)")
     stars = common.stage(near.select(F.col("cid").alias("a"), F.col("v.p").alias("b")).distinct(), f"{work}/stars")
     likely = common.stage(prune(stars, members), f"{work}/likely")
@@ -492,6 +498,7 @@ def join(docs: DataFrame) -> Joined:
 
     named = cand.join(roots, cand["cid"] == roots["node"], "left").select("lh", "cid", "n", F.coalesce("root", "cid").alias("comp"))
     lists = named.groupBy("lh").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("lh", "k")
+    lists = common.stage(lists, f"{work}/unsettled")
     open_ = common.stage(named.join(lists, "lh"), f"{work}/open")
     units = common.stage(_open_units(open_, failed, members), f"{work}/units")
     more = common.stage(verify(units, members, rows, f"{work}/second"), f"{work}/more")
@@ -523,7 +530,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     link when 100 * intersection >= 80 * union. Rows without words (null or empty text)
     have no shingles and link with nothing. Repeated rows and equal texts are one class.
     A null doc_id takes part, but is never the smallest; components of null ids alone
-    have a null component_id. Other columns are ignored.
+    have a null component_id. Texts of any length are read whole. An empty table gives an
+    empty result. Other columns are ignored. Equal sets are told by 64-bit hashes of them,
+    shingles by 64-bit hashes of their words.
     """
     return _with_components(join(docs)).select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
@@ -531,7 +540,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then
     the smallest hash of the text; rows that agree in both are one. Rows without words stay.
-    All columns are kept."""
+    Texts of any length are read whole. An empty table stays empty. All columns are kept."""
     found = _with_components(join(docs)).where("n > 0")
     d, h, did, th = common.fresh(docs, "_d", "_h", "_did", "_th")
     first = found.groupBy("comp").agg(F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th")).alias("f")).select(F.coalesce("f.did", F.lit(-(1 << 63))).alias(did), F.col("f.th").alias(th))
