@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-#: Words of items in one automaton: about 60 MB of states at most.
-BLOCK_WORDS = 100_000
+#: Words of items in one automaton: about 60 MB of states at most. More items are several
+#: automata, of which a worker keeps the first KEPT and builds the others for each batch.
+BLOCK_WORDS, KEPT = 100_000, 4
 BATCH_BYTES = 4_000_000
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -130,7 +131,7 @@ class Automaton:
         return [(int(a), int(z) + more) for a, z in edge.reshape(-1, 2) if z - a + more >= self.shortest]
 
     def stream(self, ids: list[int]) -> Iterator[tuple[int, int, object]]:
-        """(first, last word, items) of matches, over one stretch."""
+        """(first, last word, items) of the last window or short item of matches, over one stretch."""
         s = n = 0
         for i, c in enumerate(ids):
             while s and c not in self.nxt[s]:
@@ -139,7 +140,7 @@ class Automaton:
             s = self.nxt[s].get(c, 0)
             n = n + 1 if s else 0
             if n >= self.window:
-                yield i - n + 1, i, self._items[self._up(s)]
+                yield i - self.window + 1, i, self._items[self._up(s)]
             for t, m, k in self._chain(s):
                 if t != s or m <= n:
                     yield i - m + 1, i, {k}
@@ -163,14 +164,16 @@ def scan(texts: list[str | None], automata: Iterator[Automaton]) -> list[tuple[n
     return [(hit[a : a + n], items.get(i, set())) for i, (a, n) in enumerate(zip(start, size))]
 
 
-def _write_items(benchmark: DataFrame, uri: str) -> list[str]:
-    """Blocks of items as JSON lines in the shared folder; their URIs."""
+def _write_items(benchmark: DataFrame, uri: str) -> list[list[str]]:
+    """Items as JSON in the shared folder, in files of at most BLOCK_WORDS words or one item;
+    the URIs by block: small files, as of many partitions, make one block together."""
 
     def write(batches):
-        pid, block, size, made = TaskContext.get().partitionId(), [], 0, []
+        pid, block, size, made, sizes = TaskContext.get().partitionId(), [], 0, [], []
 
         def flush():
             made.append(f"{uri}/items-{pid:06d}-{len(made):06d}.json")
+            sizes.append(size)
             common.put_file(made[-1], [json.dumps(block).encode()])
 
         for b in batches:
@@ -184,25 +187,45 @@ def _write_items(benchmark: DataFrame, uri: str) -> list[str]:
                     size += n
         if block:
             flush()
-        yield pa.RecordBatch.from_pydict({"uri": pa.array(made, pa.string())})
+        yield pa.RecordBatch.from_pydict({"uri": pa.array(made, pa.string()), "words": pa.array(sizes, pa.int64())})
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return sorted(r["uri"] for r in items.mapInArrow(write, "uri string").collect())  # a row for each block
+    files = sorted(map(tuple, items.mapInArrow(write, "uri string, words long").collect()))  # a row for each file
+    blocks: list[list[str]] = []
+    size = 0
+    for name, n in files:
+        if not blocks or size + n > BLOCK_WORDS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(name)
+        size += n
+    return blocks
 
 
 class _Items:
-    """The automata of all blocks. One block is built once and kept; of more, one at a time is held."""
+    """The automata of all blocks: the first KEPT are built once, of the others one at a time is held."""
 
-    def __init__(self, uris: list[str], window: int):
-        self._uris, self._window, self._kept = uris, window, None
+    def __init__(self, blocks: list[list[str]], window: int):
+        self._blocks, self._window = blocks, window
+        self._kept: list[Automaton] = []
+
+    def _build(self, uris: list[str]) -> Automaton:
+        items = []
+        for uri in uris:
+            fs, path = common.open_uri(uri)
+            with fs.open_input_file(path) as f:
+                items += json.loads(f.read())
+        return Automaton([(k, words(t)) for k, t in items], self._window)
 
     def __iter__(self):
-        for uri in self._uris:
-            if self._kept is None or len(self._uris) > 1:
-                fs, path = common.open_uri(uri)
-                with fs.open_input_file(path) as f:
-                    self._kept = Automaton([(k, words(t)) for k, t in json.loads(f.read())], self._window)
-            yield self._kept
+        for i, uris in enumerate(self._blocks):
+            if i < len(self._kept):
+                yield self._kept[i]
+                continue
+            auto = self._build(uris)
+            if i < KEPT:
+                self._kept.append(auto)
+            yield auto
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
@@ -213,7 +236,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     (n_hit > 0 and coverage * n_hit >= n_words). Null and empty texts have no words and
     no hits; items without words have no window; an item_id that comes more than once
     counts once; items with a null id hit words but are not listed. Repeated documents
-    are rows of their own. Other columns are ignored.
+    are rows of their own; texts of any length are read whole. An empty table gives an
+    empty result, an empty benchmark no hits. Other columns are ignored.
     """
     uris = _write_items(benchmark, common.work_dir(docs.sparkSession, "items"))
 
@@ -246,7 +270,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """``docs`` without contaminated rows (see ``contamination``); all columns are kept.
 
     With ``span``, runs of at least so many hit words are also cut out of the texts that
-    stay. Without it these are unchanged. Needs no shuffle.
+    stay. Without it these are unchanged. Null and empty texts stay; an empty table stays
+    empty. Needs no shuffle.
     """
     uris = _write_items(benchmark, common.work_dir(docs.sparkSession, "items"))
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+from lensaudit.llm import common
 from lensaudit.llm import decontaminate as D
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -58,3 +59,23 @@ def test_spans_are_cut_from_first_to_last_byte():
     text = "Keep é, one two three. And keep"
     assert D.cut_spans(text, np.array([0, 0, 1, 1, 1, 0, 0], bool), 3) == "Keep é, . And keep"
     assert D.cut_spans(text, np.array([0, 0, 1, 1, 0, 0, 0], bool), 3) == text
+
+
+def test_blocks_of_small_partitions_are_joined_and_large_benchmarks_split(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    docs = [(i, " ".join([rng.choice(items)[1], "zz", items[i % 60][1], "y y", items[(i * 7) % 60][1][: 5 * i]])) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(9)
+    one = D._write_items(b, common.work_dir(spark, "t"))
+    assert len(one) == 1 and len(one[0]) > 1
+    want = sorted(map(tuple, D.contamination(d, b).collect()))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    many = D._write_items(b, common.work_dir(spark, "t"))
+    assert len(many) > 2 * D.KEPT and sorted(map(tuple, D.contamination(d, b).collect())) == want
+
+
+def test_a_long_match_is_marked_once_a_word():
+    ws = [str(i).encode() for i in range(5000)]
+    auto = D.Automaton([("a", ws)])
+    got = list(auto.stream([auto.vocab[w] for w in ws]))
+    assert len(got) == 5000 - 12 and all(j - i + 1 == 13 for i, j, _ in got)
