@@ -54,7 +54,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

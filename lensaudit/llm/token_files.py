@@ -58,6 +58,10 @@ class Encoder:
         self._opens[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True  # a space, in byte-level spelling
         self._clear()
 
+    def hold(self, cache_units: int) -> None:
+        """Keep at most about so many units from now on."""
+        self._most = cache_units
+
     def _clear(self):
         self._ids: defaultdict[str, int] = defaultdict()
         self._ids.default_factory = self._ids.__len__
@@ -117,15 +121,16 @@ class Encoder:
         return np.concatenate(out), np.array(per_doc, np.int64)
 
 
-def _encoder(path: str) -> Encoder:
-    """One encoder for each worker process: later tasks find the units of earlier ones. It
-    hangs on the library's module, as code that came by value has no module of its own."""
-    import tokenizers
+#: Encoders of this process by file. Workers import this module, so later tasks find the units of earlier ones.
+_KEPT: dict[str, Encoder] = {}
+
 
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def kept_encoder(path: str, cache_units: int = CACHE_UNITS) -> Encoder:
+    """The encoder of this worker process for ``path``; it holds ``cache_units`` units from now on."""
+    if path not in _KEPT:
+        _KEPT[path] = Encoder(path, cache_units)
+    _KEPT[path].hold(cache_units)
+    return _KEPT[path]
 
 
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) -> None:
@@ -142,7 +147,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0) ->
 
     def write(batches):
         pid = TaskContext.get().partitionId()
-        encoder, lens, keys = _encoder(tokenizer), [np.zeros(1, np.int64)], []
+        encoder, lens, keys = kept_encoder(tokenizer), [np.zeros(1, np.int64)], []
 
         def ids():
             for b in common.batched(batches, "text", BATCH_BYTES):
