@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and is written
-as Parquet and read again before the next.
+as Parquet and read again before the next. All stages but the last return the columns of
+their documents, whatever else these are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensaudit.llm import common, decontaminate, jaccard_join, line_dedup, packing, quality
+from lensaudit.llm import common, decontaminate, jaccard_join, line_dedup, packing, quality, queries
+
+TOKENIZER = "byte_bpe_50k.json"
+#: Units an encoder keeps: fewer than it would alone, as workers of the other stages are still there.
+CACHE_UNITS = 300_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality classifier scores below 1/2."""
+    """Rejects documents that the quality classifier scores below 1/2. Null and empty texts have
+    the score of such texts; rows of one text stay or go together."""
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines. Documents of which nothing is left go; n_chars
-    is counted again where a text changed."""
+    is counted again where a text changed. Null and empty texts stay as they are; rows that
+    agree in doc_id and text are one document; a null doc_id comes first."""
     rows = line_dedup.dedup_lines(docs)
     left = F.col("text").rlike(r"\S")
     rows = rows.where((F.col("removed_lines") == 0) | left)
@@ -33,14 +40,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
+    """Keeps one document of each component of near duplicates: that of the smallest doc_id, a null
+    one last, then of the smallest hash of the text; of rows that agree in both, one. Rows
+    without words all stay."""
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more lies in windows of the benchmark, and cuts
     runs of at least a whole window (13 words) out of the others; n_chars is counted again where
-    a text changed."""
+    a text changed. Null and empty texts stay; repeated rows are treated alike."""
     (was,) = common.fresh(docs, "_was")
     rows = docs.withColumn(was, F.length("text"))
     rows = decontaminate.decontaminate(rows, _table(spark, sf_dir, "benchmark"), span=decontaminate.WINDOW)
@@ -51,8 +60,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences: one row for each piece."""
-    return packing.pack(docs)
+    """Packs the documents' tokens into sequences, one row for each: its ids, and the doc_ids and
+    bounds of its pieces. Null and empty texts are their end token; repeated rows are packed each."""
+    return packing.sequences(docs, queries.tokenizer_path(TOKENIZER), cache_units=CACHE_UNITS)
 
 
 STAGES = [
