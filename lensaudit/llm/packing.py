@@ -88,7 +88,8 @@ def plan(hist: list[tuple[int, int]], capacities: tuple[int, ...], cost=float) -
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, top: int, cache_units: int) -> DataFrame:
-    """Pieces of at most ``top`` token ids of each text, which ``end_id`` closes."""
+    """Pieces of at most ``top`` token ids of each text, which ``end_id`` closes; ids are bytes, as
+    in token files."""
 
     def run(batches):
         encoder = token_files.kept_encoder(tokenizer, cache_units)
@@ -98,11 +99,12 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, top: int, cache_uni
             row = np.repeat(np.arange(len(n)), k)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
             size = np.minimum(top, n[row] - piece * top)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.astype(np.int32)))
+            ends = np.concatenate([[0], np.cumsum(size)]) * flat.itemsize
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece), pa.array(piece * top), pa.array(size), ids], ["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids binary")
 
 
 def _place(pieces: DataFrame, capacities: tuple[int, ...], cost) -> DataFrame:
@@ -154,8 +156,9 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: str
 def sequences(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAPACITIES, end_id: int = 0, cost=float, cache_units: int = token_files.CACHE_UNITS) -> DataFrame:
     """The packed sequences: a row for each bin of ``pack`` with the tokenizer's lengths.
 
-    Columns: bin, capacity, used, ids (of all pieces, end to end), and by piece, in the order
-    of their offsets, doc_ids, starts (in the document), lengths and offsets (in the
+    Columns: bin, capacity, used, ids (of all pieces, end to end: little-endian unsigned
+    integers as in token files, of 2 bytes, or 4 for over 65,536 ids), and by piece, in the
+    order of their offsets, doc_ids, starts (in the document), lengths and offsets (in the
     sequence). At most ``max(capacities)`` ids meet in a row. Nulls, empty and long texts,
     ties, repeated rows and empty tables are as in ``pack``. Other columns are ignored.
     """
@@ -166,4 +169,4 @@ def sequences(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAP
     part = F.struct("offset", "doc_id", "start", "length", "ids")
     bins = pieces.join(placed, "row").groupBy("bin").agg(F.array_sort(F.collect_list(part)).alias("p"), F.sum("length").alias("used"))
     each = {"doc_ids": "doc_id", "starts": "start", "lengths": "length", "offsets": "offset"}
-    return bins.select("bin", _fits(capacities).alias("capacity"), "used", F.flatten(F.col("p.ids")).alias("ids"), *(F.col(f"p.{c}").alias(name) for name, c in each.items()))
+    return bins.select("bin", _fits(capacities).alias("capacity"), "used", F.aggregate("p", F.lit(b""), lambda all_, x: F.concat(all_, x["ids"])).alias("ids"), *(F.col(f"p.{c}").alias(name) for name, c in each.items()))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,10 +151,11 @@ def test_sequences_hold_the_tokens_of_whole_documents(spark):
     got = packing.sequences(df, path, caps).collect()
     parts: dict = {}
     for r in got:
-        assert len(r.ids) == r.used == sum(r.lengths) <= r.capacity == packing.downsize(r.used, caps)
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.used == sum(r.lengths) <= r.capacity == packing.downsize(r.used, caps)
         assert r.offsets == [sum(r.lengths[:i]) for i in range(len(r.lengths))]
         for k, start, n, at in zip(r.doc_ids, r.starts, r.lengths, r.offsets):
-            parts.setdefault((k, start), []).append(tuple(r.ids[at : at + n]))
+            parts.setdefault((k, start), []).append(tuple(ids[at : at + n]))
     want: dict = {}
     for k, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -55,7 +56,7 @@ def test_stages_decide_in_turn(spark, folder):
     pieces = {}
     for r in seen["packing"]:
         for k, start, n, at in zip(r.doc_ids, r.starts, r.lengths, r.offsets):
-            pieces.setdefault(k, []).append((start, r.ids[at : at + n]))
+            pieces.setdefault(k, []).append((start, np.frombuffer(r.ids, "<u2").tolist()[at : at + n]))
     got = {k: sum((x for _, x in sorted(v)), []) for k, v in pieces.items()}
     assert got == {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [0] for r in seen["decontaminate"]}
 
