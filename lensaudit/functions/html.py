@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import names_of, squeeze
+from .text import names_of, squeeze, strip
 
 NOISE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-#: Elements that are not main content.
+#: Elements that are not main content, with all up to their own end tag.
 CHROME = ("nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "select", "template")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 BLOCK_TAGS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|main|blockquote|br|body|html)(?:\s[^>]*)?/?>"
@@ -44,9 +44,9 @@ def title(html: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of a quoted attribute of a tag; null without it."""
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.when(tag.rlike(pattern), unescape(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))))
+    """Value of an attribute of a tag, quoted or not; null without it."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(pattern), unescape(F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))))
 
 
 def first_tag(html: Column, pattern: str) -> Column:
@@ -59,7 +59,7 @@ def lang(html: Column) -> Column:
 
 def canonicals(html: Column) -> Column:
     """All canonical link tags."""
-    return F.regexp_extract_all(clean(html), F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']canonical["'][^>]*>"""), F.lit(0))
+    return F.regexp_extract_all(clean(html), F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"canonical"|'canonical'|canonical(?=[\s>/]))[^>]*>"""), F.lit(0))
 
 
 def meta_tags(html: Column) -> Column:
@@ -68,7 +68,7 @@ def meta_tags(html: Column) -> Column:
 
     def entry(t):
         key = F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"), F.lit(""))
-        return F.struct(key.alias("key"), F.trim(F.coalesce(attribute(t, "content"), F.lit(""))).alias("value"))
+        return F.struct(key.alias("key"), strip(F.coalesce(attribute(t, "content"), F.lit(""))).alias("value"))
 
     pairs = F.filter(F.transform(tags, entry), lambda e: (e["key"] != "") & (e["value"] != ""))
     # the last of a key wins: keep those that no later entry repeats
@@ -114,9 +114,9 @@ def body_text(html: Column) -> Column:
 
 def markdown(fragment: Column) -> Column:
     """Lines of text: headings with # marks, block elements on lines of their own, tags removed."""
-    c = fragment
+    c = F.regexp_replace(fragment, r"(?i)<h([1-6])(?:\s[^>]*)?>", "\n\x01$1 ")
     for level in range(1, 7):
-        c = F.regexp_replace(c, rf"(?i)<h{level}(?:\s[^>]*)?>", "\n" + "#" * level + " ")
+        c = F.replace(c, F.lit(f"\x01{level}"), F.lit("#" * level))
     c = F.regexp_replace(c, BLOCK_TAGS, "\n")
     c = unescape(F.regexp_replace(c, r"<[^>]*>", ""))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
@@ -126,9 +126,7 @@ def markdown(fragment: Column) -> Column:
 def recall_text(html: Column) -> Column:
     """Main text, generously: everything but chrome elements and the head."""
     c = F.regexp_replace(clean(html), r"(?is)<head\b.*?</head>", "")
-    for name in CHROME:
-        c = F.regexp_replace(c, rf"(?is)<{name}\b.*?</{name}>", "")
-    return markdown(c)
+    return markdown(F.regexp_replace(c, rf"(?is)<({'|'.join(CHROME)})\b.*?</\1>", ""))
 
 
 def precision_text(html: Column) -> Column:

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of any script, and the separators U+001C to U+001F.
+SPACE = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends. Null counts as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{SPACE}+", " "))
 
 
 def strip_tags(c: Column) -> Column:
@@ -32,7 +43,7 @@ def approx_tokens(c: Column) -> Column:
 
 def question_key(c: Column) -> Column:
     """Normalised question for removing repeats."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))  # only spaces are left to strip
 
 
 def span_needle(span: Column) -> Column:
@@ -46,10 +57,15 @@ def span_probe(span: Column) -> Column:
 
 def span_in(span: Column, text: Column) -> Column:
     """Whether a span, or its first twelve words, occurs in ``text``; an empty span never does."""
-    hay = F.regexp_replace(F.lower(text), r"\s+", " ")
+    hay = F.regexp_replace(F.lower(text), rf"{SPACE}+", " ")
     return F.coalesce((span_needle(span) != "") & (F.contains(hay, span_probe(span)) | F.contains(hay, span_needle(span))), F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def any_of(text: Column, needles) -> Column:
     """Whether lower-case ``text`` contains any needle, case-insensitively."""
     out = F.lit(False)
@@ -60,8 +76,8 @@ def any_of(text: Column, needles) -> Column:
 
 def names_of(text: Column, groups: dict) -> Column:
     """Names of the groups of which some needle occurs in ``text``, in the groups' order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(any_of(low, needles), F.lit(name)) for name, needles in groups.items())))
+    named = lambda low: F.array_compact(F.array(*(F.when(any_of(low, needles), F.lit(name)) for name, needles in groups.items())))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), named)
 
 
 def cache_key(*parts: Column) -> Column:

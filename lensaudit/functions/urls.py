@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import any_of
+from .text import any_of, strip
 
 
 def part(url: Column, what: str) -> Column:
@@ -39,7 +39,7 @@ def bare(url: Column) -> Column:
 
 def normalize(url: Column) -> Column:
     """Trimmed, with https:// where no scheme is given; null unless http(s) with a host."""
-    u = F.trim(url)
+    u = strip(url)
     u = F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("https://"), u))
     return F.when(scheme(u).isin("http", "https") & (netloc(u) != ""), u)
 

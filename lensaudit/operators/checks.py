@@ -42,22 +42,25 @@ def robots_rules(crawl: Crawl, policy: str = "report") -> DataFrame:
 
 def parity_rows(crawl: Crawl) -> DataFrame:
     """Each bot's fetch of a page beside the browser's, where that was fine: status, bytes,
-    similarity of the main texts, and whether they diverge."""
+    similarity of the main texts, and whether they diverge.
+
+    Equal bodies have equal texts, so words are compared only for distinct pairs of bodies that
+    differ; rows carry hashes."""
     keys = ["site_id", "url"]
-    size = F.coalesce(F.octet_length("body"), F.lit(0))
-    slim = crawl.fetches.select(*keys, "pos", "lens", "status", "error", "blocked_by", size.alias("bytes"))
-    words = crawl.views.select(*keys, "lens", text.tokens(F.col("text")).alias("words"))
-    base = slim.where((F.col("lens") == "browser") & ok()).select(*keys, "pos", F.col("status").alias("browser_status"), F.col("bytes").alias("browser_bytes"))
-    base = base.join(words.where("lens = 'browser-nojs'").select(*keys, F.col("words").alias("browser_words")), keys, "left")
-    bots = slim.where(~F.col("lens").isin("browser", "rendered")).select(*keys, F.col("lens").alias("bot"), F.col("status").alias("bot_status"), F.col("bytes").alias("bot_bytes"), F.col("error").alias("bot_error"), F.col("blocked_by").alias("bot_blocked_by"))
-    bots = bots.join(words.withColumnsRenamed({"lens": "bot", "words": "bot_words"}), [*keys, "bot"], "left")
-    rows = base.join(bots, keys)
+    rows = crawl.fetches.where("lens <> 'rendered'")
+    base = rows.where((F.col("lens") == "browser") & ok()).select(*keys, "pos", F.col("status").alias("browser_status"), F.col("bytes").alias("browser_bytes"), F.col("sha").alias("a"))
+    bots = rows.where("lens <> 'browser'").select(*keys, F.col("lens").alias("bot"), F.col("status").alias("bot_status"), F.col("bytes").alias("bot_bytes"), F.col("error").alias("bot_error"), F.col("blocked_by").alias("bot_blocked_by"), F.coalesce("sha", F.lit("")).alias("b"))
+    rows = base.withColumn("a", F.coalesce("a", F.lit(""))).join(bots, keys)
+    words = crawl.bodies.select("sha", text.tokens(F.col("text")).alias("words"))
+    pairs = rows.select("a", "b").distinct()
+    pairs = pairs.join(words.toDF("a", "wa"), "a", "left").join(words.toDF("b", "wb"), "b", "left")
     none = F.array().cast("array<string>")
-    a, b = F.coalesce("browser_words", none), F.coalesce("bot_words", none)
+    wa, wb = F.coalesce("wa", none), F.coalesce("wb", none)
+    alike = F.when((F.size(wa) > 0) | (F.size(wb) > 0), F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round(text.jaccard(wa, wb), 4)))
+    rows = rows.join(pairs.select("a", "b", alike.alias("similarity")), ["a", "b"], "left").drop("a", "b")
     rows = rows.withColumn("status_match", F.col("browser_status").eqNullSafe(F.col("bot_status"))).withColumn("size_ratio", numbers.share(F.col("bot_bytes"), F.col("browser_bytes")))
-    rows = rows.withColumn("similarity", F.when((F.size(a) > 0) | (F.size(b) > 0), F.round(text.jaccard(a, b), 4)))
     far = ~F.col("status_match") | (F.col("bot_error").isNotNull() & F.coalesce(F.col("bot_blocked_by").isin("waf", "challenge"), F.lit(False))) | F.coalesce(F.col("similarity") < fixed.PARITY_SIMILARITY, F.lit(False)) | (F.col("bot_bytes") == 0)
-    return rows.withColumn("diverged", far).drop("browser_words", "bot_words")
+    return rows.withColumn("diverged", far)
 
 
 def parity(crawl: Crawl) -> DataFrame:
@@ -76,8 +79,11 @@ def blocks(crawl: Crawl, policy: str = "report") -> DataFrame:
     """ACC-003. Sites without any response pass, as nothing blocked was seen."""
     rows = crawl.fetches.where(F.col("error").isNotNull() | F.col("status").isNotNull()).join(crawl.sites.select("site_id", "start_url"), "site_id")
     bad = F.coalesce(F.col("blocked_by").isin("waf", "challenge"), F.lit(False)) | F.coalesce(F.col("status") >= 400, F.lit(False))
-    agg = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), _count(bad).alias("blocked"), F.bool_or(bad & (F.col("url") == F.col("start_url")) & (F.col("lens") == "browser")).alias("start_blocked"), F.slice(F.array_sort(F.collect_list(F.when(bad, F.struct("pos", "lens", "url", "status", "blocked_by")))), 1, 20).alias("details"))
-    agg = crawl.sites.select("site_id").join(agg, "site_id", "left").na.fill({"total": 0, "blocked": 0, "start_blocked": False})
+    agg = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), _count(bad).alias("blocked"), F.bool_or(bad & (F.col("url") == F.col("start_url")) & (F.col("lens") == "browser")).alias("start_blocked"))
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("pos", "lens", "url"))  # a group limit before the shuffle
+    first = rows.where(bad).select("site_id", "pos", "lens", "url", "status", "blocked_by", rank.alias("rank")).where(F.col("rank") <= 20)
+    first = first.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lens", "url", "status", "blocked_by"))).alias("details"))
+    agg = crawl.sites.select("site_id").join(agg, "site_id", "left").join(first, "site_id", "left").na.fill({"total": 0, "blocked": 0, "start_blocked": False})
     counted = F.concat("blocked", F.lit(" of "), "total", F.lit(" responses were blocked or challenged."))
     share = F.col("blocked") / F.greatest(F.col("total"), F.lit(1))
     return decide(crawl.sites, agg, "ACC-003", [
@@ -101,7 +107,7 @@ def nojs_text(crawl: Crawl) -> DataFrame:
     agg = rows.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("pages"), F.bool_or(F.col("rendered_chars") > 0).alias("compared"), _count(far).alias("usable"), F.avg(F.when(far, F.col("ratio"))).alias("mean_ratio"),
         F.min_by(F.when(far, F.col("url")), F.when(far, F.struct("ratio", "pos"))).alias("worst_page"), _count(F.col("text_chars") < fixed.REN_LOW_CHARS).alias("empty"), _count(F.col("text_chars") < fixed.REN_PASS_CHARS).alias("small"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("shell_markers")))).alias("shells"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("framework_markers")))).alias("frameworks"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("shell_markers")))).alias("shells"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("framework_markers")))).alias("frameworks"),
     )
     m, shells = F.col("mean_ratio"), F.size("shells") > 0
     share = F.concat(F.round(m * 100).cast("int"), F.lit("% of page text is available without JavaScript."))
@@ -117,11 +123,16 @@ def nojs_text(crawl: Crawl) -> DataFrame:
 
 def extractable(crawl: Crawl) -> DataFrame:
     """REN-002: how much main text could be extracted."""
-    n = F.col("text_chars")
-    agg = crawl.views.where("lens = 'browser-nojs'").groupBy("site_id").agg(
+    n, views = F.col("text_chars"), crawl.views.where("lens = 'browser-nojs'")
+    # the upper median from counts of each length: no site's lengths are gathered
+    site = Window.partitionBy("site_id")
+    hist = views.groupBy("site_id", "text_chars").agg(F.count(F.lit(1)).alias("k"))
+    hist = hist.select("site_id", "text_chars", F.sum("k").over(site.orderBy("text_chars")).alias("upto"), F.sum("k").over(site).alias("all"))
+    middle = hist.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("site_id").agg(F.min("text_chars").alias("median_chars"))
+    agg = views.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("pages"), _count(n < fixed.EXTRACT_FAIL).alias("thin"), _count((n >= fixed.EXTRACT_FAIL) & (n < fixed.EXTRACT_PASS)).alias("weak"),
-        _count((F.col("html_chars") > fixed.EXTRACT_LARGE) & (F.col("extraction_ratio") < fixed.EXTRACT_LOW_RATIO)).alias("boilerplate"), numbers.upper_median(F.collect_list(n)).alias("median_chars"), F.array_sort(F.collect_set("extraction_mode")).alias("modes"),
-    )
+        _count((F.col("html_chars") > fixed.EXTRACT_LARGE) & (F.col("extraction_ratio") < fixed.EXTRACT_LOW_RATIO)).alias("boilerplate"), F.array_sort(F.collect_set("extraction_mode")).alias("modes"),
+    ).join(middle, "site_id")
     return decide(crawl.sites, agg, "REN-002", [(F.col("thin") > 0, "fail", "Extraction yielded almost no text on some pages."), ((F.col("weak") > 0) | (F.col("boilerplate") > 0), "warn", "Thin extraction on some pages."), (None, "pass", "Main content extracts cleanly.")], ["pages", "thin", "weak", "boilerplate", "median_chars", "modes"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,29 +10,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import text
 
 
 def answer_prompt(retrieved: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
     """One prompt for each question from its ranked chunks (rank, text, score) alone."""
-    block = F.format_string("[%d] (relevance %.3f)\n%s", "rank", "score", "text")
+    block = F.format_string(fixed.ANSWER_BLOCK, "rank", "score", "text")
     ctx = retrieved.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("bs"))
     rows = questions.join(ctx, by, "left")
-    text = F.coalesce(F.concat_ws("\n\n", F.transform("bs", lambda x: x["b"])), F.lit(""))
-    text = F.when(text == "", "(no context was retrieved)").otherwise(text)
-    return rows.withColumn("prompt", F.concat(F.lit("Retrieved context:\n<<<\n"), text, F.lit("\n>>>\n\nQuestion: "), "question", F.lit("\n\nAnswer from the context alone."))).drop("bs")
+    context = F.coalesce(F.nullif(F.concat_ws("\n\n", F.transform("bs", lambda x: x["b"])), F.lit("")), F.lit(fixed.NO_CONTEXT))
+    return rows.withColumn("prompt", filled(fixed.ANSWER_PROMPT, context=context, question=F.col("question"))).drop("bs")
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """A template with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(columns[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def judge_prompt(question: Column, reference: Column, answer: Column) -> Column:
+    return filled(fixed.JUDGE_PROMPT, question=question, reference=reference, answer=answer)
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    return text.strip(F.coalesce(c, F.lit("")))
 
 
 def parse_answer(raw: Column) -> Column:
-    """struct(answer, abstained, quoted): a Used: line is split off, NOT_FOUND anywhere abstains,
+    """struct(answer, abstained, quoted): what follows the first Used: on a line of its own start is
+    split off, its next words on a line are the quote; NOT_FOUND anywhere before it abstains;
     preambles and quotes around the answer are stripped."""
     t = _strip(raw)
-    used = r"(?m)^\s*Used:[ \t]*(\S.*)$"
+    used = r"(?m)^\s*Used:\s*(\S.*)$"
     quoted = _strip(F.regexp_extract(t, used, 1))
-    body = F.when(t.rlike(used), _strip(F.regexp_replace(t, r"(?ms)^\s*Used:[ \t]*\S.*\z", ""))).otherwise(t)
+    body = F.when(t.rlike(used), _strip(F.regexp_replace(t, r"(?ms)^\s*Used:\s*\S.*\z", ""))).otherwise(t)
     gone = F.contains(F.upper(body), F.lit("NOT_FOUND"))
     clean = _strip(F.regexp_replace(body, r"(?i)^(answer|the answer is)\s*[:\-]\s*", ""))
     clean = _strip(F.regexp_replace(clean, r'^"+|"+$', ""))

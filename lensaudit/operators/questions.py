@@ -11,6 +11,10 @@ from ..functions import text as T
 _ITEMS = "struct<questions: array<struct<question: string, reference_answer: string, source_span: string, kind: string>>>"
 
 
+#: Parts that a list of questions is dealt into where each of many pages takes all of it.
+PARTS = 64
+
+
 def dedupe(questions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first of the questions that are the same by letters and digits; those without any go."""
     key = T.question_key(F.col("question"))
@@ -44,10 +48,10 @@ def token_budget(count: Column, chars: Column) -> Column:
 
 def post_filter(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Drops short questions and answers, blanks spans that ``ground_truth`` does not hold, dedupes."""
-    strip = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    strip = lambda c: T.strip(F.coalesce(F.col(c), F.lit("")))
     rows = items.withColumns({c: strip(c) for c in ("question", "reference_answer", "source_span")})
     rows = rows.where((F.length("question") >= fixed.MIN_QUESTION) & (F.length("reference_answer") >= fixed.MIN_ANSWER))
-    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", " ")
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), rf"{T.SPACE}+", " ")
     there = F.contains(flat("ground_truth"), F.substring(flat("source_span"), 1, fixed.SPAN_KEY))
     rows = rows.withColumn("source_span", F.when(there, F.col("source_span")).otherwise(""))
     return dedupe(rows, by, order)
@@ -62,4 +66,7 @@ def for_page(questions: DataFrame, pages: DataFrame) -> DataFrame:
     urls = pages.select("url")
     named = questions.select(F.col("page").alias("url")).distinct()
     own = urls.join(questions, F.col("url") == F.col("page"))
-    return own.unionByName(urls.join(named, "url", "left_anti").crossJoin(questions))
+    # pages without questions of their own meet the list through a key, by its parts: no cross join
+    rest = urls.join(named, "url", "left_anti").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = questions.withColumn("_part", F.pmod(F.xxhash64(*questions.columns), F.lit(PARTS)).cast("int"))
+    return own.unionByName(rest.join(dealt, "_part").drop("_part"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed
 from ..functions import text as T
 
+#: Vectors of a page in one block of a comparison.
+BLOCK_VECTORS = 4096
+
 
 def _top(scored: DataFrame, by: list[str], k: int) -> DataFrame:
     """Best first; ties by chunk index. Plans as a group limit before the shuffle."""
@@ -20,12 +28,21 @@ def lexical_top_k(questions: DataFrame, chunks: DataFrame, page: list[str], k: i
     |q & t| / sqrt(|q| |t|); chunks without a common word rank last, with 0.
 
     ``questions``: page columns, q_id, question; ``chunks``: page columns, chunk_idx,
-    heading_path, text. The join is on the page.
+    heading_path, text. By an inverted index of each page: only pairs that share a word are
+    made. To those come the first k chunks of the page, with 0, which is where a question with
+    fewer scored chunks takes the rest from.
     """
     q = questions.select(*page, "q_id", T.tokens(F.col("question")).alias("_q"))
     c = chunks.select(*page, "chunk_idx", T.tokens(F.concat_ws(" ", "heading_path", "text")).alias("_t"))
-    score = F.coalesce(F.try_divide(F.size(F.array_intersect("_q", "_t")), F.sqrt(F.size("_q") * F.size("_t"))), F.lit(0.0))
-    return _top(q.join(c, page).select(*page, "q_id", "chunk_idx", score.alias("score")), [*page, "q_id"], k)
+    asked = q.select(*page, "q_id", F.size("_q").alias("nq"), F.explode("_q").alias("term"))
+    held = c.select(*page, "chunk_idx", F.size("_t").alias("nt"), F.explode("_t").alias("term"))
+    hits = held.join(asked, [*page, "term"]).groupBy(*page, "q_id", "chunk_idx").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
+    scored = hits.select(*page, "q_id", "chunk_idx", (F.col("n") / F.sqrt(F.col("nq") * F.col("nt"))).alias("score"))
+    order = F.row_number().over(Window.partitionBy(*page).orderBy("chunk_idx"))
+    lead = chunks.select(*page, "chunk_idx").withColumn("_i", order).where(F.col("_i") <= k).drop("_i")
+    fill = questions.select(*page, "q_id").join(lead, page).withColumn("score", F.lit(0.0))
+    best = scored.unionByName(fill).groupBy(*page, "q_id", "chunk_idx").agg(F.max("score").alias("score"))
+    return _top(best, [*page, "q_id"], k)
 
 
 def lexical_top_k_corpus(questions: DataFrame, chunks: DataFrame, key: list[str], k: int = fixed.TOP_K) -> DataFrame:
@@ -48,14 +65,59 @@ def cosine(a, b):
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
+def _dealt(vectors: DataFrame, page: list[str], key: str) -> DataFrame:
+    """``vectors`` with the block of each row and the number of blocks of its page."""
+    sizes = vectors.groupBy(*page).agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
+    return vectors.join(sizes, page).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+
+
 def vector_top_k(questions: DataFrame, chunks: DataFrame, page: list[str], k: int = fixed.TOP_K) -> DataFrame:
     """For each question the k chunks of its page of the highest cosine.
 
     ``questions``: page columns, q_id, vector; ``chunks``: page columns, chunk_idx, vector.
+    Vectors of a page are dealt into blocks; each pair of blocks is one matrix product in one
+    task, which returns k chunks for a question. Scores count to 12 digits; empty, zero and
+    null vectors score 0, null components count as 0, and of vectors of different length the
+    components beyond the shorter are left out of the product.
     """
-    q = questions.select(*page, "q_id", F.col("vector").alias("_q"))
-    c = chunks.select(*page, "chunk_idx", F.col("vector").alias("_c"))
-    return _top(q.join(c, page).select(*page, "q_id", "chunk_idx", cosine(F.col("_q"), F.col("_c")).alias("score")), [*page, "q_id"], k)
+    q = _dealt(questions.select(*page, "q_id", F.col("vector").cast("array<double>").alias("vector")), page, "q_id").withColumnsRenamed({"block": "qb", "blocks": "qbs"})
+    c = _dealt(chunks.select(*page, "chunk_idx", F.col("vector").cast("array<double>").alias("vector")), page, "chunk_idx").withColumnsRenamed({"block": "cb", "blocks": "cbs"})
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(c.select(*page, "cbs").distinct(), page).withColumn("cb", others("cbs")).select(*page, "qb", "cb", "q_id", "vector")
+    c = c.join(q.groupBy(*page).agg((F.max("qb") + 1).alias("qbs")), page).withColumn("qb", others("qbs")).select(*page, "qb", "cb", "chunk_idx", "vector")
+    # both sides may come from one table: columns of their own
+    q, c = (x.select(*(F.col(n).alias(n) for n in x.columns)) for x in (q, c))
+    kinds = {f.name: f.dataType for f in (*q.schema, *c.schema)}
+    names = [*page, "q_id", "chunk_idx"]
+    out = types.StructType([types.StructField(n, kinds[n]) for n in names] + [types.StructField("score", types.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        a, b = unit_rows(left["vector"]), unit_rows(right["vector"])
+        width = min(a.shape[1], b.shape[1])
+        score = np.round(a[:, :width] @ b[:, :width].T, 12) + 0.0
+        right = right.take(order := pc.sort_indices(right, [("chunk_idx", "ascending")]))
+        score = score[:, order.to_numpy()]
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties by chunk index
+        row = np.repeat(np.arange(len(a)), best.shape[1])
+        at = best.ravel()
+        columns = [left[n].take(pa.array(row)) for n in (*page, "q_id")] + [right["chunk_idx"].take(pa.array(at)), pa.array(score[row, at])]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+    cell = [*page, "qb", "cb"]
+    return _top(q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInArrow(run, out), [*page, "q_id"], k)
+
+
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows over their norms, zeros after their end; zero rows stay zero."""
+    rows = [np.nan_to_num(np.array([0.0 if x is None else x for x in v or ()], float)) for v in vectors.to_pylist()]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
 def span_hits(questions: DataFrame, found: DataFrame, chunks: DataFrame, page: list[str]) -> DataFrame:

@@ -113,14 +113,14 @@ ORACLE_SQL: dict[str, str] = {
     r"CAST(len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS BIGINT) AS n_headings, trim(" + _DE.format(r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + r") AS first_heading, "
     r"CAST(length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS BIGINT) AS stripped_chars, contains(html, '<main') AS has_main FROM pages",
     "heading_outline": f"WITH {_P} SELECT page_id, CASE m8 WHEN 1 THEN '1,3' WHEN 2 THEN '1,2' WHEN 3 THEN '1,1' WHEN 4 THEN '1,2,5' WHEN 5 THEN '1,2' ELSE '1' END AS levels, CAST(m8 IN (1, 4) AS BIGINT) AS skipped, CAST(m8 = 2 AS BIGINT) AS empty FROM p",
-    "page_tags": f"""WITH {_P} SELECT page_id, CASE m4 WHEN 0 THEN NULL WHEN 1 THEN 'Short.' ELSE 'A description of this page that is long enough to be read as a summary.' END AS description,
+    "page_tags": f"""WITH {_P} SELECT page_id, CASE m4 WHEN 0 THEN NULL WHEN 1 THEN 'Short.' ELSE 'A description of this café page that is long enough to be read as a summary.' END AS description,
   CASE m11 WHEN 3 THEN 'noindex, nofollow' WHEN 5 THEN 'nosnippet' END AS robots, CASE WHEN m2 = 0 THEN 'I' END AS og_image,
   CASE m5 WHEN 0 THEN NULL WHEN 1 THEN 'https://other.example.org/x' WHEN 2 THEN '/page' WHEN 3 THEN url || '/' ELSE url END AS canonical,
   CAST(m5 <> 0 AS BIGINT) + CAST(page_id % 35 = 14 AS BIGINT) AS canonical_count, CASE m6 WHEN 1 THEN '2024-02-31x' WHEN 2 THEN '2024-02-28' END AS time, CAST(m4 <> 0 AS BIGINT) AS ld_blocks,
   m9 NOT IN (4, 5) AS valid_lang FROM p""",
     "structured_data": f"WITH {_P} SELECT page_id, CAST(m4 <> 0 AS BIGINT) AS blocks, CAST(CASE m4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS parsed, CASE m4 WHEN 1 THEN 'Article' WHEN 3 THEN 'Organization,WebSite,WebPage' ELSE '' END AS types, CAST(m4 = 2 AS BIGINT) AS errors FROM p",
-    "marker_flags": "SELECT page_id, CASE page_id % 13 WHEN 1 THEN 'react_root' WHEN 2 THEN 'next' ELSE '' END AS frameworks, CASE page_id % 13 WHEN 1 THEN 'root_div_only' ELSE '' END AS shells, page_id % 13 = 1 AS shell FROM pages",
-    "parsed_pages": f"WITH {_P} SELECT page_id, title, CASE m9 WHEN 4 THEN 'x_' || regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) WHEN 5 THEN NULL ELSE regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang, CAST(CASE WHEN m8 IN (1, 2, 3, 5) THEN 2 WHEN m8 = 4 THEN 3 ELSE 1 END AS BIGINT) AS n_headings, CAST(m5 <> 0 AS BIGINT) + CAST(page_id % 35 = 14 AS BIGINT) AS canonical_count, CASE m4 WHEN 0 THEN NULL WHEN 1 THEN 'Short.' ELSE 'A description of this page that is long enough to be read as a summary.' END AS description, CAST(m4 <> 0 AS BIGINT) AS ld_blocks FROM p",
+    "marker_flags": "SELECT page_id, CASE page_id % 13 WHEN 1 THEN 'react_root' WHEN 2 THEN 'next' ELSE '' END AS frameworks, CASE page_id % 13 WHEN 1 THEN 'root_div_only' ELSE '' END AS shells, page_id % 13 = 1 OR page_id % 13 = 2 AND page_id % 2 = 0 AS shell FROM pages",
+    "parsed_pages": f"WITH {_P} SELECT page_id, title, CASE m9 WHEN 4 THEN 'x_' || regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) WHEN 5 THEN NULL ELSE regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang, CAST(CASE WHEN m8 IN (1, 2, 3, 5) THEN 2 WHEN m8 = 4 THEN 3 ELSE 1 END AS BIGINT) AS n_headings, CAST(m5 <> 0 AS BIGINT) + CAST(page_id % 35 = 14 AS BIGINT) AS canonical_count, CASE m4 WHEN 0 THEN NULL WHEN 1 THEN 'Short.' ELSE 'A description of this café page that is long enough to be read as a summary.' END AS description, CAST(m4 <> 0 AS BIGINT) AS ld_blocks FROM p",
     "url_parts": f"WITH {_P} SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, site_id AS host, path, string_split(trim(path, '/'), '/')[1] AS segment, 'https://' || regexp_replace(url, '^https?://', '') AS normal, url LIKE 'http://ththre.example.com/%' AS same_origin, {_ROLES} ELSE 'article' END AS role FROM p",
     "cache_keys": "SELECT page_id, sha256('fetch' || chr(0) || url || chr(0)) AS key FROM pages",
     "lens_fetches": f"WITH {_P}, {_L} SELECT lens, CAST(CASE kind WHEN 'waf' THEN 403 WHEN 'down' THEN 503 WHEN 'timeout' THEN NULL ELSE 200 END AS INT) AS status, CASE WHEN kind = 'challenge' THEN 'challenge' WHEN kind IN ('waf', 'down') THEN 'waf' END AS blocked_by, CASE WHEN kind = 'challenge' THEN 'cloudflare' END AS challenge_marker, count(*) AS n, count(*) FILTER (kind IN ('waf', 'down', 'timeout')) AS errors FROM l GROUP BY ALL",

@@ -62,10 +62,10 @@ def heading_outline(spark, sf_dir):
 
 
 def page_tags(spark, sf_dir):
-    html = F.col("html")
-    get = lambda k: F.try_element_at("m", F.lit(k))
-    rows = _pages(spark, sf_dir).select("page_id", H.meta_tags(html).alias("m"), H.canonicals(html).alias("c"), H.time_datetimes(html).alias("t"), F.size(H.ld_blocks(html)).cast("long").alias("ld_blocks"), H.lang(html).alias("lang"))
-    return rows.select("page_id", get("description").alias("description"), get("robots").alias("robots"), get("og:image").alias("og_image"), H.attribute(F.try_element_at("c", F.lit(1)), "href").alias("canonical"), F.size("c").cast("long").alias("canonical_count"), F.try_element_at("t", F.lit(1)).alias("time"), "ld_blocks", H.valid_lang(F.col("lang")).alias("valid_lang"))
+    from ..sources import html_parser
+
+    rows = html_parser.extract(_pages(spark, sf_dir).select("page_id", "html"))
+    return rows.select("page_id", "description", F.col("robots_meta").alias("robots"), F.try_element_at("meta_tags", F.lit("og:image")).alias("og_image"), "canonical", F.col("canonical_count").cast("long").alias("canonical_count"), F.try_element_at("time_datetimes", F.lit(1)).alias("time"), F.size("ld_blocks").cast("long").alias("ld_blocks"), H.valid_lang(F.col("lang")).alias("valid_lang"))
 
 
 def structured_data(spark, sf_dir):
@@ -78,7 +78,7 @@ def structured_data(spark, sf_dir):
 def marker_flags(spark, sf_dir):
     html = F.col("html")
     rows = _pages(spark, sf_dir).select("page_id", H.framework_markers(html).alias("f"), H.shell_markers(html).alias("s"))
-    return rows.select("page_id", F.array_join("f", ",").alias("frameworks"), F.array_join("s", ",").alias("shells"), H.looks_like_shell(F.col("f"), F.col("s"), F.lit(1000)).alias("shell"))
+    return rows.select("page_id", F.array_join("f", ",").alias("frameworks"), F.array_join("s", ",").alias("shells"), H.looks_like_shell(F.col("f"), F.col("s"), F.when(F.col("page_id") % 2 == 0, 199).otherwise(200)).alias("shell"))
 
 
 def main_text(spark, sf_dir):

@@ -14,10 +14,10 @@ from .. import fixed
 from ..functions import urls
 
 HEAD = """
-CASE pmod(page_id, 4) WHEN 0 THEN '' WHEN 1 THEN '<meta name="description" content="Short.">' ELSE '<meta name="description" content="A description of this page that is long enough to be read as a summary.">' END
-|| CASE pmod(page_id, 5) WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="https://other.example.org/x">' WHEN 2 THEN '<link rel="canonical" href="/page">' WHEN 3 THEN '<link rel="canonical" href="' || url || '/">' ELSE '<link rel="canonical" href="' || url || '">' END
+CASE pmod(page_id, 4) WHEN 0 THEN '' WHEN 1 THEN '<meta name=description content=Short.><meta name="description" content="A second one.">' ELSE '<meta name="description" content="A description of this caf&eacute; page that is long enough to be read as a summary.&nbsp;">' END
+|| CASE pmod(page_id, 5) WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="https://other.example.org/x">' WHEN 2 THEN '<link rel=canonical href=/page>' WHEN 3 THEN '<link rel="canonical" href="' || url || '/">' ELSE '<link rel="canonical" href="' || url || '">' END
 || CASE WHEN pmod(page_id, 35) = 14 THEN '<link rel="canonical" href="' || url || '">' ELSE '' END
-|| CASE pmod(page_id, 11) WHEN 3 THEN '<meta name="robots" content="noindex, nofollow">' WHEN 5 THEN '<meta name="robots" content="nosnippet">' ELSE '' END
+|| CASE pmod(page_id, 11) WHEN 3 THEN '<meta name="robots" content="noindex, nofollow"><meta name=robots content=all>' WHEN 5 THEN '<meta name="robots" content="nosnippet">' ELSE '' END
 || CASE WHEN pmod(page_id, 3) <> 0 THEN '<meta property="og:title" content="T">' ELSE '' END
 || CASE WHEN pmod(page_id, 3) = 1 THEN '<meta property="og:description" content="D">' ELSE '' END
 || CASE WHEN pmod(page_id, 2) = 0 THEN '<meta property="og:url" content="U"><meta property="og:image" content="I">' ELSE '' END
@@ -31,14 +31,17 @@ CASE pmod(page_id, 6) WHEN 1 THEN '<time datetime="2024-02-31x">then</time>' WHE
 || CASE pmod(page_id, 13) WHEN 1 THEN '<div id="root"></div>' WHEN 2 THEN '<script src="/_next/static/x.js"></script>' ELSE '' END
 || '</body>'
 """
-LANG = "CASE pmod(page_id, 9) WHEN 4 THEN replace(html, '<html lang=\"', '<html lang=\"x_') WHEN 5 THEN replace(html, '<html lang=', '<html data-lang=') ELSE html END"
+LANG = "CASE pmod(page_id, 9) WHEN 4 THEN replace(html, '<html lang=\"', '<html lang=\"x_') WHEN 5 THEN replace(html, '<html lang=', '<html data-lang=') WHEN 7 THEN replace(html, '<html lang=\"en\"', '<html lang=en') ELSE html END"
 CHALLENGE = "<html><head><title>Just a moment...</title></head><body>wait</body></html>"
 #: What a lens gets, by h = (31 page_id + 17 lens number) mod 100; the browser only fails on some pages.
 KIND = "CASE WHEN ord = 0 THEN CASE WHEN pmod(page_id, 41) = 40 THEN 'down' ELSE 'same' END WHEN pmod(page_id * 31 + ord * 17, 100) < 8 THEN 'waf' WHEN pmod(page_id * 31 + ord * 17, 100) < 12 THEN 'challenge' WHEN pmod(page_id * 31 + ord * 17, 100) < 16 THEN 'half' WHEN pmod(page_id * 31 + ord * 17, 100) < 18 THEN 'timeout' ELSE 'same' END"
 
 
 def pages(raw: DataFrame) -> DataFrame:
-    """``raw`` (page_id, url, html) with tags put in, site_id (the host) and pos."""
+    """``raw`` (page_id, url, html) with tags put in, site_id (the host) and pos. A table of fewer
+    parts than there are cores is dealt out first."""
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    raw = raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores)
     html = F.expr(f"CASE WHEN contains(html, '</body>') THEN replace(replace({LANG}, '</head>', {HEAD}), '</body>', {BODY}) ELSE replace({LANG}, '</head>', {HEAD}) || {BODY} END")
     return raw.select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("site_id"), "url", F.col("page_id").cast("int").alias("pos"), html.alias("html"), "page_id")
 

@@ -1,7 +1,8 @@
 """Crawl snapshots: the tables that an audit reads, and how pages become them.
 
-Long format throughout: one row for each site, URL and lens. Bodies are read once, in
-``page_views`` and ``page_structure``; no later stage carries them.
+Long format throughout: one row for each site, URL and lens. Most lenses get the bytes that
+the browser gets, so text is extracted once for each distinct body (``extract_bodies``), told
+by its MD5 hash; later stages carry hashes, not bodies.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import html as H
 from ..functions import urls
-from ..functions.text import any_of
-from . import structured
+from ..functions.text import any_of, bound
+from . import html_parser, structured
 
 FETCHES = "site_id string, url string, pos int, lens string, final_url string, status int, headers map<string, string>, body string, elapsed_ms int, error string, blocked_by string, redirect_chain array<struct<`from`: string, status: int, `to`: string>>, challenge_marker string"
 
@@ -24,10 +25,12 @@ FETCHES = "site_id string, url string, pos int, lens string, final_url string, s
 class Crawl:
     """Tables keyed by site_id. ``sites``: site_id, start_url, final_url. ``verdicts``: bot,
     token, verdict, robots_present. ``sitemap``: as of ``sitemap.report``. ``entries``: loc,
-    lastmod. ``llms``: status, error, body of /llms.txt. Any table may be empty."""
+    lastmod. ``llms``: status, error, body of /llms.txt. ``fetches`` has bytes and sha in place
+    of the body, ``bodies`` what was extracted from each distinct one. Any table may be empty."""
 
     sites: DataFrame
     fetches: DataFrame
+    bodies: DataFrame
     views: DataFrame
     structure: DataFrame
     robots: DataFrame
@@ -57,13 +60,16 @@ def lens_urls(pages: DataFrame, registry: DataFrame) -> DataFrame:
 def challenge(body: Column, headers: Column) -> Column:
     """Vendor of a challenge page, by the first needle in the first 200,000 characters, else
     by response headers; null if it is none."""
-    low = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, fixed.CHALLENGE_BYTES))
-    out = F
-    for needle, vendor in fixed.CHALLENGES:
-        out = out.when(F.contains(low, F.lit(needle.lower())), F.lit(vendor))
     names = F.transform(F.map_keys(headers), lambda k: F.lower(k))
     by_header = F.contains(F.lower(F.coalesce(F.try_element_at(headers, F.lit("server")), F.lit(""))), F.lit("cloudflare")) & F.coalesce(F.array_contains(names, "cf-mitigated"), F.lit(False))
-    return F.when(low != "", out.when(by_header, F.lit("cloudflare")))
+
+    def vendor(low: Column) -> Column:
+        out = F
+        for needle, name in fixed.CHALLENGES:
+            out = out.when(F.contains(low, F.lit(needle.lower())), F.lit(name))
+        return F.when(low != "", out.when(by_header, F.lit("cloudflare")))
+
+    return bound(F.lower(F.substring(F.coalesce(body, F.lit("")), 1, fixed.CHALLENGE_BYTES)), vendor)
 
 
 def blocked_by(status: Column, marker: Column) -> Column:
@@ -82,30 +88,42 @@ def ok(prefix: str = "") -> Column:
     return F.col(f"{prefix}error").isNull() & F.coalesce(F.col(f"{prefix}status").between(200, 299), F.lit(False))
 
 
-def page_views(fetches: DataFrame) -> DataFrame:
-    """Main text and markers of every fetched body; the browser's lens is called browser-nojs."""
-    lens = F.when(F.col("lens") == "browser", "browser-nojs").otherwise(F.col("lens"))
-    rows = fetches.select("site_id", "url", "pos", lens.alias("lens"), "body", H.recall_text(F.col("body")).alias("_recall"), H.framework_markers(F.col("body")).alias("framework_markers"), H.shell_markers(F.col("body")).alias("shell_markers"))
+def slim(fetches: DataFrame) -> DataFrame:
+    """``fetches`` with the body's size and hash in its place; an empty body has no hash."""
+    rows = fetches.withColumns({"bytes": F.coalesce(F.octet_length("body"), F.lit(0)), "sha": F.md5(F.nullif("body", F.lit("")))})
+    return rows.drop("body")
+
+
+def extract_bodies(fetches: DataFrame) -> DataFrame:
+    """Main text and markers of every distinct body, by its hash ``sha``."""
+    rows = fetches.where("body <> ''").select(F.md5("body").alias("sha"), "body")
+    rows = rows.groupBy("sha").agg(F.first("body").alias("body"))  # all are the same
+    body = F.col("body")
+    rows = rows.select("sha", "body", H.recall_text(body).alias("_recall"), H.framework_markers(body).alias("framework_markers"), H.shell_markers(body).alias("shell_markers"))
     # each extraction is a column of its own, so that it is evaluated once; the second only where needed
-    rows = rows.withColumn("_precise", F.when(F.length("_recall") < fixed.RECALL_FLOOR, H.precision_text(F.col("body"))).otherwise(""))
-    text, mode, ratio = H.choose(F.col("_recall"), F.col("_precise"), F.length(F.coalesce("body", F.lit(""))))
-    rows = rows.select("site_id", "url", "pos", "lens", text.alias("text"), mode.alias("extraction_mode"), ratio.alias("extraction_ratio"), F.length(F.coalesce("body", F.lit(""))).alias("html_chars"), "framework_markers", "shell_markers")
+    rows = rows.withColumn("_precise", F.when(F.length("_recall") < fixed.RECALL_FLOOR, H.precision_text(body)).otherwise(""))
+    text, mode, ratio = H.choose(F.col("_recall"), F.col("_precise"), F.length(body))
+    rows = rows.select("sha", text.alias("text"), mode.alias("extraction_mode"), ratio.alias("extraction_ratio"), F.length(body).alias("html_chars"), "framework_markers", "shell_markers")
     return rows.withColumn("text_chars", F.length("text"))
 
 
+def page_views(fetched: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Main text and markers of every fetch; the browser's lens is called browser-nojs. Fetches
+    without a body have no text."""
+    lens = F.when(F.col("lens") == "browser", "browser-nojs").otherwise(F.col("lens"))
+    rows = fetched.select("site_id", "url", "pos", lens.alias("lens"), "sha").join(bodies, "sha", "left")
+    none = F.array().cast("array<string>")
+    empty = {"text": F.lit(""), "extraction_mode": F.lit("none"), "extraction_ratio": F.lit(0.0), "html_chars": F.lit(0), "framework_markers": none, "shell_markers": none, "text_chars": F.lit(0)}
+    return rows.select("site_id", "url", "pos", "lens", *(F.coalesce(c, v).alias(c) for c, v in empty.items()))
+
+
 def page_structure(fetches: DataFrame) -> DataFrame:
-    """Structure and structured data of the browser's pages."""
-    body = F.col("body")
-    rows = fetches.where("lens = 'browser'").select(
-        "site_id", "url", "pos", urls.path(F.col("url")).alias("path"), H.title(body).alias("title"), H.meta_tags(body).alias("meta_tags"), H.lang(body).alias("lang"),
-        H.canonicals(body).alias("canonicals"), H.headings(body).alias("headings"), H.time_datetimes(body).alias("time_datetimes"), H.has_main(body).alias("has_main"),
-        H.body_text(body).alias("body_text"), structured.parse(H.ld_blocks(body)).alias("ld"),
-    )
-    get = lambda k: F.try_element_at("meta_tags", F.lit(k))
+    """Structure and structured data of the browser's pages, by the tolerant parser: attributes with
+    and without quotes, all entities, of repeated description and robots tags the first."""
+    rows = html_parser.extract(fetches.where("lens = 'browser'").select("site_id", "url", "pos", "body"), "body")
     return rows.select(
-        "site_id", "url", "pos", "path", "title", get("description").alias("description"), get("robots").alias("robots_meta"), "lang",
-        H.attribute(F.try_element_at("canonicals", F.lit(1)), "href").alias("canonical"), F.size("canonicals").alias("canonical_count"), "meta_tags",
-        F.map_filter("meta_tags", lambda k, _: k.startswith("og:")).alias("og"), "headings", H.skipped_levels(F.col("headings")).alias("skipped"), "time_datetimes", "has_main", "body_text", "ld",
+        "site_id", "url", "pos", urls.path(F.col("url")).alias("path"), "title", "description", "robots_meta", "lang", "canonical", "canonical_count", "meta_tags",
+        F.map_filter("meta_tags", lambda k, _: k.startswith("og:")).alias("og"), "headings", H.skipped_levels(F.col("headings")).alias("skipped"), "time_datetimes", "has_main", "body_text", structured.parse(F.col("ld_blocks")).alias("ld"),
     )
 
 

@@ -51,7 +51,7 @@ class _Page(HTMLParser):
             self.found["has_main"] = True
         elif tag in ("script", "style"):
             self.skip = tag
-            self.block = [] if tag == "script" and a.get("type") == "application/ld+json" else None
+            self.block = [] if tag == "script" and a.get("type", "").strip().lower() == "application/ld+json" else None
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             self.head.append((int(tag[1]), []))
 
