@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -70,6 +71,35 @@ def settle(answer: Column, raw_verdict: Column, abstained: Column, failed: Colum
     return F.when(F.upper(F.trim(answer)) == "NOT_FOUND", "abstained").when(failed, "abstained").otherwise(parse_verdict(raw_verdict, abstained))
 
 
+def error_class(message: str) -> str:
+    """authentication, rate limit, context or provider: by the words of an error."""
+    low = message.lower()
+    return next((name for name, words in fixed.MODEL_ERRORS if any(w in low for w in words)), "provider")
+
+
+def retrying(client: Callable[[str], tuple[str, bool]], tries: int = fixed.MODEL_TRIES, base: float = fixed.MODEL_BACKOFF, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str, bool]]:
+    """``client`` with up to ``tries`` calls, base^n seconds after the n-th; then a RuntimeError that
+    begins with the class of the last error."""
+
+    def call(prompt: str) -> tuple[str, bool]:
+        for n in range(tries):
+            try:
+                return client(prompt)
+            except Exception as e:  # noqa: BLE001 - whatever the client raises is retried
+                last = e
+            if n + 1 < tries:
+                sleep(base**n)
+        raise RuntimeError(f"{error_class(str(last))} error after {tries} attempts: {type(last).__name__}: {last}") from last
+
+    return call
+
+
+def call_key(prompt: Column, model: str, system: str = "", max_tokens: int | None = None, base_url: str | None = None) -> Column:
+    """Key of a call in a log: the same prompt to another model, endpoint or limit is another call."""
+    parts = (model, fixed.MODEL_TEMPERATURE, fixed.MODEL_SEED, max_tokens, system)
+    return text.cache_key(F.lit("llm"), *(F.lit(None if x is None else str(x)) for x in parts), prompt, F.lit(base_url))
+
+
 def complete(prompts: DataFrame, client: Callable[[str], tuple[str, bool]], prompt: str = "prompt") -> DataFrame:
     """``prompts`` with completion, truncated and error, by ``client`` on the executors: the place
     where a model is called. Failures are data, not exceptions."""

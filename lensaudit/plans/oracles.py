@@ -286,3 +286,41 @@ ORACLE_SQL |= {
     "scores": f"WITH r AS ({_scored(fixed.SCORED_CATEGORIES)}), {_BY_CATEGORY} SELECT site_id, category, points, max, overall FROM g JOIN o USING (site_id)",
     "site_reports": f"WITH r AS ({_scored(('access', 'rendering'))}), {_BY_CATEGORY} SELECT site_id, overall, '1.0.0' AS version FROM o",
 }
+
+
+# The evaluation, from texts to metrics: chunks by a fold over sentences, the two best by words.
+_EVAL = rf"""
+d AS (SELECT source AS site_id, doc_id AS q_id, text, substr(text, 1, 60) AS question, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 100, 80) END AS span FROM documents WHERE trim(text) <> ''),
+bl AS (SELECT q_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS block FROM d),
+fo AS (
+  SELECT q_id, block, list_reduce(list_transform({_SENT}, lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': x, 'size': CAST(greatest(1, length(x) // 4) AS INT)}}),
+    lambda a, x: CASE WHEN a.size + x.size > 400 THEN {{'out': list_append(a.out, a.cur), 'cur': x.cur, 'size': x.size}} ELSE {{'out': a.out, 'cur': a.cur || ' ' || x.cur, 'size': a.size + x.size}} END) AS f
+  FROM bl WHERE block <> ''
+), cl AS (SELECT q_id, CASE WHEN greatest(1, length(block) // 4) > 400 THEN list_append(f.out, f.cur) ELSE [block] END AS parts FROM fo),
+cc AS (SELECT q_id, CASE WHEN len(parts) >= 3 THEN parts ELSE [regexp_replace(d.text, '^\s+|\s+$', '', 'g')] END AS parts, len(parts) >= 3 AS chunked FROM cl JOIN d USING (q_id)),
+ck AS (SELECT q_id, unnest(parts) AS text, unnest(range(len(parts))) AS idx FROM cc),
+w AS (SELECT q_id, idx, ck.text, {_WORDS.format("question")} AS q, {_WORDS.format("ck.text")} AS t FROM ck JOIN d USING (q_id)),
+z AS (SELECT *, coalesce(len(list_intersect(q, t)) / nullif(sqrt(len(q) * len(t)), 0), 0) AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, idx) AS rank FROM z QUALIFY rank <= 2),
+pr AS (SELECT q_id, sum(length('[' || rank || '] (relevance ' || printf('%.3f', score) || ')' || chr(10) || r.text)) + 2 * (count(*) - 1) + length(any_value(question)) + length({{prompt}}) AS prompt_chars,
+  bool_or(span <> '' AND (contains(regexp_replace(lower(r.text), '\s+', ' ', 'g'), substr(trim(regexp_replace(lower(span), '\s+', ' ', 'g')), 1, 120)) OR contains(regexp_replace(lower(r.text), '\s+', ' ', 'g'), array_to_string(string_split(trim(substr(trim(regexp_replace(lower(span), '\s+', ' ', 'g')), 1, 120)), ' ')[1:12], ' '))) AND trim(regexp_replace(span, '\s+', ' ', 'g')) <> '') AS span_hit
+  FROM r JOIN d USING (q_id) GROUP BY q_id),
+o AS (
+  SELECT d.site_id, 'd' || q_id AS url, q_id, trial, span <> '' AS has_span, span_hit, prompt_chars, h IN (7, 8) AS failed, CASE WHEN h < 6 THEN 'yes' WHEN h = 9 THEN '' ELSE 'NOT_FOUND' END AS answer, h >= 6 AS abstained, CASE WHEN h < 6 THEN '[1]' ELSE '' END AS quoted,
+         CASE WHEN h IN (6, 7, 8) OR j = 4 THEN 'abstained' WHEN j = 0 THEN 'correct' WHEN j = 1 THEN 'partially_correct' WHEN j = 2 THEN 'incorrect' WHEN h = 9 THEN 'abstained' ELSE 'incorrect' END AS verdict
+  FROM (SELECT *, (q_id * 7 + trial * 3) % 10 AS h, (q_id + trial) % 5 AS j FROM d CROSS JOIN (VALUES (0), (1), (2)) AS v(trial)) d JOIN pr USING (q_id)
+)""".replace("{prompt}", "'" + (fixed.ANSWER_PROMPT.replace("{context}", "").replace("{question}", "")) + "'")
+_OUTCOMES = """
+b AS (
+  SELECT site_id, url, trial, count(*) AS n, sum(CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partially_correct' THEN 0.5 ELSE 0.0 END)::DOUBLE AS points, count(*) FILTER (NOT failed AND verdict = 'abstained') AS abstained,
+         count(*) FILTER (NOT failed AND verdict = 'incorrect') AS wrong, count(*) FILTER (has_span AND span_hit) AS hits, count(*) FILTER (has_span) AS spans, count(DISTINCT q_id) AS questions
+  FROM o GROUP BY ALL
+), sc AS (SELECT *, round(100.0 * points / n, 4) AS score FROM b),
+q AS (SELECT site_id, q_id, count(*) FILTER (verdict = 'correct') AS correct FROM o GROUP BY ALL)"""
+ORACLE_SQL |= {
+    "eval_outcomes": f"WITH {_EVAL} SELECT q_id, trial, answer, abstained, quoted, verdict, has_span, span_hit, failed, CAST(prompt_chars AS BIGINT) AS prompt_chars FROM o",
+    "eval_answers": f"""WITH {_EVAL}, {_OUTCOMES}, {_pooled('site_id')}, cv AS (SELECT site_id, round(avg(round(CAST(correct = 0 AS DOUBLE), 4)), 4) AS coverage_loss, least(100, count(*) FILTER (correct < 2)) AS n_failures FROM q GROUP BY site_id),
+sh AS (SELECT site_id, count(*) AS chunk_count, CASE WHEN bool_or(NOT chunked) THEN 'whole_page' ELSE 'chunked' END AS mode FROM ck JOIN cc USING (q_id) JOIN d USING (q_id) GROUP BY site_id), ts AS (SELECT site_id, round(sum(score), 3) AS trial_scores FROM sc GROUP BY site_id)
+SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, coverage_loss, pages, trials, chunk_count, mode, n_failures, trial_scores
+FROM e JOIN cv USING (site_id) JOIN sh USING (site_id) JOIN ts USING (site_id)""",
+}

@@ -10,7 +10,7 @@ from .. import fixed
 from ..functions import dates, numbers, urls
 from ..functions import html as H
 from ..functions import text as T
-from ..operators import catalog, checks, chunking, cost, evals, generate, judging, questions, report, retrieval, scoring
+from ..operators import catalog, checks, chunking, cost, eval_run, evals, generate, judging, questions, report, retrieval, scoring
 from ..sources import crawl as C
 from ..sources import robots as R
 from ..sources import sitemap as S
@@ -341,6 +341,44 @@ def eval_failures(spark, sf_dir):
     return evals.failures(trials(spark, sf_dir)).groupBy("site_id", "likely_cause").agg(F.count(F.lit(1)).alias("n"))
 
 
+def headed(spark, sf_dir):
+    """Documents with headings put between their lines: every seventh line of a text is one, of a
+    level by its place; every third document has none."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((F.col("doc_id") % 3 != 0) & (i % 7 == 6), F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" Part "), i.cast("string"))).otherwise(x))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.concat(F.lit("d"), "doc_id").alias("url"), "doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+def chunk_rows(spark, sf_dir):
+    """Every chunk of documents with headings, in full."""
+    rows = chunking.chunks(headed(spark, sf_dir), ["doc_id"], target=60, overlap=20)
+    return rows.select("doc_id", "chunk_idx", "heading_path", "tokens", F.length("text").cast("long").alias("chars"), F.md5("text").alias("md5"))
+
+
+def _eval(spark, sf_dir):
+    """One question about each document, from its own words; answers and verdicts are recorded, by
+    arithmetic on the id and trial, with errors, cut-off answers, abstentions and prose."""
+    docs = table(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("source").alias("site_id"), F.concat(F.lit("d"), "doc_id").alias("url"), F.col("doc_id").alias("q_id"), "text")
+    asks = docs.select("site_id", "url", "q_id", F.substring("text", 1, 60).alias("question"), F.substring("text", 61, 40).alias("reference_answer"), F.expr("CASE WHEN q_id % 4 = 0 THEN '' ELSE substring(text, 100, 80) END").alias("source_span"))
+    cells = asks.select("site_id", "url", "q_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("trial"))
+    h, j = F.expr("(q_id * 7 + trial * 3) % 10"), F.expr("(q_id + trial) % 5")
+    said = F.when(h < 6, "Answer: yes\nUsed: [1]").when(h == 6, "not_found here").when(h == 9, "").otherwise("half an ans")
+    answers = cells.withColumns({"completion": said, "truncated": h == 8, "error": F.when(h == 7, "provider error")})
+    grades = cells.withColumns({"completion": F.when(j == 0, '{"verdict": "correct"}').when(j == 1, "it is partially correct").when(j == 2, 'Well: {"verdict": "Incorrect"}.').otherwise("??"), "truncated": F.lit(False), "error": F.when(j == 4, "rate limit")})
+    return eval_run.run(docs.select("site_id", "url", "text"), asks, eval_run.recorded(answers), eval_run.recorded(grades), k=2)
+
+
+def eval_outcomes(spark, sf_dir):
+    rows, _ = _eval(spark, sf_dir)
+    return rows.select("q_id", "trial", "answer", "abstained", "quoted", "verdict", "has_span", "span_hit", (F.col("error").isNotNull()).alias("failed"), F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+def eval_answers(spark, sf_dir):
+    """The whole evaluation, pages to site metrics."""
+    outcomes, made = _eval(spark, sf_dir)
+    rows = eval_run.results(outcomes, made)
+    return rows.select("site_id", "mean", "per_trial_stddev", "ci_low", "ci_high", "question_trials", "abstention_rate", "hallucination_rate", "context_recall", "retrieval_gap", "coverage_loss", "pages", "trials", "chunk_count", "mode", F.col("n_failures").cast("long").alias("n_failures"), F.round(F.aggregate("per_trial", F.lit(0.0), lambda a, x: a + x), 3).alias("trial_scores"))
+
+
 def eval_gate(spark, sf_dir):
     rows = evals.site_results(trials(spark, sf_dir)).withColumn("confidence", F.when(F.length("site_id") == 4, "low").otherwise("high"))
     return evals.gate(rows, 60.0, margin=8.0).select("site_id", "fails", (F.col("note") != "").alias("noted"))
@@ -398,6 +436,6 @@ QUERIES = {
         robots_verdicts, robots_posture, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
         category_scores, overall_scores, status_counts, top_findings, calibration, llms_sections, generated_robots, generated_json_ld, jaccard_docs_benchmark, question_dedupe,
         question_filter, generation_budget, chunk_docs, prepared_docs, lexical_top_k, lexical_top_k_corpus, vector_top_k, span_recall, parsed_answers, parsed_verdicts, eval_trials,
-        eval_pages, eval_sites, eval_failures, eval_gate, ci95_by_lang, cost_estimate, price_lookup, site_reports, block_stream,
+        eval_pages, eval_sites, eval_failures, eval_gate, chunk_rows, eval_outcomes, eval_answers, ci95_by_lang, cost_estimate, price_lookup, site_reports, block_stream,
     )
 } | {"check_" + i.lower().replace("-", ""): _check(i) for i, *_ in fixed.CATALOG}
