@@ -178,7 +178,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     did, th, found = common.fresh(base, "_did", "_th", "_runs")
     runs = repeated_runs(base.select("doc_id", "text"), least).withColumnsRenamed({"did": did, "th": th, "runs": found})
     key = (F.coalesce(base["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col(did)) & (F.xxhash64(base["text"]) == F.col(th))
-    joined = base.join(runs, key, "left").drop(did, th)
+    # one plan at every size: both sides are plain shuffles, which are split by their skew
+    joined = base.join(runs.hint("merge"), key, "left").drop(did, th)
 
     def run(batches):
         for b in common.batched(batches, "text", BATCH_BYTES):
