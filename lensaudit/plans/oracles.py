@@ -163,8 +163,8 @@ UNION ALL SELECT DISTINCT site_id, 0, start_url FROM p JOIN s USING (site_id) WH
     "chunk_docs": f"WITH {_CHUNKS} SELECT doc_id, CAST(len(lens) AS BIGINT) AS chunks, CAST(list_sum(list_transform(lens, lambda x: greatest(1, x // 4))) AS BIGINT) AS tokens, CAST(list_max(lens) AS BIGINT) AS longest FROM ck",
     "prepared_docs": f"WITH {_CHUNKS} SELECT CASE WHEN len(lens) >= 3 THEN 'chunked' ELSE 'whole_page' END AS mode, count(*) AS docs, CAST(sum(CASE WHEN len(lens) >= 3 THEN len(lens) ELSE 1 END) AS BIGINT) AS chunks FROM ck GROUP BY 1",
     "lexical_top_k": f"WITH {_LINES}, {_ASKS}, w AS (SELECT q_id, doc_id, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM ak JOIN ln USING (page)), z AS (SELECT q_id, doc_id, coalesce(len(list_intersect(q, t)) / nullif(sqrt(len(q) * len(t)), 0), 0) AS score FROM w), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM z) SELECT q_id, rank, doc_id, round(score, 9) AS score FROM r WHERE rank <= 5",
-    "lexical_top_k_corpus": f"WITH {_LINES}, {_ASKS}, w AS (SELECT q_id, doc_id, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM ak CROSS JOIN ln), z AS (SELECT q_id, doc_id, len(list_intersect(q, t)) / sqrt(len(q) * len(t)) AS score FROM w WHERE len(list_intersect(q, t)) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC) AS INT) AS rank FROM z) SELECT q_id, rank, round(score, 9) AS score FROM r WHERE rank <= 5",
-    "vector_top_k": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), z AS (SELECT q.vec_id AS q_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c USING (label)) SELECT q_id, vec_id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 5",
+    "lexical_top_k_corpus": f"WITH {_LINES}, {_ASKS}, w AS (SELECT q_id, ln.page, doc_id, {_WORDS.format('question')} AS q, {_WORDS.format('ln.text')} AS t FROM ak CROSS JOIN ln), z AS (SELECT q_id, page, doc_id, len(list_intersect(q, t)) / sqrt(len(q) * len(t)) AS score FROM w WHERE len(list_intersect(q, t)) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, page, doc_id) AS INT) AS rank FROM z) SELECT q_id, rank, page, doc_id, round(score, 9) AS score FROM r WHERE rank <= 5",
+    "vector_top_k": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), z AS (SELECT q.vec_id AS q_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c USING (label)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY round(score, 12) DESC, vec_id) AS INT) AS rank FROM z) SELECT q_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5",
     "eval_trials": f"WITH {_TRIALS} SELECT site_id, url, trial, n, points, abstained, wrong, hits, spans, score FROM sc",
     "eval_pages": f"WITH {_TRIALS}, {_pooled('site_id, url')} SELECT site_id, url, {_METRICS}, round(hits / nullif(spans, 0), 4) AS context_recall, questions, trials FROM e",
     "eval_sites": f"WITH {_TRIALS}, {_pooled('site_id')}, cl AS (SELECT site_id, round(avg(x), 4) AS coverage_loss FROM (SELECT site_id, url, round(avg(CAST(correct = 0 AS DOUBLE)), 4) AS x FROM q GROUP BY ALL) GROUP BY site_id) SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, questions, pages, trials, coverage_loss FROM e JOIN cl USING (site_id)",
@@ -324,3 +324,19 @@ sh AS (SELECT site_id, count(*) AS chunk_count, CASE WHEN bool_or(NOT chunked) T
 SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, coverage_loss, pages, trials, chunk_count, mode, n_failures, trial_scores
 FROM e JOIN cv USING (site_id) JOIN sh USING (site_id) JOIN ts USING (site_id)""",
 }
+
+_PURPOSES = "(VALUES " + ", ".join(f"('{b[0]}', '{b[3]}')" for b in fixed.BOTS if b[0] in fixed.DEFAULT_BOTS) + ") AS v(bot, purpose)"
+ORACLE_SQL |= {
+    "access_evidence": f"""WITH {_SIM}, {_L}, sp AS (SELECT site_id, first_id, length(site_id) % 5 AS m, coalesce(nullif(regexp_extract(start_url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS spath FROM s),
+vb AS (SELECT site_id, bot, purpose FROM sp CROSS JOIN {_PURPOSES} WHERE CASE m WHEN 1 THEN bot IN ('GPTBot', 'CCBot') OR spath LIKE '/private%' WHEN 2 THEN NOT (spath = '/' OR regexp_matches(spath, '^/.*/1')) WHEN 3 THEN bot <> 'ClaudeBot' ELSE false END),
+bl AS (SELECT site_id, string_agg(bot, ',' ORDER BY bot) AS blocked, string_agg(purpose || ':' || bot, ',' ORDER BY purpose, bot) AS by_purpose FROM vb GROUP BY site_id),
+rn AS (SELECT nv.site_id, nv.page_id, nv.url, length(nv.text) AS ch, CASE WHEN nv.page_id % 3 = 0 THEN length(rv.text) ELSE 0 END AS rch FROM nv JOIN rv USING (page_id)),
+ra AS (SELECT site_id, arg_min(url, (round(ch / rch, 4), page_id)) FILTER (rch >= 400) AS worst_page, count(*) FILTER (ch < 1200) AS small, list_sort(list(ch))[count(*) // 2 + 1] AS median_chars, count(*) FILTER (ch < 100) AS thin FROM rn GROUP BY site_id),
+ab AS (SELECT site_id, count(*) FILTER (kind IN ('waf', 'down', 'challenge')) AS blocked_responses, count(*) AS responses FROM l GROUP BY site_id)
+SELECT site_id, coalesce(blocked, '') AS blocked, coalesce(by_purpose, '') AS by_purpose, CASE WHEN first_id % 2 = 0 THEN CAST(63072000 AS BIGINT) END AS hsts_max_age, CAST(CASE WHEN first_id % 50 = 0 OR first_id % 25 = 0 THEN 2 WHEN first_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hops,
+  worst_page, small, CAST(median_chars AS BIGINT) AS median_chars, thin, blocked_responses, responses FROM sp LEFT JOIN bl USING (site_id) JOIN ra USING (site_id) JOIN ab USING (site_id)""",
+    "structure_evidence": f"WITH {_UP} SELECT site_id, count(*) AS pages, " + ", ".join(f"count(*) FILTER ({cond}) AS {name}" for name, cond in (
+        ("description_missing", "down OR m4 = 0"), ("description_out", "NOT down AND m4 = 1"), ("canonical_absent", "down OR m5 = 0"), ("canonical_odd", "NOT down AND m5 <> 0 AND (m5 IN (1, 2) OR page_id % 35 = 14)"),
+        ("h1_none", "down"), ("h1_multiple", "NOT down AND m8 = 3"), ("h1_empty", "false"), ("headings_none", "down"), ("headings_bad", "NOT down AND m8 IN (1, 2, 4)"), ("headings_worse", "false"), ("lang_absent", "down OR m9 = 5"), ("lang_invalid", "NOT down AND m9 = 4"),
+        ("ld_none", "down OR m4 = 0"), ("ld_unparsed", "NOT down AND m4 = 2"), ("ld_untyped", "false"), ("og_none", "down OR m3 = 0 AND m2 = 1"), ("og_problems", "down OR m3 <> 1 OR m2 = 1"))) + " FROM u GROUP BY site_id",
+}

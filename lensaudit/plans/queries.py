@@ -47,6 +47,35 @@ def _check(check_id: str):
     return run
 
 
+def _facts(df: DataFrame, **fields: str) -> DataFrame:
+    """site_id and some fields of a check's evidence: output name = path and type."""
+    return df.select("site_id", *(F.get_json_object("evidence", f"$.{at.split()[0]}").cast(at.split()[1]).alias(name) for name, at in fields.items()))
+
+
+def access_evidence(spark, sf_dir):
+    """Evidence lists, medians, arguments of the least and HSTS ages of five checks."""
+    c = crawl(spark, sf_dir)
+    run = lambda i: checks.CHECKS[i](c)
+    rules = run("ACC-001").select("site_id", F.array_join(F.from_json(F.get_json_object("evidence", "$.blocked"), "array<string>"), ",").alias("blocked"), F.array_join(F.transform(F.from_json(F.get_json_object("evidence", "$.by_purpose"), "array<struct<purpose: string, bot: string>>"), lambda x: F.concat_ws(":", x["purpose"], x["bot"])), ",").alias("by_purpose"))
+    rows = rules.join(_facts(run("SITE-001"), hsts_max_age="hsts_max_age long", hops="hops long"), "site_id")
+    rows = rows.join(_facts(run("REN-001"), worst_page="worst_page string", small="small long"), "site_id")
+    return rows.join(_facts(run("REN-002"), median_chars="median_chars long", thin="thin long"), "site_id").join(_facts(run("ACC-003"), blocked_responses="blocked long", responses="total long"), "site_id")
+
+
+def structure_evidence(spark, sf_dir):
+    """The counts that the structure checks report."""
+    c = crawl(spark, sf_dir)
+    want = {
+        "STR-002": {"pages": "pages", "description_missing": "missing", "description_out": "out_of_range"}, "STR-003": {"canonical_absent": "absent", "canonical_odd": "odd"}, "STR-004": {"h1_none": "none", "h1_multiple": "multiple", "h1_empty": "empty"},
+        "STR-005": {"headings_none": "without", "headings_bad": "bad", "headings_worse": "worse"}, "STR-006": {"lang_absent": "absent", "lang_invalid": "invalid"}, "SD-001": {"ld_none": "without", "ld_unparsed": "unparsed", "ld_untyped": "untyped"}, "SD-003": {"og_none": "without", "og_problems": "problems"},
+    }
+    rows = None
+    for check, fields in want.items():
+        got = _facts(checks.CHECKS[check](c), **{k: f"{v} long" for k, v in fields.items()})
+        rows = got if rows is None else rows.join(got, "site_id")
+    return rows
+
+
 # Pages
 
 
@@ -286,13 +315,13 @@ def lexical_top_k(spark, sf_dir):
 
 def lexical_top_k_corpus(spark, sf_dir):
     rows = retrieval.lexical_top_k_corpus(_asks(spark, sf_dir), _chunked(spark, sf_dir), ["page"])
-    return rows.select("q_id", "rank", F.round("score", 9).alias("score"))
+    return rows.select("q_id", "rank", "page", F.col("chunk_idx").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 def vector_top_k(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), "vec_id", F.col("embedding").alias("vector"))
     rows = retrieval.vector_top_k(v.withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "chunk_idx"), ["page"])
-    return rows.select("q_id", F.col("chunk_idx").alias("vec_id"), F.round("score", 6).alias("score"))
+    return rows.select("q_id", "rank", F.col("chunk_idx").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def span_recall(spark, sf_dir):
@@ -432,7 +461,7 @@ def block_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
+        access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
         robots_verdicts, robots_posture, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
         category_scores, overall_scores, status_counts, top_findings, calibration, llms_sections, generated_robots, generated_json_ld, jaccard_docs_benchmark, question_dedupe,
         question_filter, generation_budget, chunk_docs, prepared_docs, lexical_top_k, lexical_top_k_corpus, vector_top_k, span_recall, parsed_answers, parsed_verdicts, eval_trials,

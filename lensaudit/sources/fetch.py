@@ -59,6 +59,7 @@ def guard(url: str, lookup: Callable[[str], list[str]] = resolve) -> str | None:
             found = [ipaddress.ip_address(a) for a in lookup(parts.hostname)]
         except (OSError, UnicodeError, ValueError) as e:
             return f"blocked: {parts.hostname} does not resolve: {e}"
+    found = [getattr(a, "ipv4_mapped", None) or a for a in found]  # ::ffff:10.0.0.1 is 10.0.0.1
     bad = [str(a) for a in found if any(a.version == n.version and a in n for n in _BLOCKED)]
     return f"blocked: {parts.hostname} is {bad[0]}" if bad else None
 

@@ -24,7 +24,7 @@ def test_redirects_limits_and_failures():
 
 def test_guard():
     assert fetch.guard("http://x.net/", PUBLIC) is None
-    for url in ("ftp://x.net/", "http://127.0.0.1/", "http://[::1]/", "http://", "http://169.254.169.254/x"):
+    for url in ("ftp://x.net/", "http://127.0.0.1/", "http://[::1]/", "http://[::ffff:127.0.0.1]/", "http://", "http://169.254.169.254/x"):
         assert fetch.guard(url, PUBLIC)
     assert fetch.guard("http://x.net/", lambda h: ["8.8.8.8", "192.168.0.1"]) and fetch.guard("http://x.net/", lambda h: ["nope"])
 

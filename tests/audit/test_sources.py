@@ -86,3 +86,24 @@ def test_facts(spark, tmp_path):
             f.write_text(bad)
         with pytest.raises(ValueError):
             facts.load(spark, str(f))
+
+
+MINIFIED = """<!doctype html><html lang=en><head><title>\tCaf&eacute; &mdash; x\n</title><meta name=description content="First&nbsp;one"><meta name=description content=Second><meta name=robots content=noindex><meta name=robots content=all><link rel=canonical href=/x></head><body><h1>H</h1>"""
+
+
+def test_minified_pages(spark):
+    fetched = spark.createDataFrame([("s", "https://a/x", 0, "browser", MINIFIED)], "site_id string, url string, pos int, lens string, body string")
+    r = crawl.page_structure(fetched).collect()[0]
+    assert (r.title, r.lang, r.description, r.robots_meta, r.canonical, r.canonical_count) == ("Café — x", "en", "First\xa0one", "noindex", "/x", 1)
+    h = F.col("body")
+    a = fetched.select(H.lang(h), F.size(H.canonicals(h)), H.attribute(F.try_element_at(H.canonicals(h), F.lit(1)), "href")).collect()[0]
+    assert tuple(a) == ("en", 1, "/x")
+
+
+def test_a_body_is_extracted_once(spark):
+    page = "<html><body><main><p>" + "some words here " * 30 + "</p></main></body></html>"
+    rows = [("s", "u", i, lens, body) for i, (lens, body) in enumerate((("browser", page), ("A", page), ("B", page), ("C", None), ("D", "")))]
+    f = spark.createDataFrame(rows, "site_id string, url string, pos int, lens string, body string")
+    slim, bodies = crawl.slim(f), crawl.extract_bodies(f)
+    views = {r.lens: r for r in crawl.page_views(slim, bodies).collect()}
+    assert bodies.count() == 1 and views["A"].text == views["browser-nojs"].text != "" and (views["C"].text, views["D"].extraction_mode, views["D"].shell_markers) == ("", "none", [])
