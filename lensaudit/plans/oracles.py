@@ -340,3 +340,34 @@ SELECT site_id, coalesce(blocked, '') AS blocked, coalesce(by_purpose, '') AS by
         ("h1_none", "down"), ("h1_multiple", "NOT down AND m8 = 3"), ("h1_empty", "false"), ("headings_none", "down"), ("headings_bad", "NOT down AND m8 IN (1, 2, 4)"), ("headings_worse", "false"), ("lang_absent", "down OR m9 = 5"), ("lang_invalid", "NOT down AND m9 = 4"),
         ("ld_none", "down OR m4 = 0"), ("ld_unparsed", "NOT down AND m4 = 2"), ("ld_untyped", "false"), ("og_none", "down OR m3 = 0 AND m2 = 1"), ("og_problems", "down OR m3 <> 1 OR m2 = 1"))) + " FROM u GROUP BY site_id",
 }
+
+# Chunks of documents with headings (see queries.headed), 60 tokens, an overlap of 12 at most: a fold over blocks.
+_SIZE = "CAST(greatest(1, length({}) // 4) AS INT)"
+_NO_OUT = "CAST([] AS STRUCT(path VARCHAR, text VARCHAR, tokens INT)[])"
+_PUT = "[{{'path': a.path, 'text': array_to_string(a.held, chr(10) || chr(10)), 'tokens': {}}}]"
+_WIDE = _PUT.format(_SIZE.format("array_to_string(a.held, chr(10) || chr(10))"))
+_FIT = "list_max(list_filter(range(len(a.held) + 1), lambda m: coalesce(list_sum(list_transform(a.held[len(a.held) - m + 1:], lambda y: greatest(1, length(y) // 4))), 0) <= 12))"
+_TAIL = f"a.held[len(a.held) - {_FIT} + 1:]"
+ORACLE_SQL["chunk_rows"] = rf"""
+WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+lb AS (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(13)) AS line, CASE WHEN doc_id % 3 <> 0 THEN (i + 1) // 7 ELSE 0 END AS g FROM ln WHERE doc_id % 3 = 0 OR i % 7 <> 6),
+bk AS (SELECT doc_id, g, string_agg(line, chr(10) ORDER BY i) AS block FROM lb WHERE line <> '' GROUP BY ALL),
+bp AS (SELECT *, {_SIZE.format("block")} AS n, CASE WHEN g = 0 THEN '' ELSE array_to_string(list_transform(range(g - (g - 1) % 3, g + 1), lambda k: 'Part ' || (7 * k - 1)), ' > ') END AS path FROM bk),
+pk AS (
+  SELECT *, CASE WHEN n > 60 THEN list_reduce(list_transform({_SENT}, lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': x, 'size': {_SIZE.format("x")}}}),
+    lambda a, x: CASE WHEN a.size + x.size > 60 THEN {{'out': list_append(a.out, a.cur), 'cur': x.cur, 'size': x.size}} ELSE {{'out': a.out, 'cur': a.cur || ' ' || x.cur, 'size': a.size + x.size}} END) END AS f
+  FROM bp
+), el AS (
+  SELECT doc_id, list_concat([{{'out': {_NO_OUT}, 'held': CAST([] AS VARCHAR[]), 'total': CAST(0 AS INT), 'path': '', 'pieces': CAST([] AS VARCHAR[])}}],
+    list({{'out': {_NO_OUT}, 'held': [block], 'total': n, 'path': path, 'pieces': CASE WHEN n > 60 THEN list_append(f.out, f.cur) ELSE CAST([] AS VARCHAR[]) END}} ORDER BY g)) AS els
+  FROM pk GROUP BY doc_id
+), fo AS (
+  SELECT doc_id, list_reduce(els, lambda a, x: CASE
+    WHEN x.total > 60 THEN {{'out': list_concat(a.out, CASE WHEN len(a.held) > 0 THEN {_PUT.format(_SIZE.format("array_to_string(a.held, ' ')"))} ELSE {_NO_OUT} END, list_transform(x.pieces, lambda y: {{'path': x.path, 'text': y, 'tokens': {_SIZE.format("y")}}})),
+      'held': CAST([] AS VARCHAR[]), 'total': CAST(0 AS INT), 'path': x.path, 'pieces': CAST([] AS VARCHAR[])}}
+    WHEN len(a.held) > 0 AND a.total + x.total > 60 THEN {{'out': list_concat(a.out, {_WIDE}), 'held': list_concat({_TAIL}, x.held), 'total': CAST({_SIZE.format(f"array_to_string({_TAIL}, ' ')")} + x.total AS INT), 'path': x.path, 'pieces': CAST([] AS VARCHAR[])}}
+    ELSE {{'out': a.out, 'held': list_concat(a.held, x.held), 'total': CAST(a.total + x.total AS INT), 'path': x.path, 'pieces': CAST([] AS VARCHAR[])}} END) AS a
+  FROM el
+), oc AS (SELECT doc_id, CASE WHEN len(a.held) > 0 THEN list_concat(a.out, {_WIDE}) ELSE a.out END AS cs FROM fo),
+ch AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM oc)
+SELECT doc_id, CAST(i AS INT) AS chunk_idx, c.path AS heading_path, c.tokens AS tokens, CAST(length(c.text) AS BIGINT) AS chars, md5(c.text) AS md5 FROM ch"""
