@@ -1,4 +1,4 @@
-"""Command line over crawl snapshots in Parquet: audit, generate, schema, version.
+"""Command line over crawl snapshots in Parquet: audit, generate, schema, doctor, telemetry, version.
 
 A snapshot folder holds ``sites``, ``fetches``, ``robots``, ``entries``, ``faults`` and
 ``llms`` as Parquet (columns: see ``plans.audit.build``); absent ones count as empty.
@@ -7,20 +7,24 @@ A snapshot folder holds ``sites``, ``fetches``, ``robots``, ``entries``, ``fault
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+import pyspark
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import config, fixed
-from .operators import generate, report, scoring
+from .operators import cost, generate, providers, report, scoring, usage
 from .plans import audit
 from .sources import crawl as C
 from .sources import robots as R
 
 VERSION = "0.1.0"
-OK, BELOW, USAGE = 0, 1, 2
+OK, BELOW, USAGE = fixed.EXIT_OK, fixed.EXIT_BELOW, fixed.EXIT_USAGE
+#: Errors and the codes they end with; the first that fits.
+CODES = ((cost.UnknownPrice, fixed.EXIT_COST), (cost.OverBudget, fixed.EXIT_COST), (config.ConfigError, USAGE), (KeyError, USAGE), (ValueError, USAGE))
 TABLES = {
     "sites": "site_id string, start_url string, final_url string", "fetches": C.FETCHES, "robots": "site_id string, body string, parse_failed boolean", "entries": "site_id string, loc string, lastmod string",
     "faults": "site_id string, error string", "llms": "site_id string, status int, error string, body string",
@@ -62,7 +66,16 @@ def _parser() -> argparse.ArgumentParser:
     g.add_argument("path")
     g.add_argument("--policy", choices=fixed.ROBOT_POLICIES, default="allow-search-block-training")
     g.add_argument("--type", choices=tuple(fixed.JSONLD_SKELETONS), default="Organization")
+    a.add_argument("--model", help="with --max-cost: the model an evaluation would use")
+    a.add_argument("--max-cost", type=float, help="end with code 5 if an evaluation would cost more")
+    a.add_argument("--input-cost-per-mtok", type=float)
+    a.add_argument("--output-cost-per-mtok", type=float)
+    a.add_argument("--questions", type=int)
+    a.add_argument("--trials", type=int)
+    a.add_argument("--dry-run", action="store_true", help="print the estimate of an evaluation, audit nothing")
     sub.add_parser("schema")
+    sub.add_parser("doctor")
+    sub.add_parser("telemetry")
     sub.add_parser("version")
     return p
 
@@ -75,17 +88,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
     if args.command == "version":
         out(VERSION)
         return OK
+    if args.command == "telemetry":
+        on, why = usage.telemetry(os.environ)
+        out(f"telemetry is {'on' if on else 'off'}: {why}")
+        return OK
+    if args.command == "doctor":
+        found = providers.detect(os.environ)
+        out(f"lensaudit {VERSION}, Python {sys.version.split()[0]}, Spark {pyspark.__version__}")
+        out(f"model: {found[1]} by {found[0]}" if found else "model: no key of a provider is set")
+        return OK
     spark = spark or SparkSession.builder.appName("lensaudit").getOrCreate()
     try:
         if args.command == "generate":
             return _generate(spark, args, out)
         if args.command == "schema":
-            out(report.json_schema(spark.createDataFrame([], "site_id string, report string")))
+            out(report.json_schema(spark))
             return OK
         return _audit(spark, args, out)
-    except (config.ConfigError, KeyError, ValueError) as e:
+    except tuple(kind for kind, _ in CODES) as e:
         out(f"error: {e}")
-        return USAGE
+        return next(code for kind, code in CODES if isinstance(e, kind))
+    except Exception as e:  # noqa: BLE001 - the last resort of a command
+        out(f"internal error: {type(e).__name__}: {e}")
+        return fixed.EXIT_INTERNAL
 
 
 def _audit(spark: SparkSession, args, out) -> int:
@@ -94,9 +119,25 @@ def _audit(spark: SparkSession, args, out) -> int:
         raise ValueError(f"unknown formats {', '.join(sorted(bad))}")
     if len(formats) > 1 and not args.output:
         raise ValueError("several formats need --output")
-    cfg = config.override(config.load(args.config), {"audit": {"policy": args.policy, "only": args.only, "skip": args.skip, "bots": args.bots, "fail_under": args.fail_under}}, "flags")
+    cfg = config.override(config.load(args.config), {"audit": {"policy": args.policy, "only": args.only, "skip": args.skip, "bots": args.bots, "fail_under": args.fail_under}, "eval": {"questions": args.questions, "trials": args.trials, "max_cost": args.max_cost, "input_cost_per_mtok": args.input_cost_per_mtok, "output_cost_per_mtok": args.output_cost_per_mtok}}, "flags")
+    if cfg.eval.questions > 200:
+        raise ValueError("at most 200 questions")
+    if args.model and (args.dry_run or cfg.eval.max_cost is not None):
+        estimate = _estimate(spark, args, cfg)
+        if args.dry_run:
+            for r in estimate.orderBy("site_id").toLocalIterator():
+                out(f"{r['site_id']}: {r['answer_calls']} answers, {r['input_tokens']} tokens in, {r['output_tokens']} out, ${r['cost_usd']:.4f}")
+            return OK
     c = load(spark, args.path, cfg, args.now)
     rows = audit.run(c, cfg.audit.policy, cfg.audit.only, cfg.audit.skip).persist()
+    try:
+        return _report(args, cfg, formats, c, rows, out)
+    finally:
+        rows.unpersist()
+        audit.release(c)
+
+
+def _report(args, cfg: config.Config, formats: list[str], c: C.Crawl, rows: DataFrame, out) -> int:
     if args.output:
         report.write(c.sites, rows, formats, args.output, args.force)
     else:
@@ -108,6 +149,20 @@ def _audit(spark: SparkSession, args, out) -> int:
     return BELOW if worst is not None and worst < cfg.audit.fail_under else OK
 
 
+def _estimate(spark: SparkSession, args, cfg: config.Config) -> DataFrame:
+    """Cost of an evaluation of each site's first pages; raises above the limit or without a price."""
+    models = spark.createDataFrame([(args.model,)], "model string")
+    price = cost.price_lookup(models).collect()[0]
+    given = (cfg.eval.input_cost_per_mtok, cfg.eval.output_cost_per_mtok)
+    rates = given if None not in given else (price["input_rate"], price["output_rate"])
+    views = load(spark, args.path, cfg, args.now).views.where("lens = 'browser-nojs' AND text <> ''")
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy("pos", "url"))
+    pages = views.withColumn("_i", place).where(F.col("_i") <= cfg.eval.eval_pages).select("site_id", "text", F.greatest(F.lit(1), F.ceil(F.length("text") / (4 * fixed.CHUNK_TOKENS))).alias("chunks"))
+    estimate = cost.estimate(pages, ["site_id"], cfg.eval.questions, cfg.eval.trials, rates)
+    cost.enforce(models, estimate, cfg.eval.max_cost, given)
+    return estimate
+
+
 def _generate(spark: SparkSession, args, out) -> int:
     c = load(spark, args.path, config.Config())
     if args.kind == "robots":

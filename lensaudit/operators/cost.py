@@ -29,6 +29,26 @@ def unpriced(models: DataFrame) -> DataFrame:
     return price_lookup(models.select("model").distinct()).where("input_rate is null").select("model")
 
 
+class UnknownPrice(ValueError):
+    """A limit on cost that cannot be kept."""
+
+
+class OverBudget(ValueError):
+    """An estimate above the limit."""
+
+
+def enforce(models: DataFrame, estimates: DataFrame, most: float | None, rates: tuple[float | None, float | None] = (None, None)) -> None:
+    """Before any call: with a limit, every one of the (few) ``models`` has a price, or both ``rates``
+    are given, and no estimate is above the limit."""
+    if most is None:
+        return
+    if None in rates and (names := [r["model"] for r in unpriced(models).orderBy("model").collect()]):
+        raise UnknownPrice(f"a limit of ${most:.2f} is set, but no price is known for {', '.join(names)}; give prices for a million tokens, or no limit")
+    worst = estimates.agg(F.max("cost_usd")).collect()[0][0]
+    if worst is not None and worst > most:
+        raise OverBudget(f"the estimated cost of ${worst:.4f} is above the limit of ${most:.2f}; ask fewer questions, trials or pages")
+
+
 def is_embedding_model(model: Column) -> Column:
     s = short_name(model)
     out = F.contains(s, F.lit("-embed"))

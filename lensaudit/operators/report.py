@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text
 from . import scoring
@@ -15,13 +17,17 @@ SCHEMA_VERSION = "1.0.0"
 
 def documents(sites: DataFrame, results: DataFrame) -> DataFrame:
     """site_id and ``report``, a JSON document that keeps nulls."""
+    return _documents(sites, results).select("site_id", F.to_json("doc", {"ignoreNullFields": "false"}).alias("report"))
+
+
+def _documents(sites: DataFrame, results: DataFrame) -> DataFrame:
     cats = scoring.category_scores(results)
     total = scoring.overall(cats)
     cats = cats.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("category", "points", "max"))).alias("categories"))
     checks = results.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("check_id", "category", "title", "status", "weight", "points", "confidence", "message", "evidence"))).alias("checks"))
     rows = sites.join(total, "site_id", "left").join(cats, "site_id", "left").join(checks, "site_id", "left")
     doc = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("start_url").alias("url"), F.col("final_url")).alias("target"), F.struct(F.coalesce("overall", F.lit(0.0)).alias("overall"), F.lit(100.0).alias("max"), "categories").alias("score"), "checks")
-    return rows.select("site_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("report"))
+    return rows.select("site_id", doc.alias("doc"))
 
 
 def markdown(sites: DataFrame, results: DataFrame, limit: int = 12) -> DataFrame:
@@ -56,8 +62,20 @@ def write(sites: DataFrame, results: DataFrame, formats: list[str], path: str, f
         rows.select("report").write.mode("overwrite" if force else "errorifexists").text(os.path.join(path, f), lineSep="\n\n")
 
 
-def json_schema(results: DataFrame) -> str:
-    return results.schema.json()
+def json_schema(spark: SparkSession) -> str:
+    """JSON Schema of the document that ``documents`` makes, from the very columns it is made of."""
+    kinds = {"string": "string", "double": "number", "integer": "integer", "long": "integer", "boolean": "boolean"}
+
+    def of(kind) -> dict:
+        if isinstance(kind, types.StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind}, "required": [f.name for f in kind]}
+        if isinstance(kind, types.ArrayType):
+            return {"type": ["array", "null"], "items": of(kind.elementType)}
+        return {"type": [kinds[kind.typeName()], "null"]}
+
+    sites = spark.createDataFrame([], "site_id string, start_url string, final_url string")
+    results = spark.createDataFrame([], "site_id string, check_id string, category string, title string, weight int, status string, points double, confidence string, message string, evidence string")
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": f"report {SCHEMA_VERSION}", **of(_documents(sites, results).schema["doc"].dataType)}, indent=2)
 
 
 def bar(share):

@@ -47,3 +47,8 @@ def calibration(results: DataFrame, expected: DataFrame) -> DataFrame:
     both = expected.join(results.select("site_id", "check_id", F.col("status").alias("actual")), ["site_id", "check_id"], "full_outer").where("status is not null")
     wrong = ~F.col("status").eqNullSafe(F.col("actual"))
     return both.groupBy("check_id").agg(F.count(F.lit(1)).alias("compared"), F.count_if(wrong).alias("different"), F.count_if(F.col("known_good") & wrong & F.col("actual").isin("fail", "warn")).alias("false_alarms"), F.count_if(F.col("actual").isNull()).alias("absent"))
+
+
+def score_for(results: DataFrame, check_id: str) -> DataFrame:
+    """site_id and points of one check."""
+    return results.where(F.col("check_id") == check_id).select("site_id", "points")

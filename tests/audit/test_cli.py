@@ -96,3 +96,29 @@ def test_repeats_in_a_stream_are_dropped(spark, tmp_path):
     new = incremental.fresh(incremental.snapshots(spark, str(tmp_path / "in")))
     incremental.audit_batches(new, lambda d: d.select("site_id", "body_sha"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_costs_and_codes(spark, snapshot):
+    ask = ("audit", snapshot, "--model", "openai/gpt-4o-mini")
+    code, text = run(spark, *ask, "--dry-run")
+    assert code == 0 and "a: 450 answers" in text and "$0." in text
+    assert run(spark, *ask, "--max-cost", "0.0001")[0] == 5 and run(spark, "audit", snapshot, "--model", "nobody/x", "--max-cost", "9", "--dry-run")[0] == 5
+    assert run(spark, "audit", snapshot, "--model", "nobody/x", "--max-cost", "9", "--input-cost-per-mtok", "1", "--output-cost-per-mtok", "1", "--dry-run")[0] == 0
+    assert run(spark, "audit", snapshot, "--questions", "201")[0] == 2
+
+
+def test_schema_fits_a_report(spark, snapshot):
+    schema = json.loads(run(spark, "schema")[1])
+    doc = json.loads(run(spark, "audit", snapshot, "--format", "json", "--only", "DIS-003")[1])
+    assert set(schema["properties"]) == set(doc) and set(schema["properties"]["checks"]["items"]["properties"]) == set(doc["checks"][0])
+    assert run(spark, "doctor")[0] == 0 and run(spark, "telemetry")[0] == 0
+
+
+def test_ids_and_telemetry(spark):
+    from lensaudit.operators import usage
+
+    assert usage.ulid(0, 0) == "0" * 26 and usage.ulid(1, 31) == "0000000001" + "0" * 15 + "Z" and usage.ulid(2**48 - 1, 0)[:10] == "7ZZZZZZZZZ"
+    cases = (({}, None, "", False), ({}, True, "x", True), ({}, True, "", False), ({"CI": "1"}, True, "x", False), ({"CI": "1", "LENSAUDIT_TELEMETRY": "1"}, None, "", True), ({"DO_NOT_TRACK": "1", "LENSAUDIT_TELEMETRY": "1"}, True, "x", False), ({"LENSAUDIT_TELEMETRY": "0"}, True, "x", False))
+    assert [usage.telemetry(env, s, e)[0] for env, s, e, _ in cases] == [w for *_, w in cases]
+    row = usage.events(spark.createDataFrame([("run", 7, 999_000, "https://a")], "event string, pages int, duration_ms long, url string")).collect()[0]
+    assert row.asDict() == {"event": "run", "pages_bucket": "6-10", "duration_bucket": "30-120s"}
