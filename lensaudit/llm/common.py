@@ -21,11 +21,13 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made
-    and set as the checkpoint folder of the session.
+    Only where that is unset on a local master (tests, a single machine) a temporary folder
+    is made and set as the checkpoint folder of the session; a cluster must name one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lensaudit.shared.dir", None)
     if not conf:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="lensaudit-")
         spark.conf.set("lensaudit.shared.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)
