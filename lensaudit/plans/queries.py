@@ -444,6 +444,8 @@ def block_stream(spark, sf_dir):
     from ..streaming import incremental
 
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = f"{conf}/stream-" if conf else "file://" + tempfile.mkdtemp(prefix="stream-") + "/"
     import uuid
 
