@@ -1,4 +1,5 @@
-"""Command line over crawl snapshots in Parquet: audit, generate, schema, doctor, telemetry, version.
+"""Command line over crawl snapshots in Parquet: crawl, audit, generate, cache, init, schema, doctor,
+telemetry, version.
 
 A snapshot folder holds ``sites``, ``fetches``, ``robots``, ``entries``, ``faults`` and
 ``llms`` as Parquet (columns: see ``plans.audit.build``); absent ones count as empty.
@@ -19,12 +20,24 @@ from . import config, fixed
 from .operators import cost, generate, providers, report, scoring, usage
 from .plans import audit
 from .sources import crawl as C
+from .sources import fetch as fetching
+from .sources import live
 from .sources import robots as R
 
 VERSION = "0.1.0"
 OK, BELOW, USAGE = fixed.EXIT_OK, fixed.EXIT_BELOW, fixed.EXIT_USAGE
+
+
+class Blocked(Exception):
+    """An address that may not be fetched."""
+
+
+class Unreachable(Exception):
+    """A site of which no page was fetched."""
+
+
 #: Errors and the codes they end with; the first that fits.
-CODES = ((cost.UnknownPrice, fixed.EXIT_COST), (cost.OverBudget, fixed.EXIT_COST), (config.ConfigError, USAGE), (KeyError, USAGE), (ValueError, USAGE))
+CODES = ((Blocked, fixed.EXIT_BLOCKED), (Unreachable, fixed.EXIT_UNREACHABLE), (cost.UnknownPrice, fixed.EXIT_COST), (cost.OverBudget, fixed.EXIT_COST), (config.ConfigError, USAGE), (KeyError, USAGE), (ValueError, USAGE))
 TABLES = {
     "sites": "site_id string, start_url string, final_url string", "fetches": C.FETCHES, "robots": "site_id string, body string, parse_failed boolean", "entries": "site_id string, loc string, lastmod string",
     "faults": "site_id string, error string", "llms": "site_id string, status int, error string, body string",
@@ -73,6 +86,20 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--questions", type=int)
     a.add_argument("--trials", type=int)
     a.add_argument("--dry-run", action="store_true", help="print the estimate of an evaluation, audit nothing")
+    a.add_argument("--snapshot", help="the folder to crawl into, where path is a URL")
+    a.add_argument("--max-pages", type=int)
+    w = sub.add_parser("crawl", help="fetch sites into a snapshot; a folder that has one goes on from there")
+    w.add_argument("url", nargs="+")
+    w.add_argument("--output", required=True, help="a folder that driver and executors share")
+    w.add_argument("--config")
+    w.add_argument("--bots")
+    w.add_argument("--max-pages", type=int)
+    k = sub.add_parser("cache", help="the tables of a snapshot")
+    k.add_argument("path")
+    k.add_argument("--clear", action="store_true", help="remove them, so that the next crawl fetches again")
+    i = sub.add_parser("init", help="write a settings file")
+    i.add_argument("path", nargs="?", default=config.PROJECT_FILE)
+    i.add_argument("--force", action="store_true")
     sub.add_parser("schema")
     sub.add_parser("doctor")
     sub.add_parser("telemetry")
@@ -80,7 +107,7 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=print) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=print, get=fetching.http_get, lookup=fetching.resolve) -> int:
     try:
         args = _parser().parse_args(argv)
     except SystemExit as e:
@@ -97,6 +124,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         out(f"lensaudit {VERSION}, Python {sys.version.split()[0]}, Spark {pyspark.__version__}")
         out(f"model: {found[1]} by {found[0]}" if found else "model: no key of a provider is set")
         return OK
+    if args.command == "init":
+        try:
+            with open(args.path, "w" if args.force else "x", encoding="utf-8") as f:
+                f.write(config.starter())
+        except OSError as e:
+            out(f"error: {e}")
+            return USAGE
+        out(f"wrote {args.path}")
+        return OK
     spark = spark or SparkSession.builder.appName("lensaudit").getOrCreate()
     try:
         if args.command == "generate":
@@ -104,6 +140,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         if args.command == "schema":
             out(report.json_schema(spark))
             return OK
+        if args.command == "cache":
+            return _cache(spark, args, out)
+        if args.command == "crawl":
+            cfg = config.override(config.load(args.config), {"audit": {"bots": args.bots, "max_pages": args.max_pages}}, "flags")
+            _crawl(spark, args.url, args.output, cfg, out, get, lookup)
+            return OK
+        if args.path.startswith(("http://", "https://")):
+            if not args.snapshot:
+                raise ValueError("a URL needs --snapshot, the folder to crawl into")
+            cfg = config.override(config.load(args.config), {"audit": {"bots": args.bots, "max_pages": args.max_pages}}, "flags")
+            _crawl(spark, [args.path], args.snapshot, cfg, out, get, lookup)
+            args.path = args.snapshot
         return _audit(spark, args, out)
     except tuple(kind for kind, _ in CODES) as e:
         out(f"error: {e}")
@@ -113,6 +161,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         return fixed.EXIT_INTERNAL
 
 
+def _crawl(spark: SparkSession, start_urls: list[str], path: str, cfg: config.Config, out, get, lookup) -> None:
+    """Crawl into ``path`` and say what went wrong; raises if an address was refused, or if a site has no page."""
+    sites = spark.createDataFrame([(u, u) for u in dict.fromkeys(start_urls)], "site_id string, start_url string")
+    live.snapshot(spark, sites, path, cfg.audit.max_pages, cfg.audit.bots or fixed.DEFAULT_BOTS, get, lookup)
+    for r in spark.read.schema(live.WARNINGS).parquet(f"{path}/warnings").orderBy("site_id", "code", "url").toLocalIterator():
+        out(f"{r['severity']}: {r['code']}: {r['url']}: {r['message']}")
+    bad = live.reached(spark, path).agg(F.min(F.when(F.col("refused"), F.col("site_id"))).alias("refused"), F.min(F.when(~F.col("reached"), F.col("site_id"))).alias("lost")).collect()[0]
+    if bad["refused"]:
+        raise Blocked(f"{bad['refused']}: an address may not be fetched")
+    if bad["lost"]:
+        raise Unreachable(f"{bad['lost']}: no page was fetched")
+
+
+def _cache(spark: SparkSession, args, out) -> int:
+    """Size in bytes of each table of a snapshot; only tables that a crawl writes are removed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in live.TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(f"{args.path}/{name}")
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            out(f"{name}: {fs.getContentSummary(at).getLength()} bytes{' removed' if args.clear else ''}")
+            if args.clear:
+                fs.delete(at, True)
+    return OK
+
+
 def _audit(spark: SparkSession, args, out) -> int:
     formats = args.format.split(",")
     if bad := set(formats) - set(report.FORMATS):

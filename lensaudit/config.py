@@ -1,4 +1,4 @@
-"""Settings: defaults, a TOML file, environment variables and flags, later ones over earlier."""
+"""Settings: defaults, TOML files of user and project, environment variables and flags, later ones over earlier."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from typing import Any
 from . import fixed
 
 ENV_PREFIX = "LENSAUDIT_"
+PROJECT_FILE = "lensaudit.toml"
 POLICIES = ("report", "fail", "ignore")
 
 
@@ -105,10 +106,18 @@ def override(cfg: Config, values: Mapping[str, Mapping[str, Any]], source: str)
     return replace(got, sources=(*cfg.sources, source)) if got != cfg else cfg
 
 
+def files(path: str | None, env: Mapping[str, str]) -> list[str]:
+    """Settings files, later ones over earlier: the user's, then the one that is named, else the
+    project's. Those not named need not be there."""
+    home = env.get("XDG_CONFIG_HOME") or (os.path.join(env["HOME"], ".config") if env.get("HOME") else None)
+    user = [os.path.join(home, "lensaudit", "config.toml")] if home else []
+    named = path or env.get(ENV_PREFIX + "CONFIG")
+    return [p for p in user + ([] if named else [PROJECT_FILE]) if os.path.isfile(p)] + ([named] if named else [])
+
+
 def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Config:
     cfg, env = Config(), os.environ if env is None else env
-    path = path or env.get(ENV_PREFIX + "CONFIG")
-    if path:
+    for path in files(path, env):
         try:
             with open(path, encoding="utf-8") as f:
                 text = f.read()
@@ -124,3 +133,17 @@ def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Confi
             if v := env.get(ENV_PREFIX + re.sub("^eval_", "", f.name).upper()):
                 layer.setdefault(section, {})[f.name] = v
     return override(cfg, layer, "env") if layer else cfg
+
+
+def starter() -> str:
+    """A settings file with every default, those without one as comments."""
+    lines = []
+    for section in ("audit", "eval"):
+        lines.append(f"[{section}]")
+        for k, v in asdict(getattr(Config(), section)).items():
+            if v is None:
+                lines.append(f"# {k} =")
+            else:
+                lines.append(f"{k} = {str(v).lower() if isinstance(v, bool) else list(v) if isinstance(v, tuple) else repr(v).replace(chr(39), chr(34))}")
+        lines.append("")
+    return "\n".join(lines)

@@ -93,8 +93,9 @@ def fetch_one(url: str, user_agent: str, simulated: bool, get: Callable[[str, di
     return out
 
 
-def fetch(plan: DataFrame, get: Callable[[str, dict], Answer] = http_get, lookup: Callable[[str], list[str]] = resolve, delay: float = DELAY) -> DataFrame:
-    """Snapshot rows of ``plan`` (site_id, url, pos, lens, user_agent)."""
+def fetch(plan: DataFrame, get: Callable[[str, dict], Answer] = http_get, lookup: Callable[[str], list[str]] = resolve, delay: float = DELAY, until: Callable[[dict], bool] | None = None) -> DataFrame:
+    """Snapshot rows of ``plan`` (site_id, url, pos, lens, user_agent). With ``until``, the rows of a
+    site are fetched by pos up to the first that it holds for; they must have one host."""
     schema = pa.schema([
         ("site_id", pa.string()), ("url", pa.string()), ("pos", pa.int32()), ("lens", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string()), ("elapsed_ms", pa.int32()), ("error", pa.string()), ("blocked_by", pa.string()),
         ("redirect_chain", pa.list_(pa.struct([("from", pa.string()), ("status", pa.int32()), ("to", pa.string())]))), ("challenge_marker", pa.string()),
@@ -102,14 +103,19 @@ def fetch(plan: DataFrame, get: Callable[[str, dict], Answer] = http_get, lookup
 
     def run(batches):
         last: dict[str, float] = {}
+        done: set[str] = set()
         for b in batches:
             for r in b.to_pylist():
+                if r["site_id"] in done:
+                    continue
                 host = urlsplit(r["url"]).netloc
                 time.sleep(max(0.0, last.get(host, 0.0) + delay - time.monotonic()))
                 began = time.monotonic()
                 got = fetch_one(r["url"], r["user_agent"], r["lens"] != "browser", get, lookup)
                 last[host] = time.monotonic()
                 row = {k: r[k] for k in ("site_id", "url", "pos", "lens")} | got | {"headers": list(got["headers"].items()), "elapsed_ms": int((last[host] - began) * 1000), "blocked_by": None, "challenge_marker": None}
+                if until and until(row):
+                    done.add(r["site_id"])
                 yield pa.RecordBatch.from_pylist([row], schema)
 
     rows = plan.select("site_id", "url", F.col("pos").cast("int").alias("pos"), "lens", "user_agent").withColumn("_host", urls.netloc(F.col("url")))

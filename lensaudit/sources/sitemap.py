@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import dates, urls
 
+#: Places that one task numbers at once.
+SPAN = 65_536
 PARSED = "struct<entries: array<struct<loc: string, lastmod: string>>, children: array<string>, errors: array<string>>"
 
 
@@ -43,7 +45,7 @@ def parse(xml: Column) -> Column:
 
 def looks_like_sitemap(body: Column) -> Column:
     """By the first 400 characters."""
-    head = F.lower(F.ltrim(F.substring(F.coalesce(body, F.lit("")), 1, 400)))
+    head = F.lower(F.regexp_replace(F.substring(F.coalesce(body, F.lit("")), 1, 400), r"(?U)^\s+", ""))
     return head.startswith("<?xml") | F.contains(head, F.lit("<urlset")) | F.contains(head, F.lit("<sitemapindex"))
 
 
@@ -61,12 +63,18 @@ def sample(pages: DataFrame, most: int) -> DataFrame:
     """The start URL and an even spread of the other listed URLs, at most ``most`` to a site.
 
     ``pages``: site_id, start_url, pos, url. Every ``step``-th other URL is taken from the
-    first, with ``step`` the count over ``most - 1``.
+    first, with ``step`` the count over ``most - 1``. URLs are numbered by stretches of SPAN places,
+    so that a site of any size is numbered by many tasks; ``pos`` is a whole number.
     """
     rest = most - 1
     other = pages.where(urls.bare(F.col("url")) != urls.bare(F.col("start_url")))
+    other = other.withColumn("part", F.expr(f"pos div {SPAN}"))
     site = Window.partitionBy("site_id")
-    other = other.withColumn("rn", F.row_number().over(site.orderBy("pos")) - 1).withColumn("n", F.count(F.lit(1)).over(site))
+    so_far = F.sum("m").over(site.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = other.groupBy("site_id", "part").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.select("site_id", "part", (so_far - F.col("m")).alias("before"), F.sum("m").over(site).alias("n"))
+    place = F.row_number().over(Window.partitionBy("site_id", "part").orderBy("pos")) - 1
+    other = other.withColumn("place", place).join(parts, ["site_id", "part"]).withColumn("rn", F.col("before") + F.col("place"))
     step = F.greatest(F.lit(1), F.expr(f"n div {max(rest, 1)}"))
     picked = other.where((F.col("rn") % step == 0) & (F.floor(F.col("rn") / step) < rest)).select("site_id", (F.floor(F.col("rn") / step) + 1).cast("int").alias("ord"), "url")
     start = pages.select("site_id", F.lit(0).alias("ord"), F.col("start_url").alias("url")).distinct()
