@@ -133,6 +133,9 @@ SELECT site_id, bot, path, length(site_id) % 5 < 4 AS robots_present, CASE lengt
   WHEN 2 THEN CASE WHEN path = '/' OR regexp_matches(path, '^/.*/1') THEN 'allowed' ELSE 'blocked' END
   WHEN 3 THEN CASE WHEN bot = 'ClaudeBot' THEN 'allowed' ELSE 'blocked' END ELSE 'allowed' END AS verdict
 FROM a CROSS JOIN (VALUES {", ".join(f"('{b}')" for b in fixed.DEFAULT_BOTS)}) AS v(bot)""",
+    "sitemap_files": """SELECT page_id, page_id % 5 <> 4 AS usable, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || ' 2024-05-01' || chr(10) || url || '#2' ELSE '' END AS entries,
+  CASE page_id % 5 WHEN 2 THEN url || '/a.xml' || chr(10) || url || '/b.xml' ELSE '' END AS children, CAST(page_id % 5 = 3 AS INT) AS errors FROM pages""",
+    "statuses_by_bot": f"WITH {_P}, {_L} SELECT site_id, lens, arg_min_null(CAST(CASE kind WHEN 'waf' THEN 403 WHEN 'down' THEN 503 WHEN 'timeout' THEN NULL ELSE 200 END AS INT), page_id) AS status FROM l GROUP BY ALL",
     "sitemap_report": f"""WITH {_P}, e AS (SELECT p.*, start_url, regexp_extract(url, '^([a-z]+):', 1) = regexp_extract(start_url, '^([a-z]+):', 1) AS own FROM p JOIN s USING (site_id) WHERE page_id % 7 <> 6),
 g AS (SELECT site_id, count(*) FILTER (own) AS url_count, count(*) FILTER (NOT own) AS other, count(*) FILTER (page_id % 10 IN (2, 3, 5)) AS stale, bool_or(own AND rtrim(url, '/') = rtrim(start_url, '/')) AS inc FROM e GROUP BY site_id)
 SELECT site_id, url_count IS NOT NULL AS found, coalesce(url_count, 0) AS url_count, CAST(coalesce(other, 0) > 0 AS BIGINT) + CAST(coalesce(stale, 0) > 0 AS BIGINT) AS parse_errors, coalesce(inc, false) AS includes_start_url, coalesce(stale, 0) AS stale FROM s LEFT JOIN g USING (site_id)""",

@@ -162,6 +162,15 @@ def robots_posture(spark, sf_dir):
     return R.posture(crawl(spark, sf_dir).verdicts)
 
 
+def sitemap_files(spark, sf_dir):
+    rows = sim.sitemap_files(_pages(spark, sf_dir)).select("page_id", S.looks_like_sitemap(F.col("body")).alias("usable"), S.parse(F.col("body")).alias("p"))
+    return rows.select("page_id", "usable", F.array_join(F.transform("p.entries", lambda e: F.concat_ws(" ", e["loc"], e["lastmod"])), "\n").alias("entries"), F.array_join("p.children", "\n").alias("children"), F.size("p.errors").alias("errors"))
+
+
+def statuses_by_bot(spark, sf_dir):
+    return C.statuses_by_bot(crawl(spark, sf_dir).fetches)
+
+
 def sitemap_report(spark, sf_dir):
     return crawl(spark, sf_dir).sitemap
 
@@ -464,7 +473,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
-        robots_verdicts, robots_posture, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
+        robots_verdicts, robots_posture, sitemap_files, statuses_by_bot, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
         category_scores, overall_scores, status_counts, top_findings, calibration, llms_sections, generated_robots, generated_json_ld, jaccard_docs_benchmark, question_dedupe,
         question_filter, generation_budget, chunk_docs, prepared_docs, lexical_top_k, lexical_top_k_corpus, vector_top_k, span_recall, parsed_answers, parsed_verdicts, eval_trials,
         eval_pages, eval_sites, eval_failures, eval_gate, chunk_rows, eval_outcomes, eval_answers, ci95_by_lang, cost_estimate, price_lookup, site_reports, block_stream,

@@ -96,6 +96,22 @@ def sitemap_entries(simulated: DataFrame) -> DataFrame:
     return simulated.where("pmod(page_id, 7) <> 6").select("site_id", "pos", F.col("url").alias("loc"), last.alias("lastmod"))
 
 
+def sitemap_files(simulated: DataFrame) -> DataFrame:
+    """A file a page (page_id, body) by page_id mod 5: a sitemap, one with prefixed tags and a lastmod, an
+    index of two, one that is cut off, a web page. Ampersands of URLs are escaped."""
+    loc = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    kinds = (
+        F.concat(F.lit("\n <urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc> "), loc, F.lit("\n</loc></url><url><lastmod>2024-01-01</lastmod></url></urlset>")),
+        F.concat(F.lit("<?xml version='1.0'?><m:urlset xmlns:m='x'><m:url><m:loc>"), loc, F.lit("</m:loc><m:lastmod>2024-05-01</m:lastmod></m:url><m:url><m:loc>"), loc, F.lit("#2</m:loc></m:url></m:urlset>")),
+        F.concat(F.lit("<sitemapindex><sitemap><loc>"), loc, F.lit("/a.xml</loc></sitemap><sitemap><loc>"), loc, F.lit("/b.xml</loc></sitemap></sitemapindex>")),
+        F.concat(F.lit("<urlset><url><loc>"), loc),
+    )
+    body = F
+    for i, text in enumerate(kinds):
+        body = body.when(F.pmod("page_id", F.lit(5)) == i, text)
+    return simulated.select("page_id", body.otherwise(F.lit("<html><p>No such file.</p></html>")).alias("body"))
+
+
 def llms(site: DataFrame) -> DataFrame:
     """/llms.txt by the length of the host's name modulo 4: fine, malformed, refused, gone."""
     kind = F.length("site_id") % 4

@@ -94,6 +94,11 @@ def slim(fetches: DataFrame) -> DataFrame:
     return rows.drop("body")
 
 
+def statuses_by_bot(fetches: DataFrame) -> DataFrame:
+    """The status that each fetching lens of a site got for the first page; null if it got none."""
+    return fetches.where("lens <> 'rendered'").groupBy("site_id", "lens").agg(F.min_by("status", "pos").alias("status"))
+
+
 def extract_bodies(fetches: DataFrame) -> DataFrame:
     """Main text and markers of every distinct body, by its hash ``sha``."""
     rows = fetches.where("body <> ''").select(F.md5("body").alias("sha"), "body")
