@@ -41,6 +41,7 @@ CODES = ((Blocked, fixed.EXIT_BLOCKED), (Unreachable, fixed.EXIT_UNREACHABLE), (
 TABLES = {
     "sites": "site_id string, start_url string, final_url string", "fetches": C.FETCHES, "robots": "site_id string, body string, parse_failed boolean", "entries": "site_id string, loc string, lastmod string",
     "faults": "site_id string, error string", "llms": "site_id string, status int, error string, body string",
+    "warnings": live.WARNINGS,
 }
 
 
@@ -205,17 +206,17 @@ def _audit(spark: SparkSession, args, out) -> int:
     c = load(spark, args.path, cfg, args.now)
     rows = audit.run(c, cfg.audit.policy, cfg.audit.only, cfg.audit.skip).persist()
     try:
-        return _report(args, cfg, formats, c, rows, out)
+        return _report(args, cfg, formats, c, rows, read(spark, args.path, "warnings"), out)
     finally:
         rows.unpersist()
         audit.release(c)
 
 
-def _report(args, cfg: config.Config, formats: list[str], c: C.Crawl, rows: DataFrame, out) -> int:
+def _report(args, cfg: config.Config, formats: list[str], c: C.Crawl, rows: DataFrame, faults: DataFrame, out) -> int:
     if args.output:
-        report.write(c.sites, rows, formats, args.output, args.force)
+        report.write(c.sites, rows, formats, args.output, args.force, faults)
     else:
-        for r in report.FORMATS[formats[0]](c.sites, rows).orderBy("site_id").toLocalIterator():
+        for r in report.FORMATS[formats[0]](c.sites, rows, faults).orderBy("site_id").toLocalIterator():
             out(r["report"])
     if cfg.audit.fail_under is None:
         return OK

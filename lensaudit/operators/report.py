@@ -5,33 +5,48 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text
 from . import scoring
 
-SCHEMA_VERSION = "1.0.0"
+SCHEMA_VERSION = "1.1.0"
+ERROR = "struct<code: string, severity: string, message: string, url: string>"
 
 
-def documents(sites: DataFrame, results: DataFrame) -> DataFrame:
+def _errors(sites: DataFrame, warnings: DataFrame | None, most: int | None = None) -> DataFrame:
+    """``sites`` with ``errors``, what went wrong in the crawl (a row each in ``warnings``: site_id, code,
+    severity, message, url) by severity, code and URL; the first ``most``, or all."""
+    none = F.expr(f"CAST(array() AS array<{ERROR}>)")
+    if warnings is None:
+        return sites.withColumn("errors", none)
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy("severity", "code", "url", "message"))
+    rows = warnings.withColumn("_i", place)
+    rows = rows if most is None else rows.where(F.col("_i") <= most)
+    rows = rows.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.struct("code", "severity", "message", "url").alias("e")))).alias("_e"))
+    rows = rows.select("site_id", F.transform("_e", lambda x: x["e"]).alias("errors"))
+    return sites.join(rows, "site_id", "left").withColumn("errors", F.coalesce("errors", none))
+
+
+def documents(sites: DataFrame, results: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """site_id and ``report``, a JSON document that keeps nulls."""
-    return _documents(sites, results).select("site_id", F.to_json("doc", {"ignoreNullFields": "false"}).alias("report"))
+    return _documents(sites, results, warnings).select("site_id", F.to_json("doc", {"ignoreNullFields": "false"}).alias("report"))
 
 
-def _documents(sites: DataFrame, results: DataFrame) -> DataFrame:
+def _documents(sites: DataFrame, results: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     cats = scoring.category_scores(results)
     total = scoring.overall(cats)
     cats = cats.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("category", "points", "max"))).alias("categories"))
     checks = results.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("check_id", "category", "title", "status", "weight", "points", "confidence", "message", "evidence"))).alias("checks"))
-    rows = sites.join(total, "site_id", "left").join(cats, "site_id", "left").join(checks, "site_id", "left")
-    doc = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("start_url").alias("url"), F.col("final_url")).alias("target"), F.struct(F.coalesce("overall", F.lit(0.0)).alias("overall"), F.lit(100.0).alias("max"), "categories").alias("score"), "checks")
+    rows = _errors(sites, warnings).join(total, "site_id", "left").join(cats, "site_id", "left").join(checks, "site_id", "left")
+    doc = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("start_url").alias("url"), F.col("final_url")).alias("target"), F.struct(F.coalesce("overall", F.lit(0.0)).alias("overall"), F.lit(100.0).alias("max"), "categories").alias("score"), "checks", "errors")
     return rows.select("site_id", doc.alias("doc"))
 
 
-def markdown(sites: DataFrame, results: DataFrame, limit: int = 12) -> DataFrame:
-    """site_id and ``report``: the score, the first findings, and statuses by category."""
+def markdown(sites: DataFrame, results: DataFrame, warnings: DataFrame | None = None, limit: int = 12) -> DataFrame:
+    """site_id and ``report``: the score, the first findings, statuses by category, and what went wrong."""
     cats = scoring.category_scores(results)
     total = scoring.overall(cats)
     found = scoring.top_findings(results, limit)
@@ -39,26 +54,34 @@ def markdown(sites: DataFrame, results: DataFrame, limit: int = 12) -> DataFrame
     found = found.groupBy("site_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"])).alias("findings"))
     row = F.concat_ws(" | ", "category", "n_pass", "n_warn", "n_fail", "n_skip", "n_error")
     counts = scoring.status_counts(results).groupBy("site_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat(F.lit("| "), r, F.lit(" |")))).alias("hygiene"))
-    rows = sites.join(total, "site_id", "left").join(found, "site_id", "left").join(counts, "site_id", "left")
-    body = F.concat(F.lit("# Audit of "), "start_url", F.lit("\n\nScore: "), F.coalesce("overall", F.lit(0.0)).cast("string"), F.lit(" / 100\n\n## Findings\n\n"), F.coalesce("findings", F.lit("None.")), F.lit("\n\n## Hygiene\n\n| category | pass | warn | fail | skip | error |\n|-|-|-|-|-|-|\n"), F.coalesce("hygiene", F.lit("")), F.lit("\n"))
+    rows = _errors(sites, warnings, 25).join(total, "site_id", "left").join(found, "site_id", "left").join(counts, "site_id", "left")
+    lost = F.concat_ws("\n", F.transform("errors", lambda e: F.concat(F.lit("- "), e["code"], F.lit(" "), e["url"], F.lit(": "), e["message"])))
+    body = F.concat(F.lit("# Audit of "), "start_url", F.lit("\n\nScore: "), F.coalesce("overall", F.lit(0.0)).cast("string"), F.lit(" / 100\n\n## Findings\n\n"), F.coalesce("findings", F.lit("None.")), F.lit("\n\n## Hygiene\n\n| category | pass | warn | fail | skip | error |\n|-|-|-|-|-|-|\n"), F.coalesce("hygiene", F.lit("")), F.lit("\n"), F.when(lost != "", F.concat(F.lit("\n## Errors\n\n"), lost, F.lit("\n"))).otherwise(""))
     return rows.select("site_id", body.alias("report"))
 
 
-def terminal(sites: DataFrame, results: DataFrame) -> DataFrame:
-    """site_id and ``report``: a bar for each scored category."""
+def terminal(sites: DataFrame, results: DataFrame, warnings: DataFrame | None = None, limit: int = 8) -> DataFrame:
+    """site_id and ``report``: the score, a bar for each scored category, the first findings, and the
+    first ten faults of the crawl."""
+    total = scoring.overall(scoring.category_scores(results))
     cats = scoring.score_bars(scoring.category_scores(results))
     line = F.concat(F.rpad("category", 12, " "), F.lit(" "), "bar", F.lit(" "), F.format_string("%.1f / %.1f", "points", "max"))
     body = cats.groupBy("site_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("bars"))
-    return sites.join(body, "site_id", "left").select("site_id", F.concat("start_url", F.lit("\n"), F.coalesce("bars", F.lit(""))).alias("report"))
+    said = F.concat(F.rpad(F.upper("status"), 6, " "), "check_id", F.lit("  "), "message")
+    found = scoring.top_findings(results, limit).groupBy("site_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("l")))), lambda x: x["l"])).alias("findings"))
+    rows = _errors(sites, warnings, 10).join(total, "site_id", "left").join(body, "site_id", "left").join(found, "site_id", "left")
+    lost = F.nullif(F.concat_ws("\n", F.transform("errors", lambda e: F.concat(F.rpad(F.upper(e["severity"]), 8, " "), e["code"], F.lit("  "), e["url"], F.lit("  "), e["message"]))), F.lit(""))
+    head = F.format_string("%s  %.1f / 100", "start_url", F.coalesce("overall", F.lit(0.0)))
+    return rows.select("site_id", F.concat_ws("\n", head, "bars", "findings", lost).alias("report"))
 
 
 FORMATS = {"json": documents, "markdown": markdown, "terminal": terminal}
 
 
-def write(sites: DataFrame, results: DataFrame, formats: list[str], path: str, force: bool = False) -> None:
+def write(sites: DataFrame, results: DataFrame, formats: list[str], path: str, force: bool = False, warnings: DataFrame | None = None) -> None:
     """Write each format's documents as text under ``path``; existing output only with ``force``."""
     for f in formats:
-        rows = FORMATS[f](sites, results)
+        rows = FORMATS[f](sites, results, warnings)
         rows.select("report").write.mode("overwrite" if force else "errorifexists").text(os.path.join(path, f), lineSep="\n\n")
 
 

@@ -56,7 +56,9 @@ def test_crawl_then_audit(spark, tmp_path):
     before = len(asked)
     code, text = run(spark, get, "crawl", "http://a.net/", "http://b.net/", "--output", snap)
     assert code == 0 and len(open(log).read().split()) == before  # all tables were there
-    assert "a.net" in run(spark, get, "audit", snap)[1]
+    text = run(spark, get, "audit", snap)[1]
+    assert "http://a.net/  " in text and "/ 100" in text and "WARNING ROBOTS_FETCH  http://b.net/robots.txt" in text and "FAIL  " in text
+    assert "## Errors\n\n- ROBOTS_FETCH" in run(spark, get, "audit", snap, "--format", "markdown")[1]
     assert "fetches: " in run(spark, get, "cache", snap)[1]
     run(spark, get, "cache", snap, "--clear")
     assert os.listdir(snap) == []
