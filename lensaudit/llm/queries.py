@@ -81,9 +81,68 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .conversation_repair import damage, repair
+
+    rows = repair(damage(_table(spark, sf_dir, "conversations")), gone="gone")
+    return rows.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding, op13_conversation_repair)}
+
+#: CRC-32 of a text of ASCII characters.
+_CRC = """(xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295))"""
+
+
+def _repair_sql() -> str:
+    """The fold as a recursive table: for each state, cost, audit and the text so far."""
+    z = 1 << 50
+    put = lambda x, cost, letter, text="''": f"{{'c': {x}.c + {cost}, 'x': {x}.x || '{letter}', 't': {x}.t || {text}}}"
+    new = {"u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'"}
+    both = f"{new['u']} || {new['a']}"
+    keep, own = "(CASE WHEN must_go THEN {0} WHEN truncated THEN 1 ELSE 0 END)".format(z), "chr(10) || role || ':' || text"
+    as_is = lambda k: f"{keep} + (CASE WHEN ini = '{k}' THEN 0 ELSE {z} END)"
+    inserted_u = f"least(u, {put('e', 2, 'I', new['u'])}, {put('s', 2, 'I', new['u'])}, {put('a', 2, 'I', new['u'])})"
+    inserted_a = f"least(a, {put('u', 2, 'I', new['a'])}, {put('e', 4, 'II', both)}, {put('s', 4, 'II', both)})"
+    to_user = ", ".join(f"{put(x, as_is('u'), 'K', own)}, {put(x, keep + ' + 2', 'R', new['u'] + ' || text')}" for x in ("e", "s", "ia"))
+    return rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS r
+  FROM o WHERE k <> 0
+), n AS (
+  SELECT *, row_number() OVER w AS pos, left(role, 1) AS ini, lag(left(role, 1)) OVER w AS was FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), p AS (
+  SELECT *, min(pos) OVER (PARTITION BY conv_id, role, text) < pos AS seen, regexp_replace(text, '[ 	-
+]+$', '') AS body FROM n
+), f AS (
+  SELECT *, body = '' AS blank, body <> '' AND seen AS duplicate, body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+         body = '' OR seen AS must_go, was IS NOT NULL AND was || ini NOT IN ('su', 'ua', 'au') AS illegal FROM p
+), g AS (
+  SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(pos) AS n
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), z AS (
+  SELECT conv_id, 0 AS pos, {{'c': 0, 'x': '', 't': ''}} AS e, {{'c': {z}, 'x': '', 't': ''}} AS s, {{'c': {z}, 'x': '', 't': ''}} AS u, {{'c': {z}, 'x': '', 't': ''}} AS a FROM g
+  UNION ALL
+  SELECT conv_id, pos, {put('e', 3, 'D')}, least({put('s', 3, 'D')}, {put('e', as_is('s'), 'K', own)}), least({put('iu', 3, 'D')}, {to_user}),
+         least({put('ia', 3, 'D')}, {put('iu', as_is('a'), 'K', own)}, {put('iu', keep + ' + 2', 'R', new['a'] + ' || text')})
+  FROM (SELECT z.conv_id, f.pos, role, text, ini, must_go, truncated, e, s, {inserted_u} AS iu, {inserted_a} AS ia FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.pos = z.pos + 1)
+)
+SELECT g.conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated,
+       CAST(illegal AS BIGINT) AS illegal, CAST(b.c AS BIGINT) AS cost, b.x AS audit, sha256(b.t[2:]) AS repaired_sha256
+FROM g JOIN (SELECT conv_id, pos, least(e, {inserted_a}) AS b FROM z) y ON y.conv_id IS NOT DISTINCT FROM g.conv_id AND y.pos = g.n
+"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_conversation_repair": _repair_sql(),
     "op1_warc": """
 WITH p AS (
   SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
