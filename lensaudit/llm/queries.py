@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, window_panes
+
+    return window_panes.run(window_panes.cut(_table(spark, sf_dir, "clicks"), batches=8), common.work_dir(spark, "panes"), batches=8)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -90,7 +96,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding, op12_window_panes, op13_conversation_repair)}
 
 #: CRC-32 of a text of ASCII characters.
 _CRC = """(xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))), lambda c, b:
@@ -142,6 +148,37 @@ FROM g JOIN (SELECT conv_id, pos, least(e, {inserted_a}) AS b FROM z) y ON y.con
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_window_panes": f"""
+WITH c AS (
+  SELECT click_id, min({{'arrived': arrived_at, 'ts': ts, 'kind': kind, 'value': value}}) AS r FROM clicks WHERE ts IS NOT NULL GROUP BY click_id
+), d AS (
+  SELECT click_id, r, date_diff('day', DATE '1970-01-01', CAST(coalesce(r.arrived, r.ts) AS DATE)) AS d, {_CRC.format("coalesce(CAST(click_id AS VARCHAR), '')")} % 30 AS k FROM c
+), e AS (
+  SELECT click_id, least(7, d % 8 + greatest(0, k - 23)) AS batch, coalesce(r.kind, 'none') AS kind, CAST(coalesce(floor(100 * r.value + 0.5), 0) AS BIGINT) AS cents,
+         epoch_us(r.ts) - (d - d % 8) * 86400000000 AS us FROM d
+), h AS (
+  SELECT *, CAST((us - ((us % 3600000000) + 3600000000) % 3600000000) / 3600000000 AS BIGINT) AS hour FROM e
+), w AS (
+  SELECT b, (SELECT max(us) FROM h WHERE batch < b) AS w FROM range(8) t(b)
+), l AS (
+  SELECT h.*, coalesce(w >= (hour + 1 + 96) * 3600000000, false) AS late FROM h JOIN w ON b = batch
+), p AS (
+  SELECT kind, hour, batch, count(*) AS n, sum(cents) AS c FROM l WHERE NOT late GROUP BY ALL
+), t AS (
+  SELECT *, sum(n) OVER v AS tn, sum(c) OVER v AS tc, lag(batch) OVER v AS lb FROM p WINDOW v AS (PARTITION BY kind, hour ORDER BY batch)
+), f AS (
+  SELECT kind, hour, min(batch) AS b0, (SELECT min(b) FROM w WHERE w >= (hour + 1 + 6) * 3600000000) AS d FROM p GROUP BY kind, hour
+), m AS (
+  SELECT kind, hour, greatest(b0, d) AS first FROM f WHERE d IS NOT NULL
+), r AS (
+  SELECT batch, hour, click_id, 1 AS n_rows, cents, 'late' AS record, kind FROM l WHERE late
+  UNION ALL SELECT first, hour, -1, sum(n), sum(c), 'emit', kind FROM m JOIN p USING (kind, hour) WHERE batch <= first GROUP BY first, hour, kind
+  UNION ALL SELECT batch, hour, -1, tn - n, tc - c, 'retract', kind FROM t JOIN m USING (kind, hour) WHERE batch > first
+  UNION ALL SELECT batch, hour, -1, tn, tc, 'replace', kind FROM t JOIN m USING (kind, hour) WHERE batch > first
+  UNION ALL SELECT 7, hour, -1, sum(n), sum(c), 'final', kind FROM f JOIN p USING (kind, hour) WHERE d IS NULL GROUP BY hour, kind
+)
+SELECT CAST(batch AS BIGINT) AS batch, hour, click_id, CAST(n_rows AS BIGINT) AS n_rows, CAST(cents AS BIGINT) AS cents, record, kind FROM r
+""",
     "op13_conversation_repair": _repair_sql(),
     "op1_warc": """
 WITH p AS (
