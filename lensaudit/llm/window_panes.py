@@ -34,7 +34,10 @@ NEVER = -(1 << 63)
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 _FED = "batch long, w long, shard int, last boolean, click_id long, kind string, hour long, cents long"
 _DEALT = "shard int, what string, batch long, w long, last boolean, click_id long, kind string, hour long, n_rows long, cents long"
+#: State is written whole to the shared folder at each commit; what stays on a worker's own disk is let go.
 _CONFS = {
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -192,9 +195,10 @@ def run(rows: DataFrame, root: str, batches: int, shards: int = SHARDS) -> DataF
     hour = F.expr(f"(at - pmod(at, {HOUR}L)) div {HOUR}L")
     cutup = common.stage(rows.select("batch", "click_id", "kind", hour.alias("hour"), "at", "cents"), f"{root}/cut", partition_by=["batch"])
     most = {r["batch"]: r["w"] for r in cutup.groupBy("batch").agg(F.max("at").alias("w")).collect()}
-    was = {k: spark.conf.get(k, None) for k in _CONFS}
+    confs = _CONFS | {"spark.sql.shuffle.partitions": str(min(shards, common.shuffle_partitions(spark)))}  # a shard is one key
+    was = {k: spark.conf.get(k, None) for k in confs}
     try:
-        for k, v in _CONFS.items():
+        for k, v in confs.items():
             spark.conf.set(k, v)
         w = NEVER
         for b in range(batches):
