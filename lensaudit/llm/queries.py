@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import common, window_panes
 
@@ -96,7 +102,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding, op12_window_panes, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_token_files, op4_line_dedup, op5_jaccard_join, op6_packing, op7_decontaminate, op8_vector_search, op9_quality, op10_sharding, op11_language_id, op12_window_panes, op13_conversation_repair)}
 
 #: CRC-32 of a text of ASCII characters.
 _CRC = """(xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))), lambda c, b:
