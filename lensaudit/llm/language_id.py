@@ -47,9 +47,8 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)))
     letter = _letters()[raw]
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # a letter, or the first place after one
-    keep[:-1] |= letter[1:] & ~letter[:-1] & (owner[1:] == owner[:-1])  # or the place before a word
-    keep[1:] &= letter[1:] | letter[:-1] | ~keep[:-1]  # but one space only
+    keep[:-1] |= letter[1:] | (owner[1:] != owner[:-1])  # of what stands between words, the last place
+    keep[-1:] = True
     code = np.where(letter, raw, 32)[keep] * np.uint32(2_654_435_761)
     word, owner = letter[keep], owner[keep]
     h = np.zeros(len(code), np.uint32)
@@ -154,20 +153,20 @@ def _slots(counts: dict[str, np.ndarray], langs: list[str], words: np.ndarray) -
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 25) -> np.ndarray:
-    """Weights of columns and a constant by Newton steps; labels are +1 and -1."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.r_[np.ones(x.shape[1] - 1), 0.0]
-    start = w.copy()
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of columns and a constant by Newton steps; labels are +1 and -1. Columns are scaled
+    to one size and held small, so that where labels part cleanly, mixed rows stay near the middle."""
+    size = np.sqrt((x**2).mean(axis=0)) + 1e-9
+    x = np.c_[x / size, np.ones(len(x))]
+    hold = np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - (y > 0)) + ridge * (w - start)
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (p - (y > 0)) + hold * w)
         w = w - step * min(1, 3 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return w / np.r_[size, 1]
 
 
 def _counted(docs: DataFrame) -> dict[tuple[str, int], np.ndarray]:
