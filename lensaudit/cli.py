@@ -95,6 +95,13 @@ def _parser() -> argparse.ArgumentParser:
     w.add_argument("--config")
     w.add_argument("--bots")
     w.add_argument("--max-pages", type=int)
+    for c in (a, w):
+        c.add_argument("--concurrency", type=int, help="requests that a task has open at once")
+        c.add_argument("--timeout", type=float, help="seconds for an answer")
+        c.add_argument("--delay", type=float, help="seconds between two requests to a host")
+        c.add_argument("--max-bytes", type=int)
+        c.add_argument("--allow-private", action="store_true", default=None, help="private addresses may be fetched")
+        c.add_argument("--no-cache", action="store_true", help="fetch again what the folder has")
     k = sub.add_parser("cache", help="the tables of a snapshot")
     k.add_argument("path")
     k.add_argument("--clear", action="store_true", help="remove them, so that the next crawl fetches again")
@@ -144,14 +151,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         if args.command == "cache":
             return _cache(spark, args, out)
         if args.command == "crawl":
-            cfg = config.override(config.load(args.config), {"audit": {"bots": args.bots, "max_pages": args.max_pages}}, "flags")
-            _crawl(spark, args.url, args.output, cfg, out, get, lookup)
+            _crawl(spark, args.url, args.output, args, out, get, lookup)
             return OK
         if args.path.startswith(("http://", "https://")):
             if not args.snapshot:
                 raise ValueError("a URL needs --snapshot, the folder to crawl into")
-            cfg = config.override(config.load(args.config), {"audit": {"bots": args.bots, "max_pages": args.max_pages}}, "flags")
-            _crawl(spark, [args.path], args.snapshot, cfg, out, get, lookup)
+            _crawl(spark, [args.path], args.snapshot, args, out, get, lookup)
             args.path = args.snapshot
         return _audit(spark, args, out)
     except tuple(kind for kind, _ in CODES) as e:
@@ -162,10 +167,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=p
         return fixed.EXIT_INTERNAL
 
 
-def _crawl(spark: SparkSession, start_urls: list[str], path: str, cfg: config.Config, out, get, lookup) -> None:
+def _crawl(spark: SparkSession, start_urls: list[str], path: str, args, out, get, lookup) -> None:
     """Crawl into ``path`` and say what went wrong; raises if an address was refused, or if a site has no page."""
+    flags = {"audit": {"bots": args.bots, "max_pages": args.max_pages}, "fetch": {k: getattr(args, k) for k in ("concurrency", "timeout", "delay", "max_bytes", "allow_private")}}
+    cfg = config.override(config.load(args.config), flags, "flags")
+    limits = fetching.Limits(**{k: v for k, v in vars(cfg.fetch).items() if k != "max_age"})
     sites = spark.createDataFrame([(u, u) for u in dict.fromkeys(start_urls)], "site_id string, start_url string")
-    live.snapshot(spark, sites, path, cfg.audit.max_pages, cfg.audit.bots or fixed.DEFAULT_BOTS, get, lookup)
+    live.snapshot(spark, sites, path, cfg.audit.max_pages, cfg.audit.bots or fixed.DEFAULT_BOTS, get, lookup, limits, 0.0 if args.no_cache else cfg.fetch.max_age)
     for r in spark.read.schema(live.WARNINGS).parquet(f"{path}/warnings").orderBy("site_id", "code", "url").toLocalIterator():
         out(f"{r['severity']}: {r['code']}: {r['url']}: {r['message']}")
     bad = live.reached(spark, path).agg(F.min(F.when(F.col("refused"), F.col("site_id"))).alias("refused"), F.min(F.when(~F.col("reached"), F.col("site_id"))).alias("lost")).collect()[0]

@@ -16,6 +16,9 @@ PROJECT_FILE = "lensaudit.toml"
 POLICIES = ("report", "fail", "ignore")
 
 
+SECTIONS = ("audit", "fetch", "eval")
+
+
 class ConfigError(ValueError):
     """Settings that cannot be used: exit code 2."""
 
@@ -30,6 +33,20 @@ class Audit:
     skip: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Fetch:
+    """As ``sources.fetch.Limits``; max_age: seconds after which a kept answer is fetched again."""
+
+    delay: float = 0.2
+    jitter: float = 0.5
+    concurrency: int = 4
+    timeout: float = 15.0
+    max_bytes: int = 5_000_000
+    redirects: int = 5
+    allow_private: bool = False
+    max_age: float | None = None
+
+
 @dataclass(frozen=True)
 class Eval:
     eval_pages: int = 3
@@ -48,6 +65,7 @@ class Eval:
 @dataclass(frozen=True)
 class Config:
     audit: Audit = field(default_factory=Audit)
+    fetch: Fetch = field(default_factory=Fetch)
     eval: Eval = field(default_factory=Eval)
     sources: tuple[str, ...] = ("defaults",)
 
@@ -98,9 +116,11 @@ def _typed(section: Any, values: Mapping[str, Any]) -> Any:
 
 def override(cfg: Config, values: Mapping[str, Mapping[str, Any]], source: str) -> Config:
     """``cfg`` with values by section; None means not given."""
-    if bad := set(values) - {"audit", "eval"}:
+    if bad := set(values) - set(SECTIONS):
         raise ConfigError(f"unknown sections {', '.join(sorted(bad))}")
     got = replace(cfg, **{k: _typed(getattr(cfg, k), v) for k, v in values.items()})
+    if min(got.fetch.concurrency, got.fetch.max_bytes) < 1 or min(got.fetch.delay, got.fetch.jitter, got.fetch.redirects) < 0 or got.fetch.timeout <= 0:
+        raise ConfigError("concurrency, max_bytes, delay, jitter, redirects or timeout is out of range")
     if got.audit.policy not in POLICIES or got.audit.max_pages < 1 or min(got.eval.trials, got.eval.top_k) < 1:
         raise ConfigError("policy, max_pages, trials or top_k is out of range")
     return replace(got, sources=(*cfg.sources, source)) if got != cfg else cfg
@@ -128,7 +148,7 @@ def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Confi
         except (OSError, tomllib.TOMLDecodeError) as e:
             raise ConfigError(f"{path} cannot be read: {e}") from e
     layer: dict[str, dict[str, str]] = {}
-    for section in ("audit", "eval"):
+    for section in SECTIONS:
         for f in fields(getattr(cfg, section)):
             if v := env.get(ENV_PREFIX + re.sub("^eval_", "", f.name).upper()):
                 layer.setdefault(section, {})[f.name] = v
@@ -138,7 +158,7 @@ def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Confi
 def starter() -> str:
     """A settings file with every default, those without one as comments."""
     lines = []
-    for section in ("audit", "eval"):
+    for section in SECTIONS:
         lines.append(f"[{section}]")
         for k, v in asdict(getattr(Config(), section)).items():
             if v is None:

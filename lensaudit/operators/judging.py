@@ -6,13 +6,26 @@ import re
 import time
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
 
+#: What the models are told; their replies are read by ``parse_answer`` and ``parse_verdict``.
+ANSWER_SYSTEM = """Below are excerpts of a website and a question about it. The excerpts are all you may use.
+- If they answer the question, reply with one sentence, as far as possible in their words. Then begin a new line with "Used: " and copy there the sentence you relied on.
+- If they do not, your whole reply is NOT_FOUND. What you know from elsewhere does not count, and a likely number, date or name is not an answer.
+A program reads the reply: add nothing else."""
+JUDGE_SYSTEM = """Compare the candidate's answer to a question with the reference answer. Only the reference counts, not what you know yourself.
+Reply with one JSON object and nothing else: {"verdict": "...", "rationale": "one short sentence"}
+The verdict is one of these words:
+correct - the candidate states the facts of the reference, in whatever words;
+partially_correct - it states some of them, but lacks or misstates one that matters;
+incorrect - it contradicts the reference, or adds facts of its own;
+abstained - it says that the answer was not found.
+Numbers, dates and names must agree. Wording and further explanation do not matter."""
+
 
 def answer_prompt(retrieved: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
     """One prompt for each question from its ranked chunks (rank, text, score) alone."""
@@ -77,14 +90,14 @@ def error_class(message: str) -> str:
     return next((name for name, words in fixed.MODEL_ERRORS if any(w in low for w in words)), "provider")
 
 
-def retrying(client: Callable[[str], tuple[str, bool]], tries: int = fixed.MODEL_TRIES, base: float = fixed.MODEL_BACKOFF, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str, bool]]:
+def retrying(client: Callable, tries: int = fixed.MODEL_TRIES, base: float = fixed.MODEL_BACKOFF, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """``client`` with up to ``tries`` calls, base^n seconds after the n-th; then a RuntimeError that
     begins with the class of the last error."""
 
-    def call(prompt: str) -> tuple[str, bool]:
+    def call(request):
         for n in range(tries):
             try:
-                return client(prompt)
+                return client(request)
             except Exception as e:  # noqa: BLE001 - whatever the client raises is retried
                 last = e
             if n + 1 < tries:
@@ -94,33 +107,8 @@ def retrying(client: Callable[[str], tuple[str, bool]], tries: int = fixed.MODEL
     return call
 
 
-def call_key(prompt: Column, model: str, system: str = "", max_tokens: int | None = None, base_url: str | None = None) -> Column:
+def call_key(prompt: Column, model: str, system: str = "", max_tokens: Column | int | None = None, base_url: str | None = None, *more: Column) -> Column:
     """Key of a call in a log: the same prompt to another model, endpoint or limit is another call."""
-    parts = (model, fixed.MODEL_TEMPERATURE, fixed.MODEL_SEED, max_tokens, system)
-    return text.cache_key(F.lit("llm"), *(F.lit(None if x is None else str(x)) for x in parts), prompt, F.lit(base_url))
-
-
-def complete(prompts: DataFrame, client: Callable[[str], tuple[str, bool]], prompt: str = "prompt") -> DataFrame:
-    """``prompts`` with completion, truncated and error, by ``client`` on the executors: the place
-    where a model is called. Failures are data, not exceptions."""
-
-    def run(batches):
-        for b in batches:
-            out = {"completion": [], "truncated": [], "error": []}
-            for p in b.column(prompt).to_pylist():
-                try:
-                    text, cut = client(p)
-                    row = (text, cut, None)
-                except Exception as e:  # noqa: BLE001 - whatever the client raises is recorded
-                    row = (None, False, f"{type(e).__name__}: {e}")
-                for k, v in zip(out, row):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out["completion"], pa.string()), pa.array(out["truncated"], pa.bool_()), pa.array(out["error"], pa.string())], [*b.schema.names, *out])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInArrow(run, f"{kept}, completion string, truncated boolean, error string")
-
-
-def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows whose ``cache_key`` is not in the cache: what is left to ask."""
-    return wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
+    limit = max_tokens.cast("string") if isinstance(max_tokens, Column) else F.lit(None if max_tokens is None else str(max_tokens))
+    parts = (F.lit(model), F.lit(str(fixed.MODEL_TEMPERATURE)), F.lit(str(fixed.MODEL_SEED)), limit, F.lit(system))
+    return text.cache_key(F.lit("llm"), *parts, prompt, F.lit(base_url), *more)

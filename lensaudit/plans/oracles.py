@@ -323,9 +323,12 @@ q AS (SELECT site_id, q_id, count(*) FILTER (verdict = 'correct') AS correct FRO
 ORACLE_SQL |= {
     "eval_outcomes": f"WITH {_EVAL} SELECT q_id, trial, answer, abstained, quoted, verdict, has_span, span_hit, failed, CAST(prompt_chars AS BIGINT) AS prompt_chars FROM o",
     "eval_answers": f"""WITH {_EVAL}, {_OUTCOMES}, {_pooled('site_id')}, cv AS (SELECT site_id, round(avg(round(CAST(correct = 0 AS DOUBLE), 4)), 4) AS coverage_loss, least(100, count(*) FILTER (correct < 2)) AS n_failures FROM q GROUP BY site_id),
-sh AS (SELECT site_id, count(*) AS chunk_count, CASE WHEN bool_or(NOT chunked) THEN 'whole_page' ELSE 'chunked' END AS mode FROM ck JOIN cc USING (q_id) JOIN d USING (q_id) GROUP BY site_id), ts AS (SELECT site_id, round(sum(score), 3) AS trial_scores FROM sc GROUP BY site_id)
-SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, coverage_loss, pages, trials, chunk_count, mode, n_failures, trial_scores
-FROM e JOIN cv USING (site_id) JOIN sh USING (site_id) JOIN ts USING (site_id)""",
+sh AS (SELECT site_id, count(*) AS chunk_count, CASE WHEN bool_or(NOT chunked) THEN 'whole_page' ELSE 'chunked' END AS mode FROM ck JOIN cc USING (q_id) JOIN d USING (q_id) GROUP BY site_id), ts AS (SELECT site_id, md5(string_agg(CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY url, trial)) AS per_trial FROM sc GROUP BY site_id),
+fq AS (SELECT o.site_id, 'd' || q_id AS url, q_id, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'incorrect') AS incorrect, count(DISTINCT verdict) AS kinds, bool_or(span_hit) AS hit, string_agg(verdict, ',' ORDER BY trial) AS said FROM o GROUP BY ALL),
+fl AS (SELECT f.site_id, row_number() OVER (PARTITION BY f.site_id ORDER BY url, q_id) AS i, concat_ws('|', url, question, substr(text, 61, 40), said, CAST(hit AS VARCHAR), CASE WHEN NOT hit THEN 'content_not_in_crawler_view' WHEN incorrect > 0 OR kinds > 1 THEN 'answerer_error' ELSE 'content_ambiguous' END) AS line FROM fq f JOIN d USING (q_id) WHERE correct < 2),
+fs AS (SELECT site_id, md5(string_agg(line, chr(10) ORDER BY i)) AS failures FROM fl WHERE i <= 100 GROUP BY site_id)
+SELECT site_id, {_METRICS}, round(coalesce(hits / nullif(spans, 0), 0), 4) AS context_recall, round(coalesce(hits / nullif(spans, 0), 0) - rate, 4) AS retrieval_gap, coverage_loss, pages, trials, chunk_count, mode, n_failures, per_trial, failures
+FROM e JOIN cv USING (site_id) JOIN sh USING (site_id) JOIN ts USING (site_id) LEFT JOIN fs USING (site_id)""",
 }
 
 _PURPOSES = "(VALUES " + ", ".join(f"('{b[0]}', '{b[3]}')" for b in fixed.BOTS if b[0] in fixed.DEFAULT_BOTS) + ") AS v(bot, purpose)"

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import catalog, checks, chunking, cost, eval_run, evals, generate, judging, questions, report, retrieval, scoring
 from ..sources import crawl as C
 from ..sources import robots as R
+from ..sources import shared
 from ..sources import sitemap as S
 from . import audit
 from . import simulate as sim
@@ -163,8 +164,11 @@ def robots_posture(spark, sf_dir):
 
 
 def sitemap_files(spark, sf_dir):
-    rows = sim.sitemap_files(_pages(spark, sf_dir)).select("page_id", S.looks_like_sitemap(F.col("body")).alias("usable"), S.parse(F.col("body")).alias("p"))
-    return rows.select("page_id", "usable", F.array_join(F.transform("p.entries", lambda e: F.concat_ws(" ", e["loc"], e["lastmod"])), "\n").alias("entries"), F.array_join("p.children", "\n").alias("children"), F.size("p.errors").alias("errors"))
+    files = sim.sitemap_files(_pages(spark, sf_dir))
+    rows = S.read(files, ["page_id"]).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "loc", "lastmod"))).alias("r"), F.count("error").alias("errors"))
+    told = lambda kind: F.array_join(F.transform(F.filter("r", lambda x: x["kind"] == kind), lambda x: F.concat_ws(" ", x["loc"], x["lastmod"])), "\n").alias({"entry": "entries", "child": "children"}[kind])
+    usable = files.select("page_id", S.looks_like_sitemap(F.col("body")).alias("usable"))
+    return usable.join(rows, "page_id").select("page_id", "usable", told("entry"), told("child"), F.col("errors").cast("int").alias("errors"))
 
 
 def statuses_by_bot(spark, sf_dir):
@@ -402,19 +406,21 @@ def _eval(spark, sf_dir):
     said = F.when(h < 6, "Answer: yes\nUsed: [1]").when(h == 6, "not_found here").when(h == 9, "").otherwise("half an ans")
     answers = cells.withColumns({"completion": said, "truncated": h == 8, "error": F.when(h == 7, "provider error")})
     grades = cells.withColumns({"completion": F.when(j == 0, '{"verdict": "correct"}').when(j == 1, "it is partially correct").when(j == 2, 'Well: {"verdict": "Incorrect"}.').otherwise("??"), "truncated": F.lit(False), "error": F.when(j == 4, "rate limit")})
-    return eval_run.run(docs.select("site_id", "url", "text"), asks, eval_run.recorded(answers), eval_run.recorded(grades), k=2)
+    return eval_run.run(docs.select("site_id", "url", "text"), asks, eval_run.recorded(answers), eval_run.recorded(grades), shared.work_dir(spark, "eval"), k=2)
 
 
 def eval_outcomes(spark, sf_dir):
-    rows, _ = _eval(spark, sf_dir)
-    return rows.select("q_id", "trial", "answer", "abstained", "quoted", "verdict", "has_span", "span_hit", (F.col("error").isNotNull()).alias("failed"), F.length("prompt").cast("long").alias("prompt_chars"))
+    done = _eval(spark, sf_dir)
+    rows = done.outcomes.join(done.asked.select("site_id", "url", "q_id", F.length("prompt").cast("long").alias("prompt_chars")), ["site_id", "url", "q_id"])
+    return rows.select("q_id", "trial", "answer", "abstained", "quoted", "verdict", "has_span", "span_hit", (F.col("error").isNotNull()).alias("failed"), "prompt_chars")
 
 
 def eval_answers(spark, sf_dir):
-    """The whole evaluation, pages to site metrics."""
-    outcomes, made = _eval(spark, sf_dir)
-    rows = eval_run.results(outcomes, made)
-    return rows.select("site_id", "mean", "per_trial_stddev", "ci_low", "ci_high", "question_trials", "abstention_rate", "hallucination_rate", "context_recall", "retrieval_gap", "coverage_loss", "pages", "trials", "chunk_count", "mode", F.col("n_failures").cast("long").alias("n_failures"), F.round(F.aggregate("per_trial", F.lit(0.0), lambda a, x: a + x), 3).alias("trial_scores"))
+    """The whole evaluation, pages to site metrics; each trial's score and the failures in full, as texts and their MD5."""
+    rows = eval_run.results(_eval(spark, sf_dir))
+    scores = F.array_join(F.transform("per_trial", lambda x: F.round(x * 100).cast("long").cast("string")), ",")
+    lost = F.transform("failures", lambda f: F.concat_ws("|", f["url"], f["question"], f["reference_answer"], F.concat_ws(",", F.transform(f["outcomes"], lambda o: o)), f["span_hit"].cast("string"), f["likely_cause"]))
+    return rows.select("site_id", "mean", "per_trial_stddev", "ci_low", "ci_high", "question_trials", "abstention_rate", "hallucination_rate", "context_recall", "retrieval_gap", "coverage_loss", "pages", "trials", "chunk_count", "mode", F.col("n_failures").cast("long").alias("n_failures"), F.md5(scores).alias("per_trial"), F.md5(F.array_join(lost, "\n")).alias("failures"))
 
 
 def eval_gate(spark, sf_dir):
@@ -448,17 +454,9 @@ def site_reports(spark, sf_dir):
 
 def block_stream(spark, sf_dir):
     """The streaming operator over the simulated fetches, as one bounded stream."""
-    import tempfile
-
     from ..streaming import incremental
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = f"{conf}/stream-" if conf else "file://" + tempfile.mkdtemp(prefix="stream-") + "/"
-    import uuid
-
-    base += uuid.uuid4().hex
+    base = shared.work_dir(spark, "stream")
     rows = sim.fetches(_pages(spark, sf_dir)).withColumn("fetched_at", F.expr("timestamp'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, pos)"))
     # a row after the last window, so that the watermark passes all others
     end = rows.agg((F.max("fetched_at") + F.expr("INTERVAL 1 MINUTE")).alias("fetched_at"))

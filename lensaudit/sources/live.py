@@ -1,37 +1,32 @@
-"""Live crawls of many sites into a snapshot folder, table by table.
+"""Live crawls of many sites into a snapshot folder.
 
-Every table that is fetched is written before the next one is planned: an executor that is
-lost repeats its tasks only, and a crawl that was stopped goes on from the tables it has.
-A folder with all tables is thus the cache of its crawl; remove one to fetch it again.
+Answers are kept by key (URL, lens, user agent, limits) in the folder's ``_fetched``: a crawl of other
+sites, bots or pages into the same folder fetches what is missing and no more, a crawl that was
+stopped goes on, and the tables beside it are those of the last crawl.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import urls
-from . import crawl, fetch, robots, sitemap
+from . import crawl, fetch, robots, sitemap, store
 
-#: The tables of a snapshot, in the order in which they are fetched; those with _ are for the crawl only.
-TABLES = ("_start", "_robots", "robots", "_sitemaps", "_parsed", "_children", "_listed", "entries", "faults", "fetches", "sites", "_llms", "llms", "warnings")
+#: The tables of a snapshot; those with _ are for the crawl only.
+TABLES = ("_fetched", "_listed", "_parsed", "entries", "faults", "fetches", "llms", "robots", "sites", "warnings")
 WARNINGS = "site_id string, code string, severity string, message string, url string"
 
 
-def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, made and written only if no whole one is there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:  # none, or the folder of a write that was never committed
-        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
-            raise
-    made = make()
-    made.write.mode("overwrite").parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+_READ = ("kind", "i", "loc", "lastmod", "error")
+
+
+def answers(path: str) -> store.Store:
+    """What a snapshot folder keeps of all fetches into it."""
+    return store.Store(f"{path}/_fetched", fetch.KEPT)
 
 
 def _root(start_url: Column) -> Column:
@@ -43,61 +38,55 @@ def _asks(pages: DataFrame) -> DataFrame:
     return pages.select("site_id", "url", F.col("pos").cast("int").alias("pos"), F.lit("browser").alias("lens"), F.lit(fixed.BROWSER_UA).alias("user_agent"))
 
 
-def _usable(row: dict) -> bool:
-    """Whether a fetched row is a sitemap, as ``sitemap.looks_like_sitemap`` says it of a column."""
-    head = (row["body"] or "")[:400].lstrip().lower()
-    return head.startswith("<?xml") or "<urlset" in head or "<sitemapindex" in head
-
-
-def snapshot(spark: SparkSession, sites: DataFrame, path: str, max_pages: int = 10, bots: Sequence[str] = fixed.DEFAULT_BOTS, get=fetch.http_get, lookup=fetch.resolve, delay: float = fetch.DELAY) -> None:
+def snapshot(spark: SparkSession, sites: DataFrame, path: str, max_pages: int = 10, bots: Sequence[str] = fixed.DEFAULT_BOTS, get=fetch.http_get, lookup=fetch.resolve, limits: fetch.Limits = fetch.Limits(), most_seconds: float | None = None) -> None:  # noqa: B008
     """Crawl ``sites`` (site_id, start_url; one row a site) into the tables that an audit reads.
 
     robots.txt: an answer of 404 or 410, or none, is no file; other failures are warnings. The
     first candidate that is a sitemap is used, with the children it names, one level deep.
     Pages are the start URL and a spread of listed URLs, each by the browser and every bot. A
     browser's fetch that fails is an error row in ``warnings``. An empty table gives empty ones.
+    Kept answers older than ``most_seconds`` are fetched again; 0 takes none.
     """
-    registry = crawl.bots(spark, bots)
+    registry, kept = crawl.bots(spark, bots), answers(path)
 
-    def fetched(name: str, plan: Callable[[], DataFrame], until=None) -> DataFrame:
-        return once(spark, f"{path}/{name}", lambda: fetch.fetch(plan(), get, lookup, delay, until))
+    def put(name: str, made: DataFrame) -> DataFrame:
+        made.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(made.schema).parquet(f"{path}/{name}")
 
-    start = once(spark, f"{path}/_start", lambda: sites.select("site_id", "start_url"))
+    def fetched(plan: DataFrame, until=None, usable: Column | None = None) -> DataFrame:
+        return fetch.through(kept, plan, get, lookup, limits, until, usable, most_seconds)
+
+    start = sites.select("site_id", "start_url")
     root = start.select("site_id", "start_url", _root(F.col("start_url")).alias("root"))
     at = lambda name: _asks(root.select("site_id", F.concat("root", F.lit(name)).alias("url"), F.lit(0).alias("pos")))
 
-    raw = fetched("_robots", lambda: at("/robots.txt"))
-    rules = once(spark, f"{path}/robots", lambda: raw.select("site_id", F.when(crawl.ok() & (F.col("body") != ""), F.col("body")).alias("body"), F.lit(False).alias("parse_failed")))
-    maps = fetched("_sitemaps", lambda: _asks(sitemap.candidates(start, robots.sitemaps(rules)).withColumnRenamed("ord", "pos")), _usable)
+    raw = fetched(at("/robots.txt"))
+    rules = put("robots", raw.select("site_id", F.when(crawl.ok() & (F.col("body") != ""), F.col("body")).alias("body"), F.lit(False).alias("parse_failed")))
+    maps = fetched(_asks(sitemap.candidates(start, robots.sitemaps(rules)).withColumnRenamed("ord", "pos")), lambda r: sitemap.is_sitemap(r["body"]), sitemap.looks_like_sitemap(F.col("body")))
     maps = maps.where(sitemap.looks_like_sitemap(F.col("body")))
-    first = once(spark, f"{path}/_parsed", lambda: _parsed(maps))
-    nested = fetched("_children", lambda: _asks(first.select("site_id", F.posexplode("p.children").alias("pos", "url"))))
-    nested = nested.where(sitemap.looks_like_sitemap(F.col("body")))
-    docs = first.select("site_id", F.lit(-1).alias("pos"), "p").unionByName(_parsed(nested).select("site_id", "pos", "p"))
-    listed = once(spark, f"{path}/_listed", lambda: docs.select("site_id", "pos", F.posexplode("p.entries").alias("i", "e")).select("site_id", F.expr("(pos + 1L) * 4294967296 + i").alias("pos"), "e.loc", "e.lastmod"))
-    once(spark, f"{path}/entries", lambda: listed.select("site_id", "loc", "lastmod"))
+    # the first usable one; others may be there from crawls when the first was not
+    maps = maps.groupBy("site_id").agg(F.min_by(F.struct(*(c for c in maps.columns if c != "site_id")), "pos").alias("r")).select("site_id", "r.*")
+    first = put("_parsed", sitemap.read(maps, ["site_id"]))
+    nested = fetched(_asks(first.where("kind = 'child'").select("site_id", F.col("i").alias("pos"), F.col("loc").alias("url"))))
+    nested = sitemap.read(nested.where(sitemap.looks_like_sitemap(F.col("body"))), ["site_id", "pos"])
+    # places: those of the first file, then of its children in their order
+    listed = put("_listed", first.select("site_id", F.lit(-1).alias("file"), *_READ).unionByName(nested.select("site_id", F.col("pos").alias("file"), *_READ)))
+    entries = listed.where("kind = 'entry'").withColumn("pos", F.expr("(file + 1L) * 4294967296 + i"))
+    put("entries", entries.select("site_id", "loc", "lastmod"))
     # a row without an error says that the site has a sitemap
-    once(spark, f"{path}/faults", lambda: docs.select("site_id", F.explode_outer("p.errors").alias("error")))
-
-    def pages() -> DataFrame:
-        known = listed.join(start, "site_id").select("site_id", "start_url", "pos", F.col("loc").alias("url"))
-        spread = sitemap.sample(known, max_pages).where("ord > 0").select("site_id", F.col("ord").alias("pos"), "url")
-        chosen = start.select("site_id", F.lit(0).alias("pos"), F.col("start_url").alias("url")).unionByName(spread)
-        # a URL that is listed twice is fetched once, at its first place
-        chosen = chosen.groupBy("site_id", "url").agg(F.min("pos").alias("pos"))
-        place = F.row_number().over(Window.partitionBy("site_id").orderBy("pos")) - 1  # at most max_pages rows a site
-        return crawl.lens_urls(chosen.withColumn("pos", place), registry)
-
-    got = fetched("fetches", pages)
+    put("faults", listed.where("kind = 'file'").select("site_id", "error"))
+
+    known = entries.join(start, "site_id").select("site_id", "start_url", "pos", F.col("loc").alias("url"))
+    spread = sitemap.sample(known, max_pages).where("ord > 0").select("site_id", F.col("ord").alias("pos"), "url")
+    chosen = start.select("site_id", F.lit(0).alias("pos"), F.col("start_url").alias("url")).unionByName(spread)
+    # a URL that is listed twice is fetched once, at its first place
+    chosen = chosen.groupBy("site_id", "url").agg(F.min("pos").alias("pos"))
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy("pos")) - 1  # at most max_pages rows a site
+    got = put("fetches", fetched(crawl.lens_urls(chosen.withColumn("pos", place), registry)))
     landed = got.where("lens = 'browser' AND status IS NOT NULL").groupBy("site_id").agg(F.max_by("final_url", "pos").alias("final_url"))
-    once(spark, f"{path}/sites", lambda: start.join(landed, "site_id", "left").select("site_id", "start_url", F.coalesce("final_url", "start_url").alias("final_url")))
-    answer = fetched("_llms", lambda: at("/llms.txt"))
-    once(spark, f"{path}/llms", lambda: answer.select("site_id", "status", "error", "body"))
-    once(spark, f"{path}/warnings", lambda: warnings(raw, got))
-
-
-def _parsed(rows: DataFrame) -> DataFrame:
-    return rows.select("site_id", "pos", "url", sitemap.parse(F.col("body")).alias("p"))
+    put("sites", start.join(landed, "site_id", "left").select("site_id", "start_url", F.coalesce("final_url", "start_url").alias("final_url")))
+    put("llms", fetched(at("/llms.txt")).select("site_id", "status", "error", "body"))
+    put("warnings", warnings(raw, got))
 
 
 def warnings(robots_rows: DataFrame, fetches: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Sitemaps: candidates, parsing, sampling and the report of a site."""
+"""Sitemaps: candidates, reading, sampling and the report of a site."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,41 +16,111 @@ from ..functions import dates, urls
 
 #: Places that one task numbers at once.
 SPAN = 65_536
-PARSED = "struct<entries: array<struct<loc: string, lastmod: string>>, children: array<string>, errors: array<string>>"
+#: Bytes given to the parser, and rows given to Spark, at once.
+STEP, ROWS = 1 << 16, 4096
+READ = "kind string, i long, loc string, lastmod string, error string"
+_TABLE = pa.schema([("kind", pa.string()), ("i", pa.int64()), ("loc", pa.string()), ("lastmod", pa.string()), ("error", pa.string())])
 
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def parse_xml(xml: str | None) -> dict:
-    """Entries of a sitemap, children of a sitemap index; an error for malformed XML."""
-    try:
-        root = ElementTree.fromstring((xml or "").encode("utf-8", "replace"))
-    except ElementTree.ParseError as e:
-        return {"entries": [], "children": [], "errors": [f"XML parse error: {e}"]}
-
-    def text(node, name):
-        return next((c.text.strip() for c in node if _local(c.tag) == name and c.text), None)
+def _steps(body: memoryview | bytes) -> Iterator[bytes]:
+    """The file in parts, unpacked if it is gzip."""
+    if bytes(body[:2]) != b"\x1f\x8b":
+        yield from (bytes(body[a : a + STEP]) for a in range(0, len(body), STEP))
+        return
+    at, unpack = 0, zlib.decompressobj(31)
+    while at < len(body) or unpack.unconsumed_tail:
+        part = unpack.unconsumed_tail or bytes(body[at : (at := at + STEP)])
+        yield unpack.decompress(part, STEP)
+        if unpack.eof:
+            return
 
-    index, entries, children = _local(root.tag) == "sitemapindex", [], []
-    for node in root.iter():
-        loc = text(node, "loc") if _local(node.tag) in ("url", "sitemap") else None
-        if loc and index and _local(node.tag) == "sitemap":
-            children.append(loc)
-        elif loc and _local(node.tag) == "url":
-            entries.append({"loc": loc, "lastmod": text(node, "lastmod")})
-    return {"entries": entries, "children": children, "errors": []}
 
-
-def parse(xml: Column) -> Column:
-    return F.udf(parse_xml, PARSED, useArrow=True)(xml)
+def _fault(body: memoryview | bytes) -> str | None:
+    """Why the file is no XML; None if it is."""
+    parser = expat.ParserCreate(namespace_separator="}")
+    try:
+        for part in _steps(body):
+            parser.Parse(part, False)
+        parser.Parse(b"", True)
+    except (expat.ExpatError, zlib.error) as e:
+        return f"XML parse error: {e}"
+    return None
+
+
+def scan(body: memoryview | bytes | None) -> Iterator[tuple[str, int, str | None, str | None, str | None]]:
+    """(kind, i, loc, lastmod, error) of one file, in order: a ``file`` with its fault, if any, then each
+    ``entry`` of a sitemap or ``child`` of an index. A file with a fault has neither. Read twice in
+    steps; only the element at hand is held."""
+    fault = _fault(body or b"")
+    yield "file", 0, None, None, fault
+    if fault:
+        return
+    parser, path, index, n = ElementTree.XMLPullParser(("start", "end")), [], False, 0
+    for part in _steps(body):
+        parser.feed(part)
+        for event, node in parser.read_events():
+            tag = _local(node.tag)
+            if event == "start":
+                index = index or (not path and tag == "sitemapindex")
+                path.append(node)
+                continue
+            path.pop()
+            if tag in ("url", "sitemap"):
+                text = lambda name, node=node: next((c.text.strip() for c in node if _local(c.tag) == name and c.text), None)
+                if (loc := text("loc")) and (tag == "url" or index):
+                    yield ("entry" if tag == "url" else "child"), n, loc, (text("lastmod") if tag == "url" else None), None
+                    n += 1
+            if len(path) < 2 or tag in ("url", "sitemap"):
+                node.clear()
+                if path:
+                    path[-1].remove(node)
+
+
+def read(files: DataFrame, by: list[str], body: str = "body") -> DataFrame:
+    """``by``, kind, i, loc, lastmod and error of sitemap files of any size (text or bytes, gzip too): a row
+    for each file, entry and child (see ``scan``). Null and empty bodies are files with a fault; repeated
+    files are read each; an empty table gives an empty one."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                value = b.column("_body")[i]
+                held: list[tuple] = []
+                for row in scan(memoryview(value.as_buffer()) if value.is_valid else None):
+                    held.append(row)
+                    if len(held) == ROWS:
+                        yield _rows(b, i, held)
+                        held = []
+                yield _rows(b, i, held)
+
+    def _rows(b: pa.RecordBatch, i: int, held: list[tuple]) -> pa.RecordBatch:
+        keys = b.select(by).take(pa.array([i] * len(held), pa.int64()))
+        cols = [pa.array(c, f.type) for c, f in zip(zip(*held), _TABLE)] if held else [pa.nulls(0, f.type) for f in _TABLE]
+        return pa.RecordBatch.from_arrays([*keys.columns, *cols], [*by, *_TABLE.names])
+
+    rows = files.select(*by, F.col(body).cast("binary").alias("_body"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
+    return rows.mapInArrow(run, f"{kept}, {READ}")
+
+
+#: What one of the first 400 characters of a sitemap has, or begins with.
+_BEGINS, _HAS, _HEAD = "<?xml", ("<urlset", "<sitemapindex"), 400
+
+
+def is_sitemap(body: str | None) -> bool:
+    """The same as ``looks_like_sitemap``, of a value."""
+    head = (body or "")[:_HEAD].lstrip().lower()
+    return head.startswith(_BEGINS) or any(x in head for x in _HAS)
 
 
 def looks_like_sitemap(body: Column) -> Column:
-    """By the first 400 characters."""
-    head = F.lower(F.regexp_replace(F.substring(F.coalesce(body, F.lit("")), 1, 400), r"(?U)^\s+", ""))
-    return head.startswith("<?xml") | F.contains(head, F.lit("<urlset")) | F.contains(head, F.lit("<sitemapindex"))
+    """By its first characters."""
+    head = F.lower(F.regexp_replace(F.substring(F.coalesce(body, F.lit("")), 1, _HEAD), r"(?U)^\s+", ""))
+    return head.startswith(_BEGINS) | F.contains(head, F.lit(_HAS[0])) | F.contains(head, F.lit(_HAS[1]))
 
 
 def candidates(sites: DataFrame, declared: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def test_crawl_then_audit(spark, tmp_path):
     faults = [r.error for r in spark.read.parquet(f"{snap}/faults").collect()]
     assert sum(e is None for e in faults) == 3 and sum("XML parse error" in (e or "") for e in faults) == 1
     before = len(asked)
-    code, text = run(spark, get, "crawl", "http://a.net/", "http://b.net/", "--output", snap)
-    assert code == 0 and len(open(log).read().split()) == before  # all tables were there
+    code, text = run(spark, get, "crawl", "http://a.net/", "http://b.net/", "--output", snap, "--bots", "GPTBot", "--max-pages", "3")
+    assert code == 0 and len(open(log).read().split()) == before  # all answers were there
     text = run(spark, get, "audit", snap)[1]
     assert "http://a.net/  " in text and "/ 100" in text and "WARNING ROBOTS_FETCH  http://b.net/robots.txt" in text and "FAIL  " in text
     assert "## Errors\n\n- ROBOTS_FETCH" in run(spark, get, "audit", snap, "--format", "markdown")[1]
@@ -64,6 +64,76 @@ def test_crawl_then_audit(spark, tmp_path):
     assert os.listdir(snap) == []
 
 
+def test_a_folder_takes_other_crawls(spark, tmp_path):
+    """Other start URLs, bots and numbers of pages in one folder: each has its own result, and only what is missing is fetched."""
+    log, snap = str(tmp_path / "log"), str(tmp_path / "snap")
+    get = getter(site("a.net", 4) | site("b.net", 4), log)
+    asked = lambda: open(log).read().split() if os.path.exists(log) else []
+    pages = lambda: {(r.url, r.lens) for r in spark.read.parquet(f"{snap}/fetches").collect()}
+    first = run(spark, get, "audit", "http://a.net/", "--snapshot", snap, "--bots", "GPTBot", "--max-pages", "2", "--only", "STR-001")[1]
+    assert "http://a.net/ " in first and pages() == {(u, b) for u in ("http://a.net/", "http://a.net/p0") for b in ("browser", "GPTBot")}
+    n = len(asked())
+    assert "http://b.net/ " in run(spark, get, "audit", "http://b.net/", "--snapshot", snap, "--bots", "GPTBot", "--max-pages", "2", "--only", "STR-001")[1]
+    assert {u for u, _ in pages()} == {"http://b.net/", "http://b.net/p0"} and {u.split("/")[2] for u in asked()[n:]} == {"b.net"}
+    n = len(asked())
+    run(spark, get, "crawl", "http://a.net/", "--output", snap, "--bots", "GPTBot,ClaudeBot", "--max-pages", "3")
+    assert pages() == {(u, b) for u in ("http://a.net/", "http://a.net/p0", "http://a.net/p1") for b in ("browser", "GPTBot", "ClaudeBot")}
+    assert sorted(asked()[n:]) == ["http://a.net/"] + ["http://a.net/p0"] + ["http://a.net/p1"] * 3
+    n = len(asked())
+    assert run(spark, get, "audit", "http://a.net/", "--snapshot", snap, "--bots", "GPTBot", "--max-pages", "2", "--only", "STR-001")[1] == first and len(asked()) == n
+    run(spark, get, "crawl", "http://a.net/", "--output", snap, "--bots", "GPTBot", "--max-pages", "2", "--no-cache")
+    assert len(asked()) - n == 1 + 2 + 3 + 4 + 1  # robots.txt, two candidates, three children, two pages by two, llms.txt
+
+
+def test_old_answers_and_failures_are_fetched_again(spark, tmp_path):
+    from lensaudit.sources import fetch
+
+    log = str(tmp_path / "log")
+    kept, plan = live.answers(str(tmp_path / "s")), spark.createDataFrame([("a", "http://a.net/x", 0, "browser", "ua"), ("b", "http://a.net/x", 3, "browser", "ua"), ("a", "http://a.net/y", 1, "browser", "ua")], "site_id string, url string, pos int, lens string, user_agent string")
+    get, quick = getter({"http://a.net/x": (200, {}, b"one")}, log), fetch.Limits(delay=0.0)
+    dead = lambda url, headers: 1 / 0
+    rows = fetch.through(kept, plan.where("url LIKE '%y'"), dead, names(), quick).collect()
+    assert rows[0].error.startswith("ZeroDivisionError")
+    rows = fetch.through(kept, plan, get, names(), quick)
+    assert {(r.site_id, r.pos, r.url[-1], r.status, r.body) for r in rows.collect()} == {("a", 0, "x", 200, "one"), ("b", 3, "x", 200, "one"), ("a", 1, "y", 404, "gone")}
+    assert open(log).read().split().count("http://a.net/x") == 1  # asked for by two sites
+    other = getter({"http://a.net/x": (200, {}, b"two")}, log)
+    assert {r.body for r in fetch.through(kept, plan, other, names(), quick, most_seconds=3600).collect()} == {"one", "gone"}
+    assert {r.body for r in fetch.through(kept, plan, other, names(), quick, most_seconds=0).collect()} == {"two", "gone"}
+    assert fetch.through(kept, plan, dead, names(), fetch.Limits(max_bytes=2)).where("error IS NULL").count() == 0  # other limits, another key
+
+
+def test_a_task_goes_on_behind_its_last_commit(spark, tmp_path):
+    """The first attempt of a task is lost after some commits."""
+    from lensaudit.sources import store
+
+    log, flag = str(tmp_path / "log"), str(tmp_path / "flag")
+    kept = store.Store(str(tmp_path / "s"), "twice long")
+
+    def make(rows):
+        import os
+
+        for n, r in enumerate(rows):
+            if n == 7 and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise MemoryError
+            with open(log, "a") as f:
+                f.write(r["key"] + "\n")
+            yield {"key": r["key"], "twice": 2 * r["i"]}
+
+    todo = spark.range(10).selectExpr("CAST(id AS string) AS key", "id AS i").coalesce(1)
+    todo.write.parquet(str(tmp_path / "todo"))
+    again = spark.read.parquet(str(tmp_path / "todo"))
+    with pytest.raises(Exception, match="MemoryError"):
+        kept.fill(again, make, every=1, run="r")
+    assert kept.newest(spark).count() == 7
+    assert kept.fill(again, make, every=1, total="twice", run="r") == (3, 2 * (7 + 8 + 9))
+    assert sorted(open(log).read().split()) == sorted(map(str, range(10)))
+    assert {(r.key, r.twice) for r in kept.newest(spark).collect()} == {(str(i), 2 * i) for i in range(10)}
+    assert kept.missing(spark.createDataFrame([("3",), ("x",)], "key string")).collect() == [("x",)]
+    assert kept.size() > 0 and kept.clear(spark) > 0 and kept.newest(spark).count() == 0 == kept.clear(spark)
+
+
 def test_audit_of_a_url(spark, tmp_path):
     get = getter(site("a.net", 2), str(tmp_path / "log"))
     assert run(spark, get, "audit", "http://a.net/")[0] == 2
@@ -81,7 +151,7 @@ def test_refused_and_lost_sites_have_codes(spark, tmp_path):
 
 def test_no_sites(spark, tmp_path):
     live.snapshot(spark, spark.createDataFrame([], "site_id string, start_url string"), str(tmp_path / "e"), bots=["GPTBot"], lookup=names())
-    assert spark.read.parquet(f"{tmp_path}/e/fetches").count() == 0 and sorted(os.listdir(tmp_path / "e")) == sorted(live.TABLES)
+    assert spark.read.parquet(f"{tmp_path}/e/fetches").count() == 0 and sorted(["_fetched", *os.listdir(tmp_path / "e")]) == sorted(live.TABLES)  # nothing was fetched
 
 
 @pytest.mark.parametrize("span", [1, 3, 65_536])

@@ -41,11 +41,39 @@ def test_no_robots_means_allowed(spark):
 
 def test_sitemaps(spark):
     ns = 'xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    assert sitemap.parse_xml(f"<sm:urlset {ns}><sm:url><sm:loc> u </sm:loc><sm:lastmod>2024</sm:lastmod></sm:url></sm:urlset>")["entries"] == [{"loc": "u", "lastmod": "2024"}]
-    assert sitemap.parse_xml("<sitemapindex><sitemap><loc>c</loc></sitemap></sitemapindex>")["children"] == ["c"]
-    assert sitemap.parse_xml("<urlset><url>")["errors"] and sitemap.parse_xml(None)["errors"]
-    row = spark.createDataFrame([("<urlset><url><loc>a</loc></url></urlset>",)], "x string").select(sitemap.parse(F.col("x")).alias("p"), sitemap.looks_like_sitemap(F.col("x")).alias("l")).collect()[0]
-    assert row.p.entries[0].loc == "a" and row.l
+    of = lambda xml: [r[:1] + r[2:] for r in sitemap.scan(xml.encode())]
+    ok = ("file", None, None, None)
+    assert of(f"<sm:urlset {ns}><sm:url><sm:loc> u </sm:loc><sm:lastmod>2024</sm:lastmod></sm:url></sm:urlset>") == [ok, ("entry", "u", "2024", None)]
+    assert of("<sitemapindex><sitemap><loc>c</loc></sitemap></sitemapindex>") == [ok, ("child", "c", None, None)]
+    assert of("<urlset><sitemap><loc>c</loc></sitemap><x><url><loc/><loc>d</loc></url></x></urlset>") == [ok, ("entry", "d", None, None)]
+    for bad in ("<urlset><url>", "<urlset><url><loc>a</loc></url></urlset", "", "<a:b/>"):
+        assert [(k, e.split(":")[0]) for k, *_, e in sitemap.scan(bad.encode())] == [("file", "XML parse error")]
+    rows = spark.createDataFrame([(1, "<urlset><url><loc>a</loc></url></urlset>"), (2, None), (1, "<urlset/>")], "k long, body string")
+    got = sorted((r.k, r.kind, r.loc, r.error is None) for r in sitemap.read(rows, ["k"]).collect())
+    assert got == [(1, "entry", "a", True), (1, "file", None, True), (1, "file", None, True), (2, "file", None, False)]
+    assert rows.select(sitemap.looks_like_sitemap(F.col("body"))).collect() == [(True,), (False,), (True,)] and not sitemap.is_sitemap(None)
+
+
+def test_large_sitemaps_are_read_in_steps(spark):
+    """A packed file of 50 MB, with and without a fault at its end."""
+    import gzip
+    import tracemalloc
+
+    one = "<url><loc>http://a.net/%07d</loc><lastmod>2024-01-01</lastmod><priority>0.5</priority><changefreq>never</changefreq></url>\n"
+    xml = ("<urlset>" + "".join(one % i for i in range(430_000)) + "</urlset>").encode()
+    assert len(xml) > 50_000_000
+    packed, bad = gzip.compress(xml, 1), gzip.compress(xml[:-9], 1)
+    del xml
+    tracemalloc.start()
+    n = last = 0
+    for row in sitemap.scan(packed):
+        n, last = n + 1, row
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 430_001 and last == ("entry", 429_999, "http://a.net/0429999", "2024-01-01", None) and most < 100_000_000
+    assert [r[0] for r in sitemap.scan(bad)] == ["file"]
+    got = sitemap.read(spark.createDataFrame([(1, bytearray(packed))], "k long, body binary"), ["k"])
+    assert got.groupBy("kind").count().orderBy("kind").collect() == [("entry", 430_000), ("file", 1)]
 
 
 def test_sample_spreads_over_the_list(spark):

@@ -73,16 +73,6 @@ def test_generated_questions_recovered_from_prose(spark):
     assert tuple(row) == ("q one?", None)
 
 
-def test_model_calls_record_failures(spark):
-    def client(p):
-        if p == "bad":
-            raise RuntimeError("down")
-        return p.upper(), False
-
-    rows = judging.complete(spark.createDataFrame([("ok",), ("bad",)], "prompt string"), client).collect()
-    assert [(r.completion, r.error) for r in rows] == [("OK", None), (None, "RuntimeError: down")]
-
-
 def test_white_space_of_any_script(spark):
     nbsp, em = "a\u00a0b c", "\u2003x\t\n"
     assert sorted(one(spark, text.tokens(F.lit(nbsp)))[0]) == ["a", "b", "c"] and one(spark, text.strip(F.lit(em)))[0] == "x"
