@@ -35,10 +35,25 @@ def test_few_rows_and_none(spark):
     assert V.top_k(df.where("false")).collect() == []
 
 
-def test_large_components_are_exact_and_too_large_ones_fail(spark):
+def test_large_components_are_exact_and_only_scores_that_leave_a_long_fail(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1, 1]) * rng.uniform(1e6, 1.7e7) for _ in range(6)]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, V.top_k(df, k=7, every=5).collect())) == _brute(rows, 7, 5, 64.0)
+    few = [(0, [1.0, 2.0]), (1, [5e7, 0.5]), (20, [0.5, 1.0])]  # one far row, whose scores still fit
+    assert sorted(map(tuple, V.top_k(spark.createDataFrame(few, df.schema)).collect())) == _brute(few, 20, 20, 64.0)
     with pytest.raises(Exception, match="64 bits"):
-        V.top_k(spark.createDataFrame([(0, [1e9] * 2)], df.schema)).collect()
+        V.top_k(spark.createDataFrame([(0, [1e9] * 2), (1, [1e9] * 2)], df.schema)).collect()
+
+
+@pytest.mark.parametrize("most", [1e9, 1e18, 1e300])
+def test_far_rows_behind_the_first_do_no_harm(spark, monkeypatch, most):
+    """Scores under the first k may leave a long, in any dtype of a block; those of the first k fit."""
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 4)
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(1, 3) for _ in range(4)]) for i in range(60)] + [(100 + i, [-most * rng.uniform(0.5, 1), 1.0, 0.0, 2.0]) for i in range(20) if (100 + i) % 5]
+    rows += [(200 + i, [0.0, 0.0, 0.0, -rng.random()]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, V.top_k(df, k=7, every=5).collect())) == _brute(rows, 7, 5, 64.0)
+    assert V.top_k(spark.createDataFrame([(0, [1e307 * 10]), (20, [1.0])], df.schema)).collect() == []  # not finite once scaled
