@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -25,6 +25,12 @@ def price_lookup(models: DataFrame) -> DataFrame:
     return models.join(best, "model", "left").select(*models.columns, "p.prefix", "p.input_rate", "p.output_rate")
 
 
+def rates(model: str) -> tuple[float | None, float | None]:
+    """Rates of one model, by the same table."""
+    name = model.rpartition("/")[2].lower()
+    return next(((i, o) for prefix, i, o in fixed.PRICES if name.startswith(prefix)), (None, None))
+
+
 def unpriced(models: DataFrame) -> DataFrame:
     return price_lookup(models.select("model").distinct()).where("input_rate is null").select("model")
 
@@ -83,9 +89,3 @@ def estimate(pages: DataFrame, by: list[str], questions: int, trials: int, answe
 
 def exceeds(estimates: DataFrame, most: float | None) -> DataFrame:
     return estimates.withColumn("exceeds", F.lit(False) if most is None else F.col("cost_usd") > most)
-
-
-def running_cost(calls: DataFrame, order: str) -> DataFrame:
-    """Cost so far within each run, as a ledger of calls."""
-    w = Window.partitionBy("run_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("spent", F.round(F.sum("cost_usd").over(w), 6))

@@ -40,6 +40,34 @@ def parse_generated(raw: Column) -> Column:
     return F.coalesce(ok(raw), ok(inner))
 
 
+GENERATE_SYSTEM = """You are given the text of a web page. Write questions about it that a visitor, or someone who uses an assistant, might ask.
+- The text alone must answer each question; nothing that needs other knowledge, and nothing that the text does not say.
+- Ask for different things: facts such as prices, dates and names; what something is; how something is done; how things compare.
+- reference_answer is the answer, as the text gives it. source_span is the passage of the text with the answer, copied character by character.
+Reply with one JSON object and nothing else: {"questions": [{"question": "...", "reference_answer": "...", "source_span": "...", "kind": "..."}]}"""
+GENERATE_PROMPT = "Page: {url}\n\nText of the page:\n<<<\n{text}\n>>>\n\nWrite up to {count} questions about it, as JSON."
+
+
+def generate(pages: DataFrame, ask, work: str, count: int = 50) -> DataFrame:
+    """Questions (site_id, url, q_id, question, reference_answer, source_span, kind) that a model writes about
+    ``pages`` (site_id, url, text), at most ``count`` a page: ``ask`` as ``calls.Model.ask``. What a model gets of
+    a page is at most GEN_INPUT_MOST characters, as it can read no more. Failed and cut-off replies give no
+    questions, nor do empty texts. Written under ``work``."""
+    page, spark = ["site_id", "url"], pages.sparkSession
+    rows = pages.where(F.trim("text") != "").select(*page, "text", F.substring("text", 1, fixed.GEN_INPUT_MOST).alias("_part"))
+    parts = GENERATE_PROMPT.replace("{count}", str(count))
+    head, _, rest = parts.partition("{url}")
+    middle, _, tail = rest.partition("{text}")
+    rows = rows.select(*page, "text", F.concat(F.lit(head), "url", F.lit(middle), "_part", F.lit(tail)).alias("prompt"), token_budget(F.lit(count), F.length("_part")).alias("budget"))
+    rows.write.parquet(f"{work}/generate")
+    said = ask(spark.read.schema(rows.schema).parquet(f"{work}/generate"), GENERATE_SYSTEM, F.col("budget"), True)
+    said = said.where(F.col("error").isNull() & ~F.col("truncated")).select(*page, F.col("text").alias("ground_truth"), F.posexplode(parse_generated(F.col("completion"))).alias("pos", "q"))
+    kept = post_filter(said.select(*page, "ground_truth", "pos", "q.*"), page, ["pos"]).where(F.col("pos") < count)
+    made = kept.select(*page, F.col("pos").cast("long").alias("q_id"), "question", "reference_answer", "source_span", F.coalesce("kind", F.lit("")).alias("kind"))
+    made.write.parquet(f"{work}/generated")
+    return spark.read.schema(made.schema).parquet(f"{work}/generated")
+
+
 def token_budget(count: Column, chars: Column) -> Column:
     """Output tokens allowed to generate ``count`` questions from so much text."""
     thought = F.floor(chars / 4 * fixed.GEN_REASONING)
@@ -62,7 +90,8 @@ def confidence(ground_truth: Column) -> Column:
 
 
 def for_page(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Questions of each page of ``pages`` (url): those that name it, or all where none does."""
+    """Questions of each page of ``pages`` (url): those that name it, or all where none does: by meaning as many
+    rows as such pages times questions."""
     urls = pages.select("url")
     named = questions.select(F.col("page").alias("url")).distinct()
     own = urls.join(questions, F.col("url") == F.col("page"))

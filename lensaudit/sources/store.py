@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,13 +43,15 @@ class Store:
         self.path, self.schema = path.rstrip("/"), schema
 
     def all(self, spark: SparkSession) -> DataFrame:
-        """Every row that was ever committed; none where the folder is missing."""
-        try:
-            return spark.read.schema(_full(self.schema)).option("recursiveFileLookup", "true").parquet(self.path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        """Every row that was ever committed; none where the folder is missing.
+
+        The folders of all runs are named one by one: Spark takes two reads of one folder for the same,
+        and would let a query that joins an earlier and a later read use one of them for both."""
+        fs, p = _fs(self.path)
+        runs = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)) if f.type == pafs.FileType.Directory)
+        if not runs:
             return spark.createDataFrame([], _full(self.schema))
+        return spark.read.schema(_full(self.schema)).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{r}" for r in runs))
 
     def newest(self, spark: SparkSession, most_seconds: float | None = None) -> DataFrame:
         """The newest row of each key that is not older than ``most_seconds``."""

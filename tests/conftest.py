@@ -6,6 +6,16 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+@pytest.fixture(autouse=True)
+def no_keys(monkeypatch):
+    """Tests call no real model, whatever keys are set where they run."""
+    from lensaudit.operators import providers
+
+    for name in list(os.environ):
+        if providers.detect({name: "x"}):
+            monkeypatch.delenv(name)
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
