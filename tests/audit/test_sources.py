@@ -34,6 +34,41 @@ def test_robots_rules(spark, path, token, want):
     assert [r.verdict for r in got.collect()] == [want]
 
 
+def test_matcher_equals_regular_expressions():
+    """Every rule as a regular expression against the compiled ones, on made-up patterns and paths."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    blocked = 0
+    for _ in range(400):
+        group = [("/" + some(6, "ab/*") + rng.choice(["", "", "$", "*", ".a"]), rng.random() < 0.4) for _ in range(rng.randrange(8))]
+        compiled = robots.Matcher(group)
+        for _ in range(20):
+            path, best = "/" + some(9, "ab/.$"), (-1, True)
+            for pattern, allow in group:
+                core = ".*".join(map(re.escape, pattern.removesuffix("$").split("*")))
+                if re.match(core + (r"\Z" if pattern.endswith("$") else ""), path):
+                    best = max(best, (len(pattern), allow))
+            assert compiled.allows(path) == best[1], (group, path)
+            blocked += not best[1]
+    assert blocked > 500
+
+
+def test_a_large_site_is_judged_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(robots, "SLICE", 100)
+    body = "User-agent: *\nDisallow: /x\nAllow: /x/ok\nUser-agent: GPTBot\nDisallow: /*7$\n"
+    asks = spark.range(3000).selectExpr("'s' AS site_id", "element_at(array('GPTBot', 'CCBot', 'Other'), CAST(id % 3 AS int) + 1) AS bot", "concat(CASE WHEN id % 2 = 0 THEN '/x/' ELSE '/x/ok' END, id) AS path").withColumn("token", F.col("bot"))
+    asks = asks.unionByName(spark.createDataFrame([("t", "b", "b", "/x"), ("u", "b", "b", "/x")], "site_id string, bot string, token string, path string"))
+    got = robots.verdicts(spark.createDataFrame([("s", body), ("u", None)], "site_id string, body string"), asks).collect()
+    assert len(got) == 3002 and {(r.verdict, r.robots_present) for r in got if r.site_id in "tu"} == {("allowed", False)}
+    for r in got:
+        if r.site_id == "s":
+            want = r.path.endswith("7") if r.bot == "GPTBot" else not r.path.startswith("/x/ok")
+            assert (r.verdict == "blocked") == want and r.robots_present
+
+
 def test_no_robots_means_allowed(spark):
     got = robots.verdicts(spark.createDataFrame([("s", None)], "site_id string, body string"), spark.createDataFrame([("s", "b", "t", "/")], "site_id string, bot string, token string, path string")).collect()[0]
     assert (got.verdict, got.robots_present) == ("allowed", False)
