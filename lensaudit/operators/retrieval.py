@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,8 @@ from ..functions import text as T
 
 #: Vectors of a page in one block of a comparison.
 BLOCK_VECTORS = 4096
+#: Bands of chunk sizes grow by this, and are so many (sizes up to 10^11); words that give the first scores.
+GROWTH, BANDS, RAREST = 1.25, 113, 3
 
 
 def _top(scored: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -45,17 +49,52 @@ def lexical_top_k(questions: DataFrame, chunks: DataFrame, page: list[str], k: i
     return _top(best, [*page, "q_id"], k)
 
 
+def _band(words):
+    """Sizes of chunks in steps of a quarter: a band holds sizes from GROWTH^band to below the next."""
+    return F.floor(F.log(words.cast("double")) / math.log(GROWTH) + 1e-9).cast("int")
+
+
+def _scored(pairs: DataFrame, q: DataFrame, c: DataFrame, key: list[str]) -> DataFrame:
+    """Exact scores of pairs (q_id, key, chunk_idx)."""
+    rows = pairs.join(q.select("q_id", "_q"), "q_id").join(c.select(*key, "chunk_idx", "_t"), [*key, "chunk_idx"])
+    n = F.size(F.array_intersect("_q", "_t"))
+    return rows.where(n > 0).select("q_id", *key, "chunk_idx", (n / F.sqrt(F.size("_q") * F.size("_t"))).alias("score"))
+
+
+def candidates(q: DataFrame, c: DataFrame, key: list[str], k: int) -> DataFrame:
+    """Pairs (q_id, key, chunk_idx) of ``q`` (q_id, _q: words) and ``c`` (key, chunk_idx, _t: words) that hold the
+    first k of each question.
+
+    Chunks by their rarest common words give k scores, so a bound that the first k reach. To reach it a
+    chunk of some size must share so many words, hence one of the question's rarest but as many less
+    one: only these are looked up, band of sizes by band, and bands whose chunks are too short or too long
+    to reach it not at all. So a frequent word is looked up only where one word in common may be enough.
+    """
+    held = c.where(F.size("_t") > 0).select(*key, "chunk_idx", _band(F.size("_t")).alias("band"), F.explode("_t").alias("term"))
+    asked = q.select("q_id", F.size("_q").alias("nq"), F.explode("_q").alias("term"))
+    often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = asked.join(often, "term")  # words that no chunk has are in no pair
+    mine = Window.partitionBy("q_id")
+    known = known.withColumns({"place": F.row_number().over(mine.orderBy("df", "term")), "known": F.count(F.lit(1)).over(mine)})
+    chunk = [*key, "chunk_idx"]
+    first = known.where(F.col("place") <= RAREST).select("q_id", "term").join(held.select(*chunk, "term"), "term").select("q_id", *chunk).distinct()
+    order = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score")))
+    bound = _scored(first, q, c, key).withColumn("_i", order).where(F.col("_i") == k).select("q_id", F.col("score").alias("bound"))
+    rows = known.join(bound, "q_id", "left").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS))))
+    least, most = F.ceil(F.pow(F.lit(GROWTH), F.col("band")) - 1e-6), F.ceil(F.pow(F.lit(GROWTH), F.col("band") + 1) - 1e-6) - 1
+    shared = F.greatest(F.lit(1), F.ceil(F.coalesce("bound", F.lit(0.0)) * F.sqrt(F.col("nq") * least) - 1e-6))
+    # the words in common of a chunk of this band are at most those the question has, and its own
+    rows = rows.where((shared <= F.col("known")) & (shared <= most) & (F.col("place") <= F.col("known") - shared + 1))
+    return rows.select("q_id", "band", "term").join(held, ["band", "term"]).select("q_id", *chunk).distinct()
+
+
 def lexical_top_k_corpus(questions: DataFrame, chunks: DataFrame, key: list[str], k: int = fixed.TOP_K) -> DataFrame:
-    """The same over all chunks of a corpus, by an inverted index: only pairs that share a word
-    are made, and counted before they are ranked. Chunks without a common word are left out."""
+    """The same over all chunks of a corpus, exact, by the pairs that ``candidates`` finds. Chunks without
+    a common word are left out. Words of each side are made once and read more than once."""
     q = questions.select("q_id", T.tokens(F.col("question")).alias("_q"))
     c = chunks.select(*key, "chunk_idx", T.tokens(F.concat_ws(" ", "heading_path", "text")).alias("_t"))
-    left = q.select("q_id", F.size("_q").alias("nq"), F.explode("_q").alias("term"))
-    right = c.select(*key, "chunk_idx", F.size("_t").alias("nt"), F.explode("_t").alias("term"))
-    hits = right.join(left, "term").groupBy("q_id", *key, "chunk_idx").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
-    scored = hits.select("q_id", *key, "chunk_idx", (F.col("n") / F.sqrt(F.col("nq") * F.col("nt"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), *key, "chunk_idx"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _scored(candidates(q, c, key, k), q, c, key).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def cosine(a, b):
