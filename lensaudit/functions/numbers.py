@@ -15,11 +15,6 @@ def ci95(rate: Column, n: Column) -> tuple[Column, Column]:
     return F.when(some, F.greatest(F.lit(0.0), rate - 1.96 * se)).otherwise(0.0), F.when(some, F.least(F.lit(1.0), rate + 1.96 * se)).otherwise(0.0)
 
 
-def upper_median(values: Column) -> Column:
-    """Of the sorted values the one in the middle, the upper of two."""
-    return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
     """Rounded ratio; null where the whole is 0."""
     return F.round(F.try_divide(part, whole), digits)

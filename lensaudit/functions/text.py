@@ -88,3 +88,9 @@ def cache_key(*parts: Column) -> Column:
 def bar(share: Column, width: int = 22) -> Column:
     n = F.greatest(F.lit(0), F.least(F.lit(width), F.round(share * width).cast("int")))
     return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first: also after digits and apostrophes."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")

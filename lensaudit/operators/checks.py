@@ -167,11 +167,6 @@ def llms_txt(crawl: Crawl) -> DataFrame:
     return decide(crawl.sites, rows, "DIS-003", [(gone, "fail", "/llms.txt is not present."), (~ok(), "warn", "/llms.txt returned an error."), (~F.col("has_h1") | (F.col("links") == 0) | ~F.col("has_summary"), "warn", "/llms.txt exists but is malformed."), (None, "pass", "/llms.txt is present and well-formed.")], ["status", "has_h1", "links", "has_summary"], "/llms.txt was not fetched")
 
 
-def statuses_by_bot(crawl: Crawl) -> DataFrame:
-    """The status of the first page of each site by lens."""
-    return crawl.fetches.groupBy("site_id", "lens").agg(F.min_by("status", F.struct("pos", "url")).alias("status"))
-
-
 # Structure
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import urls
+from ..functions import text, urls
 
 
 def page_entries(views: DataFrame, structure: DataFrame, sites: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def page_entries(views: DataFrame, structure: DataFrame, sites: DataFrame) -> Da
 def sections(entries: DataFrame) -> DataFrame:
     """Sections in their order: the overview of start pages, the root, then by name."""
     rank = F.when(F.col("is_start"), 0).when(F.col("section") == "", 1).otherwise(2)
-    name = F.when(F.col("is_start"), "Overview").when(F.col("section") == "", "Other").otherwise(F.initcap(F.regexp_replace("section", "[-_]", " ")))
+    name = F.when(F.col("is_start"), "Overview").when(F.col("section") == "", "Other").otherwise(text.title_case(F.regexp_replace("section", "[-_]", " ")))
     line = F.concat(F.lit("- ["), "label", F.lit("]("), "url", F.lit(")"))
     key = F.when(F.col("is_start"), "").otherwise(F.col("section"))
     rows = entries.select("site_id", rank.alias("rank"), key.alias("section"), name.alias("heading"), "pos", line.alias("line"))

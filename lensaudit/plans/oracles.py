@@ -147,7 +147,8 @@ UNION ALL SELECT DISTINCT site_id, 0, start_url FROM p JOIN s USING (site_id) WH
   UNION ALL SELECT site_id, 1, i, regexp_extract(start_url, '^([a-z]+://[^/]*)', 1) || f FROM s CROSS JOIN (VALUES (0, '/sitemap.xml'), (1, '/sitemap_index.xml'), (2, '/sitemap-index.xml')) AS v(i, f)
 ), f AS (SELECT site_id, url, min((src, pos)) AS o FROM c GROUP BY ALL) SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY o) - 1 AS INT) AS ord, url FROM f""",
     "date_values": "SELECT page_id, CASE page_id % 10 WHEN 1 THEN TIMESTAMP '2024-05-01' WHEN 2 THEN TIMESTAMP '2099-01-01' WHEN 4 THEN TIMESTAMP '2024-05-01 08:00:00' WHEN 5 THEN TIMESTAMP '1970-01-01' END AS parsed, page_id % 10 IN (2, 3, 5) AS stale FROM pages WHERE page_id % 7 <> 6",
-    "blocked_addresses": f"WITH a AS (SELECT c_custkey, c_custkey * 37 % 256 AS a, c_custkey * 11 % 256 AS b, c_custkey * 5 % 300 AS c FROM customer), n AS (SELECT *, CASE WHEN c < 256 THEN a * 16777216 + b * 65536 + c * 256 + 7 END AS n FROM a) SELECT c_custkey, a || '.' || b || '.' || c || '.7' AS ip, n IS NULL OR {_BLOCKED} AS blocked FROM n",
+    "blocked_addresses": rf"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}\b')) AS ip FROM documents), g AS (SELECT ip, count(*) AS n_, min(doc_id) AS first_doc FROM a GROUP BY ip),
+p AS (SELECT *, list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)) AS o FROM g), q AS (SELECT *, CASE WHEN list_max(o) < 256 THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM p) SELECT ip, n_ AS n, first_doc, n IS NULL OR {_BLOCKED} AS blocked FROM (SELECT ip, n_, first_doc, n FROM q)""",
     "role_types": f"WITH {_ROLE_CTE} SELECT url, role, array_to_string(list_sort(types), ',') AS types, array_to_string(missing, ',') AS missing FROM t",
     "author_signals": f"WITH {_P} SELECT url, CASE WHEN page_id % 41 = 40 THEN NULL WHEN m4 = 1 THEN 'jsonld:author.name' WHEN m4 = 3 THEN 'jsonld:publisher' WHEN m8 = 5 THEN 'visible:heading' END AS source, CASE WHEN page_id % 41 = 40 THEN NULL WHEN m4 = 1 THEN 'Ann' WHEN m4 = 3 THEN 'Acme' WHEN m8 = 5 THEN 'About the author' END AS value FROM p",
     "page_dates": f"WITH {_P} SELECT url, CASE WHEN page_id % 41 = 40 THEN 0 ELSE CAST(m4 = 1 AS BIGINT) + CAST(m6 IN (1, 2, 3, 4) AS BIGINT) END AS dates, CAST(m6 IN (1, 4) AND page_id % 41 <> 40 AS BIGINT) AS unparseable FROM p",
@@ -178,7 +179,7 @@ UNION ALL SELECT DISTINCT site_id, 0, start_url FROM p JOIN s USING (site_id) WH
 SELECT source, count(*) AS pages, count(*) * 150 AS answer_calls, count(*) * 150 AS judge_calls, count(*) AS embed_calls, count(*) AS generation_calls, CAST(sum(gen + ans + 30000) AS BIGINT) AS input_tokens, count(*) * 30000 AS output_tokens, CAST(sum(chunks * 200) AS BIGINT) AS embed_tokens,
   round(sum(round(ans / 1e6 * 0.15 + 18000 / 1e6 * 0.6, 6) + round(30000 / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6) + round(gen / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6)), 3) AS cost_usd,
   round(sum(round(ans / 1e6 * 0.15 + 18000 / 1e6 * 0.6, 6) + round(30000 / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6) + round(gen / 1e6 * 0.15 + 6000 / 1e6 * 0.6, 6)), 6) > 0.5 AS exceeds FROM e GROUP BY source""",
-    "price_lookup": f"WITH m AS (SELECT ['gpt-4o-mini', 'openai/gpt-4o-2024', 'glm-5.3-flashx', 'groq/llama-3.3-70b-versatile', 'unknown-1', 'text-embedding-3-small', 'nvidia/nemotron-3-embed-1b', 'CLAUDE-SONNET-4'][n_nationkey % 8 + 1] AS model FROM nation), h AS (SELECT model, arg_min((prefix, input_rate, output_rate), ord) AS p FROM (SELECT DISTINCT model FROM m) JOIN {_PRICES} ON starts_with(lower(string_split(model, '/')[-1]), prefix) GROUP BY model) SELECT model, p[1] AS prefix, CAST(p[2] AS DOUBLE) AS input_rate, CAST(p[3] AS DOUBLE) AS output_rate, contains(lower(model), 'text-embedding') OR contains(lower(model), '-embed') AS embedding FROM m LEFT JOIN h USING (model)",
+    "price_lookup": f"WITH m AS (SELECT ['gpt-4o-mini', 'openai/gpt-4o-2024', 'glm-5.3-flashx', 'groq/llama-3.3-70b-versatile', 'unknown-1', 'text-embedding-3-small', 'nvidia/nemotron-3-embed-1b', 'CLAUDE-SONNET-4'][CAST(regexp_extract(source, '[0-9]+$') AS INT) % 8 + 1] AS model, source, count(*) AS docs, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents GROUP BY source), h AS (SELECT model, arg_min((prefix, input_rate, output_rate), ord) AS p FROM (SELECT DISTINCT model FROM m) JOIN {_PRICES} ON starts_with(lower(string_split(model, '/')[-1]), prefix) GROUP BY model) SELECT source, model, docs, tokens, coalesce(round(tokens / 1e6 * CAST(p[2] AS DOUBLE), 6), 0) AS cost_usd, p[1] AS prefix, CAST(p[2] AS DOUBLE) AS input_rate, CAST(p[3] AS DOUBLE) AS output_rate, contains(lower(model), 'text-embedding') OR contains(lower(model), '-embed') AS embedding FROM m LEFT JOIN h USING (model)",
     "parsed_answers": r"SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'quoted' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS answer, turn % 4 = 2 AS abstained, CASE turn % 4 WHEN 1 THEN '[1]' ELSE '' END AS quoted FROM conversations",
     "parsed_verdicts": "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'partially_correct' WHEN 2 THEN 'incorrect' WHEN 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'abstained' ELSE 'incorrect' END ELSE 'abstained' END AS verdict FROM conversations",
     "check_acc001": _check("ACC-001", "SELECT *, length(site_id) % 5 AS m, regexp_extract(start_url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS spath FROM s", "CASE WHEN m IN (1, 3) OR m = 2 AND NOT (spath IN ('', '/') OR regexp_matches(spath, '^/.*/1')) THEN 'warn' ELSE 'pass' END"),

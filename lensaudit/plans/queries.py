@@ -197,9 +197,10 @@ def date_values(spark, sf_dir):
 
 
 def blocked_addresses(spark, sf_dir):
-    c = F.col("c_custkey")
-    ip = F.concat_ws(".", (c * 37 % 256).cast("string"), (c * 11 % 256).cast("string"), (c * 5 % 300).cast("string"), F.lit("7"))
-    return table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip"), urls.blocked_address(ip).alias("blocked"))
+    """Whether the addresses that documents name might be fetched."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"), F.lit(0)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("ip")).groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return rows.withColumn("blocked", urls.blocked_address(F.col("ip")))
 
 
 # Roles, scores, findings
@@ -441,9 +442,12 @@ def cost_estimate(spark, sf_dir):
 
 
 def price_lookup(spark, sf_dir):
+    """What reading every document of a source would cost by the model that it is dealt to."""
     names = ["gpt-4o-mini", "openai/gpt-4o-2024", "glm-5.3-flashx", "groq/llama-3.3-70b-versatile", "unknown-1", "text-embedding-3-small", "nvidia/nemotron-3-embed-1b", "CLAUDE-SONNET-4"]
-    models = table(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") % len(names)).cast("int") + 1).alias("model"))
-    return cost.price_lookup(models).withColumn("embedding", cost.is_embedding_model(F.col("model")))
+    model = F.element_at(F.array(*map(F.lit, names)), (F.regexp_extract("source", "[0-9]+$", 0).try_cast("int") % len(names)).cast("int") + 1)
+    docs = table(spark, sf_dir, "documents").select("source", model.alias("model"), T.approx_tokens(F.col("text")).cast("long").alias("tokens"))
+    rows = cost.price_lookup(docs.groupBy("source", "model").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
+    return rows.withColumns({"embedding": cost.is_embedding_model(F.col("model")), "cost_usd": cost.cost(F.col("tokens"), F.lit(0), F.col("input_rate"), F.col("output_rate"))})
 
 
 def site_reports(spark, sf_dir):

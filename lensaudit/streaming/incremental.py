@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..sources import crawl as C
 
@@ -31,11 +32,23 @@ def block_rates(rows: DataFrame, window: str = "10 minutes", late: str = "1 hour
     return agg.select(F.col("window.start").alias("from"), "site_id", "lens", "responses", "blocked", F.round(F.col("blocked") / F.col("responses"), 4).alias("share"))
 
 
-def audit_batches(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Run ``judge`` on every micro-batch and append its results. A batch that is done again
-    after a failure writes to the same place."""
+def audit_batches(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, by: str = "site_id"):
+    """Keep every row under ``out``, and judge the sites of each micro-batch anew from all that is kept of them, so that
+    a site has one verdict whatever batches its pages came in (``verdicts`` reads the last). A batch that is
+    done again after a failure writes to the same places."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        judge(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
+        kept = spark.read.schema(types.StructType([*batch.schema, types.StructField("epoch", types.LongType())])).parquet(f"{out}/rows").where(F.col("epoch") <= epoch)
+        touched = spark.read.schema(batch.schema).parquet(f"{out}/rows/epoch={epoch}").select(by).distinct()
+        judge(kept.drop("epoch").join(touched, by, "left_semi")).write.mode("overwrite").parquet(f"{out}/verdicts/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def verdicts(spark: SparkSession, out: str, by: str = "site_id") -> DataFrame:
+    """Of each site the rows of its last judgement by ``audit_batches``."""
+    rows = spark.read.parquet(f"{out}/verdicts")
+    last = rows.groupBy(by).agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, [by, "epoch"]).drop("epoch")

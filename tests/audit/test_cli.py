@@ -95,7 +95,31 @@ def test_repeats_in_a_stream_are_dropped(spark, tmp_path):
     spark.createDataFrame(rows, incremental.SNAPSHOT).write.parquet(str(tmp_path / "in"))
     new = incremental.fresh(incremental.snapshots(spark, str(tmp_path / "in")))
     incremental.audit_batches(new, lambda d: d.select("site_id", "body_sha"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert incremental.verdicts(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_a_site_in_two_batches_has_one_verdict(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    row = lambda site, pos: (site, f"u{pos}", pos, "browser", "u", 200, None, f"b{pos}", 1, None, None, None, None, datetime(2025, 1, 1))
+    judge = lambda d: d.groupBy("site_id").agg(F.count(F.lit(1)).alias("pages"))
+    at = {k: str(tmp_path / k) for k in ("in", "out", "ck")}
+    for rows in ([row("s", 0), row("t", 0)], [row("s", 1)]):
+        spark.createDataFrame(rows, incremental.SNAPSHOT).write.mode("append").parquet(at["in"])
+        incremental.audit_batches(incremental.snapshots(spark, at["in"]), judge, at["out"], at["ck"]).awaitTermination()
+    assert sorted(map(tuple, incremental.verdicts(spark, at["out"]).collect())) == [("s", 2), ("t", 1)]
+
+
+def test_title_case_is_pythons(spark):
+    from pyspark.sql import functions as F
+
+    from lensaudit.functions import text
+
+    words = ["it's a 3d-print", "élan vital", "ABC def", "", "a1b2 c", "über-uns"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(text.title_case(F.col("w"))).collect()
+    assert [r[0] for r in got] == [w.title() for w in words]
 
 
 def test_costs_and_codes(spark, snapshot):
