@@ -328,7 +328,8 @@ def score(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     unigram log10 probability) and score (the model's). Null text is empty: only the end.
     A null doc_id counts as the empty string for the split. Repeated rows are scored
     alike, and counted each. Without training rows nothing is known, and the network stays
-    as it was initialised. Other columns are ignored.
+    as it was initialised. Texts of any length are read whole, each in one chunk; words of
+    equal counts are ordered by their hashes. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     uri = common.work_dir(spark, "lm")

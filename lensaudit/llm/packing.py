@@ -159,8 +159,10 @@ def sequences(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAP
     Columns: bin, capacity, used, ids (of all pieces, end to end: little-endian unsigned
     integers as in token files, of 2 bytes, or 4 for over 65,536 ids), and by piece, in the
     order of their offsets, doc_ids, starts (in the document), lengths and offsets (in the
-    sequence). At most ``max(capacities)`` ids meet in a row. Nulls, empty and long texts,
-    ties, repeated rows and empty tables are as in ``pack``. Other columns are ignored.
+    sequence). At most ``max(capacities)`` ids meet in a row. Null and empty texts are one end
+    token; repeated rows are packed each; texts over the largest capacity are cut into pieces;
+    pieces of equal length fill their bins in the order of their rows. An empty table gives an
+    empty result. Other columns are ignored.
     """
     work = common.work_dir(docs.sparkSession, "sequences")
     pieces = _tokenized(docs, tokenizer, end_id, max(capacities), cache_units).withColumn("row", F.monotonically_increasing_id())

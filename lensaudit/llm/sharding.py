@@ -27,7 +27,8 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     Null text counts as empty and shares the group of empty texts (size 1, crc 0).
     Null or repeated doc_ids are rows like others; equal rows take neighbouring slots.
     A group over the even share has a shard to itself; shards may stay empty when
-    groups are few. An empty table gives an empty result. Other columns are ignored.
+    groups are few. Texts of any length count whole. An empty table gives an empty result.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     work = common.work_dir(spark, "shards")

@@ -146,7 +146,9 @@ def write_pages(pages: DataFrame, uri: str) -> list[str]:
     page_id are responses and the rest are revisits of it, without payload. Null html is
     an empty payload; a null page_id is never the smallest and pages with only null ids
     are all responses; rows that repeat the smallest page_id are responses too. A null
-    url leaves out the target header. Other columns are ignored.
+    url leaves out the target header. An empty table gives archives without records, or none;
+    payloads of any length up to 2 GiB, the most a record's block may have, are written whole.
+    Other columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -187,7 +189,10 @@ def write_pages(pages: DataFrame, uri: str) -> list[str]:
 
 
 def read_pages(spark, archives: list[str]) -> DataFrame:
-    """A row for each record of ``archives``; one task reads one archive, record by record."""
+    """A row for each record of ``archives``; one task reads one archive, record by record.
+
+    Repeated pages are records each; no archives give no rows. A record over 2 GiB, a length or header
+    that does not fit, or a digest that is not that of its payload is an error."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches):

@@ -64,3 +64,24 @@ def test_flattened_trees_equal_a_walk():
                 i = model.left[t, i] if row[model.feature[t, i]] <= model.threshold[t, i] else model.right[t, i]
             total += model.value[t, i]
         assert abs(1 / (1 + np.exp(-total)) - s) < 1e-9
+
+
+def test_the_first_split_is_the_best_of_all():
+    """One tree of one level against every feature and threshold."""
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        x = np.round(rng.normal(size=(300, len(Q.FEATURES))), 1)  # many equal values
+        y = ((x[:, 7] > 0.3) | (rng.random(300) < 0.2)).astype(float)
+        model = Q.grow(x, y, trees=1, depth=1, bins=16, least=20, ridge=1.0)
+        p = 1 / (1 + np.exp(-model.base))
+        g, h = y - p, np.full(300, p * (1 - p))
+
+        def gain(left, g=g, h=h):
+            part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+            return part(left) + part(~left) - part(left | ~left)
+
+        best = max(gain(left) for j in range(x.shape[1]) for t in np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1], method="lower") if 20 <= (left := x[:, j] <= t).sum() <= 280)
+        mine = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+        assert abs(gain(mine) - best) < 1e-9
+        for node, rows in ((1, mine), (2, ~mine)):
+            assert abs(model.value[0, node] - 0.15 * g[rows].sum() / (h[rows].sum() + 1.0)) < 1e-9
