@@ -8,8 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(autouse=True)
 def no_keys(monkeypatch):
-    """Tests call no real model, whatever keys are set where they run."""
-    from lensaudit.operators import providers
+    """Tests call no real model, whatever keys are set where they run, and few tasks call the others."""
+    from lensaudit.operators import calls, embedding, providers
+
+    monkeypatch.setattr(calls, "PARTS", 2)
+    monkeypatch.setattr(embedding, "PARTS", 2)
 
     for name in list(os.environ):
         if providers.detect({name: "x"}):
