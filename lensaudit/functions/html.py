@@ -13,11 +13,7 @@ from .. import fixed
 from .text import names_of, squeeze, strip
 
 NOISE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-#: Elements that are not main content, with all up to their own end tag.
-CHROME = ("nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "select", "template")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-BLOCK_TAGS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|main|blockquote|br|body|html)(?:\s[^>]*)?/?>"
-ARTICLE = r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)>"
 LD_BLOCK = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 
 
@@ -112,41 +108,6 @@ def body_text(html: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(inner, r"<[^>]*>", " ")))
 
 
-def markdown(fragment: Column) -> Column:
-    """Lines of text: headings with # marks, block elements on lines of their own, tags removed."""
-    c = F.regexp_replace(fragment, r"(?i)<h([1-6])(?:\s[^>]*)?>", "\n\x01$1 ")
-    for level in range(1, 7):
-        c = F.replace(c, F.lit(f"\x01{level}"), F.lit("#" * level))
-    c = F.regexp_replace(c, BLOCK_TAGS, "\n")
-    c = unescape(F.regexp_replace(c, r"<[^>]*>", ""))
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
-    return F.trim(F.regexp_replace(c, r"^\n+|\n+$", ""))
-
-
-def recall_text(html: Column) -> Column:
-    """Main text, generously: everything but chrome elements and the head."""
-    c = F.regexp_replace(clean(html), r"(?is)<head\b.*?</head>", "")
-    return markdown(F.regexp_replace(c, rf"(?is)<({'|'.join(CHROME)})\b.*?</\1>", ""))
-
-
-def precision_text(html: Column) -> Column:
-    """Main text, strictly: what lies in article or main."""
-    return markdown(F.regexp_extract(clean(html), ARTICLE, 1))
-
-
-def choose(recall: Column, precise: Column, chars: Column) -> tuple[Column, Column, Column]:
-    """(text, mode, ratio to ``chars``): recall, or the longer of both where recall finds little."""
-    longer = (F.length(recall) < fixed.RECALL_FLOOR) & (F.length(precise) > F.length(recall))
-    text = F.when(longer, precise).otherwise(recall)
-    mode = F.when(longer, "precision").when((recall == "") & (precise == ""), "none").otherwise("recall")
-    return text, mode, F.when(chars > 0, F.round(F.length(text) / chars, 5)).otherwise(0.0)
-
-
-def main_text(html: Column) -> tuple[Column, Column, Column]:
-    """(text, mode, ratio) of a page."""
-    return choose(recall_text(html), precision_text(html), F.length(F.coalesce(html, F.lit(""))))
-
-
 def framework_markers(html: Column) -> Column:
     return names_of(html, fixed.FRAMEWORK_MARKERS)
 

@@ -7,7 +7,6 @@ import ipaddress
 import re
 
 from .. import fixed
-from ..functions import html
 from . import simulate as sim
 
 _ROLES = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(path), '{n}')''' for n in needles)} THEN '{role}'" for role, needles in fixed.ROLE_PATHS) + " WHEN lower(path) IN ('/', '', '/index.html') THEN 'home'"
@@ -217,45 +216,65 @@ SELECT q_id, bool_or(span <> '') AS has_span, bool_or(needle <> '' AND (contains
 }
 
 
-# Main text in SQL: the same extraction rules, said as nested replacements.
+# Main text in SQL, by rules for the pages at hand: links lie in their navigation alone, so
+# without it, the advertisement and the footer every block stays. Marks stand for tags.
 
 
 def _re(x: str, pattern: str, to: str = "''") -> str:
-    return f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {to}, 'g')"
+    return f"regexp_replace({x}, '{pattern}', {to}, 'g')"
 
 
-def _unescape(x: str) -> str:
-    for code, char in html.ENTITIES:
-        x = f"replace({x}, '{code}', '{char.replace(chr(39), chr(39) * 2)}')"
+def _bare(x: str) -> str:
+    """Without comments, scripts, styles, the head, and a tag that is cut off."""
+    x = _re(f"coalesce({x}, '')", r"<[^<>]*\z")
+    for start, end in (("<!--", "-->"), *((rf"<{t}\b", f"</{t}>") for t in ("script", "style", "head"))):
+        x = _re(x, rf"(?is){start}.*?(?:{end}|\z)")
     return x
 
 
-def _markdown(x: str) -> str:
-    for level in range(1, 7):
-        x = _re(x, rf"(?i)<h{level}(?:\s[^>]*)?>", f"chr(10) || '{'#' * level} '")
-    x = _re(x, html.BLOCK_TAGS, "chr(10)")
-    x = _unescape(_re(x, r"<[^>]*>"))
-    x = _re(_re(x, r"[ \t\r]+", "' '"), r" ?\n[ \n]*", "chr(10)")
-    return f"trim({_re(x, chr(94) + chr(92) + 'n+|' + chr(92) + 'n+$')})"
+def _marked(x: str) -> str:
+    """Lines by chr(10), blocks by chr(1), levels of headings after chr(6), article between chr(2) and chr(3),
+    links between chr(4) and chr(5); entities resolved."""
+    x = _re(_re(x, r"\s+", "' '"), "(?i)<br[^>]*>", "chr(10)")
+    x = _re(_re(x, r"(?i)<a\b[^>]*>", "chr(4)"), "(?i)</a>", "chr(5)")
+    x = _re(_re(x, "(?i)<h([1-6])[^>]*>", r"chr(1) || chr(6) || '\1'"), "(?i)<article[^>]*>", "chr(1) || chr(2)")
+    x = _re(_re(x, "(?i)</article>", "chr(1) || chr(3)"), r"(?i)</?(?:p|div|li|ul|body|html|h[1-6])\b[^>]*>", "chr(1)")
+    x = _re(x, "<[^>]*>")
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{code}', '{char}')"
+    return _re(x, "&amp;?", "'&'")
 
 
-def _recall(x: str) -> str:
-    x = _re(_re(f"coalesce({x}, '')", html.NOISE), r"(?is)<head\b.*?</head>")
-    for name in html.CHROME:
-        x = _re(x, rf"(?is)<{name}\b.*?</{name}>")
-    return _markdown(x)
-
-
-def _precise(x: str) -> str:
-    return _markdown(f"regexp_extract({_re(f'coalesce({x}, {chr(39) * 2})', html.NOISE)}, '{html.ARTICLE}', 1)")
+def _lines(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '[\x02-\x05]|\x06[1-6]', '', 'g'), chr(10)), lambda v: trim(regexp_replace(v, ' +', ' ', 'g'))), lambda v: v <> '')"
 
 
 def _main(table: str, cols: str, x: str) -> str:
-    """``cols`` of ``table`` with text, mode, ratio and html_chars of ``x``."""
-    return f"""SELECT *, CASE WHEN length(rc) < 200 AND length(pr) > length(rc) THEN pr ELSE rc END AS text, CASE WHEN length(rc) < 200 AND length(pr) > length(rc) THEN 'precision' WHEN rc = '' AND pr = '' THEN 'none' ELSE 'recall' END AS mode
-FROM (SELECT {cols}, length(coalesce({x}, '')) AS html_chars, {_recall(x)} AS rc, {_precise(x)} AS pr FROM {table})"""
-
-
+    """``cols`` of ``table`` with text, mode and html_chars of ``x``."""
+    bare = _bare(x)
+    for start, end in (("<nav>", "</nav>"), ('<div class="ad">', "</div>"), ("<footer>", "</footer>")):
+        bare = _re(bare, rf"(?is){start}.*?(?:{end}|\z)", "chr(1)") if start[1] != "d" else _re(bare, rf"(?is){start}.*?(?:{end}|\z)", "'<p>'")
+    level = r"regexp_extract(v, '\x06([1-6])', 1)"
+    one = f"CASE WHEN {level} = '' THEN array_to_string({_lines('v')}, chr(10)) WHEN len({_lines('v')}) > 0 THEN repeat('#', CAST({level} AS INT)) || ' ' || array_to_string({_lines('v')}, ' ') ELSE '' END"
+    return f"""SELECT *, CASE WHEN text = '' THEN 'none' ELSE 'recall' END AS mode FROM (
+  SELECT * EXCLUDE (marked), array_to_string(list_filter(list_transform(string_split(marked, chr(1)), lambda v: {one}), lambda v: v <> ''), chr(10)) AS text
+  FROM (SELECT {cols}, length(coalesce({x}, '')) AS html_chars, {_marked(bare)} AS marked FROM {table}))"""
+
+
+_PLAIN = """replace(replace(replace(html, 'nav>', 'div>'), ' class="ad"', ''), 'footer>', 'div>')"""
+_NEAR = "last_value(CASE WHEN kind IN ('long', 'links') THEN kind END IGNORE NULLS) OVER (PARTITION BY page_id{} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {}, first_value(CASE WHEN kind IN ('long', 'links') THEN kind END IGNORE NULLS) OVER (PARTITION BY page_id{} ORDER BY block ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {}"
+_NEXT = "coalesce(CASE WHEN kind = 'heading' THEN first_value({0} IGNORE NULLS) OVER (PARTITION BY page_id{1} ORDER BY block ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) ELSE {0} END, {2}) AS {3}"
+_MAIN_BLOCKS = f"""WITH m AS (SELECT page_id, string_split({_marked(_bare(_PLAIN))}, chr(1)) AS pieces FROM pages),
+u AS (SELECT page_id, unnest(pieces) AS v, generate_subscripts(pieces, 1) AS i FROM m),
+t AS (SELECT page_id, i, v, {_lines('v')} AS ls, regexp_extract(v, '\\x06([1-6])', 1) AS lv, sum(CASE WHEN contains(v, chr(2)) THEN 1 WHEN contains(v, chr(3)) THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS zone FROM u),
+b AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS block, zone, CASE WHEN lv = '' THEN 0 ELSE CAST(lv AS INT) END AS level, CASE WHEN lv = '' THEN array_to_string(ls, chr(10)) ELSE array_to_string(ls, ' ') END AS text,
+  CAST(length(regexp_replace(array_to_string(regexp_extract_all(v, '\\x04([^\\x05]*)', 1), ''), '\\s', '', 'g')) AS INT) AS link_chars FROM t WHERE len(ls) > 0),
+k AS (SELECT *, CASE WHEN level > 0 THEN 'heading' WHEN 3 * link_chars > length(regexp_replace(text, '\\s', '', 'g')) THEN 'links' WHEN length(text) < 70 THEN 'short' ELSE 'long' END AS kind FROM b),
+n AS (SELECT *, {_NEAR.format("", "ba", "", "aa")}, {_NEAR.format(", zone", "bz", ", zone", "az")} FROM k),
+f AS (SELECT *, CASE WHEN zone = 1 AND coalesce(bz, az) IS NOT NULL THEN list_filter([bz, az], lambda x: x IS NOT NULL) ELSE list_filter([ba, aa], lambda x: x IS NOT NULL) END AS near FROM n),
+r AS (SELECT *, CASE kind WHEN 'long' THEN true WHEN 'links' THEN false WHEN 'short' THEN NOT list_contains(near, 'links') OR (near <> ['links', 'links'] AND link_chars = 0) END AS rk,
+  CASE WHEN kind = 'long' THEN true WHEN kind = 'links' THEN false WHEN kind = 'short' THEN coalesce(bz, az) IS NOT NULL AND coalesce(bz, 'long') = 'long' AND coalesce(az, 'long') = 'long' END AS pk FROM f)
+SELECT page_id, block, level, kind, CAST(length(text) AS INT) AS chars, link_chars, md5(text) AS text_md5, {_NEXT.format("rk", "", "true", "recall")}, zone = 1 AND {_NEXT.format("pk", ", zone", "false", "precision").replace(" AS precision", "")} AS precision FROM r"""
 _DUCK = lambda e: re.sub(r"pmod\(([^,()]+), (\d+)\)", r"((\1) % \2)", e)
 _HTML = f"CASE WHEN contains(html, '</body>') THEN replace(replace({_DUCK(sim.LANG)}, '</head>', {_DUCK(sim.HEAD)}), '</body>', {_DUCK(sim.BODY)}) ELSE replace({_DUCK(sim.LANG)}, '</head>', {_DUCK(sim.HEAD)}) || {_DUCK(sim.BODY)} END"
 _SIM = f"""{_P}, x0 AS (SELECT page_id, url, site_id, {_HTML} AS h FROM p), x AS (
@@ -266,7 +285,8 @@ _SHELL = "(" + " OR ".join(f"{_LOW}{n.lower().replace(chr(39), chr(39) * 2)}')"
 _SIMILAR = "CASE WHEN len(a) + len(b) = 0 THEN NULL ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) END"
 
 ORACLE_SQL |= {
-    "main_text": f"WITH m AS ({_main('pages', 'page_id', 'html')}) SELECT page_id, CAST(length(text) AS BIGINT) AS chars, mode, CASE WHEN html_chars > 0 THEN round(length(text) / html_chars, 5) ELSE 0.0 END AS ratio FROM m",
+    "main_text": f"WITH m AS ({_main('pages', 'page_id', 'html')}) SELECT page_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5, mode, CASE WHEN html_chars > 0 THEN round(length(text) / html_chars, 5) ELSE 0.0 END AS ratio FROM m",
+    "main_blocks": _MAIN_BLOCKS,
     "check_ren001": _check("REN-001", f"SELECT site_id, count(*) AS pages, bool_or(rch > 0) AS compared, count(*) FILTER (rch >= 400) AS usable, avg(round(ch / rch, 4)) FILTER (rch >= 400) AS mr, count(*) FILTER (ch < 300) AS empty, count(*) FILTER (ch < 1200) AS small, bool_or({_SHELL}) AS sh FROM (SELECT nv.site_id, nv.shown, length(nv.text) AS ch, CASE WHEN nv.page_id % 3 = 0 THEN length(rv.text) ELSE 0 END AS rch FROM nv JOIN rv USING (page_id)) GROUP BY site_id",
         "CASE WHEN compared AND usable = 0 THEN 'skip' WHEN compared AND mr >= 0.8 THEN 'pass' WHEN compared AND mr >= 0.4 THEN 'warn' WHEN compared THEN 'fail' WHEN empty > 0 AND sh THEN 'fail' WHEN sh OR small > 0 THEN 'warn' ELSE 'pass' END",
         "CASE WHEN compared THEN 'high' WHEN empty > 0 AND sh THEN 'high' WHEN sh THEN 'low' ELSE 'medium' END", ctes=_SIM),

@@ -112,8 +112,20 @@ def marker_flags(spark, sf_dir):
 
 
 def main_text(spark, sf_dir):
-    text, mode, ratio = H.main_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("chars"), mode.alias("mode"), ratio.alias("ratio"))
+    from ..sources import main_content
+
+    rows = main_content.extract(table(spark, sf_dir, "pages").select("page_id", F.length(F.coalesce("html", F.lit(""))).alias("n"), "html"))
+    chars = F.length("text")
+    return rows.select("page_id", chars.cast("long").alias("chars"), F.md5("text").alias("text_md5"), F.col("extraction_mode").alias("mode"), F.when(F.col("n") > 0, F.round(chars / F.col("n"), 5)).otherwise(0.0).alias("ratio"))
+
+
+def main_blocks(spark, sf_dir):
+    """Pages whose navigation and advertisement are plain divs: told by their links and neighbours."""
+    from ..sources import main_content
+
+    plain = F.replace(F.replace(F.replace("html", F.lit("nav>"), F.lit("div>")), F.lit(' class="ad"'), F.lit("")), F.lit("footer>"), F.lit("div>"))
+    rows = main_content.blocks(table(spark, sf_dir, "pages").select("page_id", plain.alias("html")))
+    return rows.select("page_id", "block", "level", "kind", "chars", "link_chars", F.md5("text").alias("text_md5"), "recall", "precision")
 
 
 def parsed_pages(spark, sf_dir):
@@ -474,7 +486,7 @@ def block_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
+        access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, main_blocks, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
         robots_verdicts, robots_posture, sitemap_files, statuses_by_bot, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
         category_scores, overall_scores, status_counts, top_findings, calibration, llms_sections, generated_robots, generated_json_ld, jaccard_docs_benchmark, question_dedupe,
         question_filter, generation_budget, chunk_docs, prepared_docs, lexical_top_k, lexical_top_k_corpus, vector_top_k, span_recall, parsed_answers, parsed_verdicts, eval_trials,

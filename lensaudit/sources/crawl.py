@@ -16,7 +16,7 @@ from .. import fixed
 from ..functions import html as H
 from ..functions import urls
 from ..functions.text import any_of, bound
-from . import html_parser, structured
+from . import html_parser, main_content, structured
 
 FETCHES = "site_id string, url string, pos int, lens string, final_url string, status int, headers map<string, string>, body string, elapsed_ms int, error string, blocked_by string, redirect_chain array<struct<`from`: string, status: int, `to`: string>>, challenge_marker string"
 
@@ -104,11 +104,10 @@ def extract_bodies(fetches: DataFrame) -> DataFrame:
     rows = fetches.where("body <> ''").select(F.md5("body").alias("sha"), "body")
     rows = rows.groupBy("sha").agg(F.first("body").alias("body"))  # all are the same
     body = F.col("body")
-    rows = rows.select("sha", "body", H.recall_text(body).alias("_recall"), H.framework_markers(body).alias("framework_markers"), H.shell_markers(body).alias("shell_markers"))
-    # each extraction is a column of its own, so that it is evaluated once; the second only where needed
-    rows = rows.withColumn("_precise", F.when(F.length("_recall") < fixed.RECALL_FLOOR, H.precision_text(body)).otherwise(""))
-    text, mode, ratio = H.choose(F.col("_recall"), F.col("_precise"), F.length(body))
-    rows = rows.select("sha", text.alias("text"), mode.alias("extraction_mode"), ratio.alias("extraction_ratio"), F.length(body).alias("html_chars"), "framework_markers", "shell_markers")
+    rows = rows.select("sha", F.length(body).alias("html_chars"), H.framework_markers(body).alias("framework_markers"), H.shell_markers(body).alias("shell_markers"), "body")
+    rows = main_content.extract(rows, "body")
+    ratio = F.round(F.length("text") / F.col("html_chars"), 5)
+    rows = rows.select("sha", "text", "extraction_mode", ratio.alias("extraction_ratio"), "html_chars", "framework_markers", "shell_markers")
     return rows.withColumn("text_chars", F.length("text"))
 
 
