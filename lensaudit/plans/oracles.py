@@ -118,6 +118,10 @@ ORACLE_SQL: dict[str, str] = {
   CAST(m5 <> 0 AS BIGINT) + CAST(page_id % 35 = 14 AS BIGINT) AS canonical_count, CASE m6 WHEN 1 THEN '2024-02-31x' WHEN 2 THEN '2024-02-28' END AS time, CAST(m4 <> 0 AS BIGINT) AS ld_blocks,
   m9 NOT IN (4, 5) AS valid_lang FROM p""",
     "structured_data": f"WITH {_P} SELECT page_id, CAST(m4 <> 0 AS BIGINT) AS blocks, CAST(CASE m4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS parsed, CASE m4 WHEN 1 THEN 'Article' WHEN 3 THEN 'Organization,WebSite,WebPage' ELSE '' END AS types, CAST(m4 = 2 AS BIGINT) AS errors FROM p",
+    "props_items": """SELECT click_id, CAST(CASE WHEN props IS NULL THEN 0 ELSE 2 END AS BIGINT) AS blocks, CAST(CASE WHEN j IS NULL THEN 0 WHEN g THEN 1 + json_array_length(j, '$.items') ELSE 2 END AS BIGINT) AS parsed, CAST(CASE WHEN props IS NULL OR j IS NOT NULL THEN 0 ELSE 2 END AS BIGINT) AS errors,
+  CAST(CASE WHEN j IS NULL THEN 0 WHEN g THEN len(list_filter(CAST(json_extract(j, '$.items') AS JSON[]), lambda x: json_exists(x, '$.sku'))) + CAST(json_exists(j, '$.tags') AS INT) ELSE 2 * CAST(json_exists(j, '$.tags') AS INT) END AS BIGINT) AS with_keys,
+  json_extract_string(j, '$.tags[0]') AS first_tag, CASE WHEN g THEN json_extract_string(j, '$.items[0].sku') END AS first_sku
+FROM (SELECT *, coalesce(json_type(j, '$.items') = 'ARRAY', false) AS g FROM (SELECT *, CASE WHEN json_valid(props) THEN props END AS j FROM clicks))""",
     "marker_flags": "SELECT page_id, CASE page_id % 13 WHEN 1 THEN 'react_root' WHEN 2 THEN 'next' ELSE '' END AS frameworks, CASE page_id % 13 WHEN 1 THEN 'root_div_only' ELSE '' END AS shells, page_id % 13 = 1 OR page_id % 13 = 2 AND page_id % 2 = 0 AS shell FROM pages",
     "parsed_pages": f"WITH {_P} SELECT page_id, title, CASE m9 WHEN 4 THEN 'x_' || regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) WHEN 5 THEN NULL ELSE regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang, CAST(CASE WHEN m8 IN (1, 2, 3, 5) THEN 2 WHEN m8 = 4 THEN 3 ELSE 1 END AS BIGINT) AS n_headings, CAST(m5 <> 0 AS BIGINT) + CAST(page_id % 35 = 14 AS BIGINT) AS canonical_count, CASE m4 WHEN 0 THEN NULL WHEN 1 THEN 'Short.' ELSE 'A description of this café page that is long enough to be read as a summary.' END AS description, CAST(m4 <> 0 AS BIGINT) AS ld_blocks FROM p",
     "url_parts": f"WITH {_P} SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, site_id AS host, path, string_split(trim(path, '/'), '/')[1] AS segment, 'https://' || regexp_replace(url, '^https?://', '') AS normal, url LIKE 'http://ththre.example.com/%' AS same_origin, {_ROLES} ELSE 'article' END AS role FROM p",

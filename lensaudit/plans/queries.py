@@ -101,10 +101,21 @@ def page_tags(spark, sf_dir):
 def structured_data(spark, sf_dir):
     from ..sources import structured
 
-    rows = _pages(spark, sf_dir).select("page_id", structured.parse(H.ld_blocks(F.col("html"))).alias("ld"))
+    rows = structured.parse(_pages(spark, sf_dir).select("page_id", H.ld_blocks(F.col("html")).alias("b")), "b", "ld")
     return rows.select("page_id", F.col("ld.blocks").cast("long").alias("blocks"), F.col("ld.parsed").cast("long").alias("parsed"), F.array_join("ld.types", ",").alias("types"), F.size("ld.errors").cast("long").alias("errors"))
 
 
+def props_items(spark, sf_dir):
+    """The properties of clicks as two blocks: once with their items as @graph, once as they are."""
+    from ..sources import structured
+
+    props = F.col("props")
+    blocks = F.when(props.isNotNull(), F.array(F.replace(props, F.lit('"items"'), F.lit('"@graph"')), props))
+    rows = structured.parse(table(spark, sf_dir, "clicks").select("click_id", blocks.alias("b")), "b", "ld")
+    items = F.col("ld.items")
+    return rows.select("click_id", F.col("ld.blocks").cast("long").alias("blocks"), F.col("ld.parsed").cast("long").alias("parsed"), F.size("ld.errors").cast("long").alias("errors"), F.size(structured.find_items_with(items, ("sku", "tags"))).cast("long").alias("with_keys"), structured.first_value(F.try_element_at(items, F.lit(-1)), "tags").alias("first_tag"), structured.first_value(F.try_element_at(items, F.lit(1)), "sku").alias("first_sku"))
+
+
 def marker_flags(spark, sf_dir):
     html = F.col("html")
     rows = _pages(spark, sf_dir).select("page_id", H.framework_markers(html).alias("f"), H.shell_markers(html).alias("s"))
@@ -486,7 +497,7 @@ def block_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, marker_flags, main_text, main_blocks, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
+        access_evidence, structure_evidence, page_structure, heading_outline, page_tags, structured_data, props_items, marker_flags, main_text, main_blocks, parsed_pages, url_parts, cache_keys, lens_fetches, lens_plan, parity_rows, parity_by_bot,
         robots_verdicts, robots_posture, sitemap_files, statuses_by_bot, sitemap_report, sitemap_sample, sitemap_candidates, date_values, blocked_addresses, role_types, author_signals, page_dates, scores,
         category_scores, overall_scores, status_counts, top_findings, calibration, llms_sections, generated_robots, generated_json_ld, jaccard_docs_benchmark, question_dedupe,
         question_filter, generation_budget, chunk_docs, prepared_docs, lexical_top_k, lexical_top_k_corpus, vector_top_k, span_recall, parsed_answers, parsed_verdicts, eval_trials,

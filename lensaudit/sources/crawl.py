@@ -125,9 +125,10 @@ def page_structure(fetches: DataFrame) -> DataFrame:
     """Structure and structured data of the browser's pages, by the tolerant parser: attributes with
     and without quotes, all entities, of repeated description and robots tags the first."""
     rows = html_parser.extract(fetches.where("lens = 'browser'").select("site_id", "url", "pos", "body"), "body")
+    rows = structured.parse(rows, "ld_blocks", "ld")
     return rows.select(
         "site_id", "url", "pos", urls.path(F.col("url")).alias("path"), "title", "description", "robots_meta", "lang", "canonical", "canonical_count", "meta_tags",
-        F.map_filter("meta_tags", lambda k, _: k.startswith("og:")).alias("og"), "headings", H.skipped_levels(F.col("headings")).alias("skipped"), "time_datetimes", "has_main", "body_text", structured.parse(F.col("ld_blocks")).alias("ld"),
+        F.map_filter("meta_tags", lambda k, _: k.startswith("og:")).alias("og"), "headings", H.skipped_levels(F.col("headings")).alias("skipped"), "time_datetimes", "has_main", "body_text", "ld",
     )
 
 
