@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over item words.
 
 Items are cut into blocks of bounded size; one automaton stands for all substrings of a
-block's items. A document's words are streamed through it, keeping the length of the
+block's items. Each is built once, by a task of its own, and written as flat arrays, which
+the tasks that scan documents read. A document's words are streamed through it, keeping the length of the
 longest match that ends at each word. Runs of words whose pairs occur in no item cannot
 hold a match and are skipped by array operations first.
 """
@@ -9,8 +10,11 @@ hold a match and are skipped by array operations first.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-#: Words of items in one automaton: about 60 MB of states at most. More items are several
-#: automata, of which a worker keeps the first KEPT and builds the others for each batch.
-BLOCK_WORDS, KEPT = 100_000, 4
+#: Words of items in one automaton: about 10 MB as flat arrays. More items are several
+#: automata, of which a worker keeps the first KEPT and reads the others for each batch.
+BLOCK_WORDS, KEPT = 100_000, 12
 BATCH_BYTES = 4_000_000
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -62,7 +66,6 @@ class Automaton:
                     self._items.setdefault(self._up(s), set()).add(k)
         pairs = {a * len(self.vocab) + b for _, ids in items for a, b in zip(ids, ids[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
-        self._chains: dict[int, list] = {}
 
     def _extend(self, last: int, c: int) -> int:
         """Add a word after state ``last`` (0 starts a new item); returns the new last state."""
@@ -101,6 +104,57 @@ class Automaton:
             s = self.link[s]
         return s
 
+    def frozen(self) -> bytes:
+        """The automaton as flat arrays, to be read by ``Frozen``."""
+        n = len(self.vocab)
+        edges = sorted((s * n + c, t) for s, to in enumerate(self.nxt) for c, t in to.items())
+        found = {k for items in self._items.values() for k in items} | {k for short in self._short.values() for _, k in short}
+        names = sorted(found, key=lambda k: (k is None, k))
+        at = {k: i for i, k in enumerate(names)}
+        windows = sorted((s, at[k]) for s, items in self._items.items() for k in items)
+        short = sorted((s, m, at[k]) for s, some in self._short.items() for m, k in some)
+        out = io.BytesIO()
+        np.savez(
+            out, words=np.frombuffer(b" ".join(self.vocab), np.uint8), names=np.frombuffer(json.dumps(names).encode(), np.uint8), limits=np.array([self.window, self.shortest]), pairs=self.pairs,
+            edges=np.array([e for e, _ in edges], np.int64), to=np.array([t for _, t in edges], np.int32), link=np.array(self.link, np.int32), len=np.array(self.len, np.int32),
+            windows=np.array(windows, np.int32).reshape(-1, 2), short=np.array(short, np.int32).reshape(-1, 3),
+        )
+        return out.getvalue()
+
+    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, object]]:
+        """As ``Frozen.stream``."""
+        return Frozen(self.frozen()).stream(ids)
+
+
+class Frozen:
+    """A finished automaton over flat arrays: edges are found by binary search."""
+
+    def __init__(self, data: bytes):
+        got = np.load(io.BytesIO(data))
+        self.vocab = {w: i for i, w in enumerate(got["words"].tobytes().split())}
+        self.window, self.shortest = map(int, got["limits"])
+        self.pairs = got["pairs"]
+        self._names = json.loads(got["names"].tobytes())
+        self._edges, self._to, self._link, self._len = (array(t, got[k].tobytes()) for k, t in (("edges", "q"), ("to", "i"), ("link", "i"), ("len", "i")))
+        self._windows, self._window_items = array("i", got["windows"][:, 0].tobytes()), got["windows"][:, 1]
+        self._short: dict[int, list] = {}
+        for s, m, k in got["short"].tolist():
+            self._short.setdefault(s, []).append((m, self._names[k]))
+        self._chains: dict[int, list] = {}
+
+    def _step(self, s: int, c: int) -> int:
+        """The state after word ``c`` in state ``s``; -1 without such an edge."""
+        key = s * len(self.vocab) + c
+        i = bisect_left(self._edges, key)
+        return self._to[i] if i < len(self._edges) and self._edges[i] == key else -1
+
+    def _found(self, s: int) -> set:
+        """The items that hold the last ``window`` words of a state's strings."""
+        while self._len[self._link[s]] >= self.window:
+            s = self._link[s]
+        a = bisect_left(self._windows, s)
+        return {self._names[k] for k in self._window_items[a : bisect_left(self._windows, s + 1, a)]}
+
     def _chain(self, s: int) -> list:
         """(state, length, item) of the whole short items that end strings of ``s``."""
         if not self._short:
@@ -110,7 +164,7 @@ class Automaton:
             got, t = [], s
             while t > 0:
                 got += [(t, n, k) for n, k in self._short.get(t, ())]
-                t = self.link[t]
+                t = self._link[t]
             self._chains[s] = got
         return got
 
@@ -134,19 +188,21 @@ class Automaton:
         """(first, last word, items) of the last window or short item of matches, over one stretch."""
         s = n = 0
         for i, c in enumerate(ids):
-            while s and c not in self.nxt[s]:
-                s = self.link[s]
-                n = self.len[s]
-            s = self.nxt[s].get(c, 0)
+            t = self._step(s, c) if c >= 0 else 0
+            while t < 0 and s:
+                s = self._link[s]
+                n = self._len[s]
+                t = self._step(s, c)
+            s = max(t, 0)
             n = n + 1 if s else 0
             if n >= self.window:
-                yield i - self.window + 1, i, self._items[self._up(s)]
+                yield i - self.window + 1, i, self._found(s)
             for t, m, k in self._chain(s):
                 if t != s or m <= n:
                     yield i - m + 1, i, {k}
 
 
-def scan(texts: list[str | None], automata: Iterator[Automaton]) -> list[tuple[np.ndarray, set]]:
+def scan(texts: list[str | None], automata: Iterator[Frozen]) -> list[tuple[np.ndarray, set]]:
     """For each text, which of its words are hit, and the items whose windows occur."""
     split = [words(t) for t in texts]
     size = np.array([len(w) for w in split], np.int64)
@@ -202,27 +258,45 @@ def _write_items(benchmark: DataFrame, uri: str) -> list[list[str]]:
     return blocks
 
 
-class _Items:
-    """The automata of all blocks: the first KEPT are built once, of the others one at a time is held."""
+def _write_automata(benchmark: DataFrame, window: int) -> list[str]:
+    """URIs of the frozen automata of all blocks, each built by one task."""
+    spark, uri = benchmark.sparkSession, common.work_dir(benchmark.sparkSession, "items")
+    blocks = _write_items(benchmark, uri)
+    if not blocks:
+        return []
 
-    def __init__(self, blocks: list[list[str]], window: int):
-        self._blocks, self._window = blocks, window
-        self._kept: list[Automaton] = []
+    def build(batches):
+        for b in batches:
+            made = []
+            for i, uris in zip(b.column("block").to_pylist(), b.column("uris").to_pylist()):
+                items = [item for u in uris for item in json.loads(_read(u))]
+                made.append(f"{uri}/automaton-{i:06d}.npz")
+                common.put_file(made[-1], [Automaton([(k, words(t)) for k, t in items], window).frozen()])
+            yield pa.RecordBatch.from_pydict({"uri": pa.array(made, pa.string())})
+
+    rows = spark.createDataFrame(list(enumerate(blocks)), "block int, uris array<string>").repartition(len(blocks))
+    return sorted(r.uri for r in rows.mapInArrow(build, "uri string").collect())  # a row for each block
+
+
+def _read(uri: str) -> bytes:
+    fs, path = common.open_uri(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+class _Items:
+    """The automata of all blocks: the first KEPT are read once, of the others one at a time is held."""
 
-    def _build(self, uris: list[str]) -> Automaton:
-        items = []
-        for uri in uris:
-            fs, path = common.open_uri(uri)
-            with fs.open_input_file(path) as f:
-                items += json.loads(f.read())
-        return Automaton([(k, words(t)) for k, t in items], self._window)
+    def __init__(self, uris: list[str]):
+        self._uris = uris
+        self._kept: list[Frozen] = []
 
     def __iter__(self):
-        for i, uris in enumerate(self._blocks):
+        for i, uri in enumerate(self._uris):
             if i < len(self._kept):
                 yield self._kept[i]
                 continue
-            auto = self._build(uris)
+            auto = Frozen(_read(uri))
             if i < KEPT:
                 self._kept.append(auto)
             yield auto
@@ -239,10 +313,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     are rows of their own; texts of any length are read whole. An empty table gives an
     empty result, an empty benchmark no hits. Other columns are ignored.
     """
-    uris = _write_items(benchmark, common.work_dir(docs.sparkSession, "items"))
+    uris = _write_automata(benchmark, window)
 
     def run(batches):
-        automata = _Items(uris, window)
+        automata = _Items(uris)
         for b in common.batched(batches, "text", BATCH_BYTES):
             found = scan(b.column("text").to_pylist(), automata)
             n, hit = [len(h) for h, _ in found], [int(h.sum()) for h, _ in found]
@@ -273,10 +347,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     stay. Without it these are unchanged. Null and empty texts stay; an empty table stays
     empty. Needs no shuffle.
     """
-    uris = _write_items(benchmark, common.work_dir(docs.sparkSession, "items"))
+    uris = _write_automata(benchmark, window)
 
     def run(batches):
-        automata = _Items(uris, window)
+        automata = _Items(uris)
         for b in common.batched(batches, "text", BATCH_BYTES):
             texts = b.column("text").to_pylist()
             found = scan(texts, automata)

@@ -79,3 +79,28 @@ def test_a_long_match_is_marked_once_a_word():
     auto = D.Automaton([("a", ws)])
     got = list(auto.stream([auto.vocab[w] for w in ws]))
     assert len(got) == 5000 - 12 and all(j - i + 1 == 13 for i, j, _ in got)
+
+
+def test_automata_beyond_those_kept(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(D, "KEPT", 1)
+    rng = random.Random(8)
+    item = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, item(rng.randrange(1, 25))) for i in range(15)]
+    docs = [(i, " . ".join((item(rng.randrange(30)), rng.choice(items)[1]))) for i in range(40)]
+    uris = D._write_automata(spark.createDataFrame(items, "item_id long, text string").coalesce(1), D.WINDOW)
+    assert len(uris) > 3
+    automata = D._Items(uris)
+    for _ in range(2):  # a second batch meets the same ones
+        for (_, t), (hit, names) in zip(docs, D.scan([t for _, t in docs], automata)):
+            w, want, found = _brute(t, items)
+            assert (set(np.flatnonzero(hit)), sorted(names)) == (want, found)
+    assert len(automata._kept) == 1
+
+
+def test_a_frozen_automaton_is_the_same_however_often_it_is_built():
+    items = [("b", [b"x", b"y"] * 20), ("a", [b"x", b"y"] * 9), (None, [b"z"]), ("c", [b"z"])]
+    assert D.Automaton(items).frozen() == D.Automaton(items).frozen()
+    flat = D.Frozen(D.Automaton(items).frozen())
+    assert [names for _, _, names in flat.stream([2])] == [{"c"}, {None}]
+    assert D.Frozen(D.Automaton([]).frozen()).vocab == {}
