@@ -32,3 +32,8 @@ def crawl(spark):
 def test_parity_of_each_page_with_itself(crawl):
     rows = checks.parity_rows(crawl).orderBy("pos").collect()
     assert [(r.pos, r.size_ratio, r.similarity) for r in rows] == [(0, 1.0, 1.0), (1, 1.0, 1.0), (2, rows[2].size_ratio, None)]
+
+
+def test_rendered_text_of_each_page_beside_its_own(crawl):
+    r = checks.nojs_text(crawl).select(F.get_json_object("evidence", "$.pages").alias("pages"), F.get_json_object("evidence", "$.mean_ratio").cast("double").alias("ratio")).first()
+    assert (r.pages, r.ratio) == ("3", 1.0)
