@@ -37,3 +37,7 @@ def test_parity_of_each_page_with_itself(crawl):
 def test_rendered_text_of_each_page_beside_its_own(crawl):
     r = checks.nojs_text(crawl).select(F.get_json_object("evidence", "$.pages").alias("pages"), F.get_json_object("evidence", "$.mean_ratio").cast("double").alias("ratio")).first()
     assert (r.pages, r.ratio) == ("3", 1.0)
+
+
+def test_authors_of_each_page(crawl):
+    assert {(r.pos, r.value) for r in checks.author_rows(crawl).collect()} == {(0, "Ann"), (1, None), (2, None)}
