@@ -41,3 +41,7 @@ def test_rendered_text_of_each_page_beside_its_own(crawl):
 
 def test_authors_of_each_page(crawl):
     assert {(r.pos, r.value) for r in checks.author_rows(crawl).collect()} == {(0, "Ann"), (1, None), (2, None)}
+
+
+def test_dates_of_each_page(crawl):
+    assert {(r.pos, r.dates) for r in checks.page_dates(crawl).collect()} == {(0, 1), (1, 0), (2, 0)}
