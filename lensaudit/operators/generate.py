@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text, urls
+from ..sources.crawl import PAGE
 
 
 def page_entries(views: DataFrame, structure: DataFrame, sites: DataFrame) -> DataFrame:
     """Pages with text: site_id, url, pos, label, is_start and section (first path segment)."""
-    seen = views.where("lens = 'browser-nojs'").where(F.trim("text") != "").select("site_id", "url")
-    rows = structure.join(seen, ["site_id", "url"], "left_semi").join(sites.select("site_id", "start_url"), "site_id")
+    seen = views.where("lens = 'browser-nojs'").where(F.trim("text") != "").select(*PAGE)
+    rows = structure.join(seen, list(PAGE), "left_semi").join(sites.select("site_id", "start_url"), "site_id")
     label = F.coalesce(F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit("")), F.col("url"))
-    return rows.select("site_id", "url", "pos", label.alias("label"), (urls.bare(F.col("url")) == urls.bare(F.col("start_url"))).alias("is_start"), urls.segment(F.col("url")).alias("section"))
+    return rows.select(*PAGE, label.alias("label"), (urls.bare(F.col("url")) == urls.bare(F.col("start_url"))).alias("is_start"), urls.segment(F.col("url")).alias("section"))
 
 
 def sections(entries: DataFrame) -> DataFrame:

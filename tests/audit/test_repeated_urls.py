@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lensaudit.operators import checks
+from lensaudit.operators import checks, generate
 from lensaudit.plans import audit
 from lensaudit.sources import crawl as C
 
@@ -45,3 +45,7 @@ def test_authors_of_each_page(crawl):
 
 def test_dates_of_each_page(crawl):
     assert {(r.pos, r.dates) for r in checks.page_dates(crawl).collect()} == {(0, 1), (1, 0), (2, 0)}
+
+
+def test_only_pages_with_text_are_entries(crawl):
+    assert {r.pos for r in generate.page_entries(crawl.views, crawl.structure, crawl.sites).collect()} == {0, 1}
