@@ -119,3 +119,47 @@ def test_rows(spark):
     got = M.blocks(df).select("id", "block", "level", "kind", "recall", "precision").collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, "long", True, True), (1, 1, 2, "heading", True, False)]
     assert M.blocks(df.limit(0)).collect() == []
+
+
+def test_a_large_batch_is_read_in_slices():
+    """What is made of one batch does not grow with its rows or their length."""
+    import pyarrow as pa
+
+    from lensaudit.sources import shared
+
+    texts = ["x" * 10, None, ""] * 300 + ["y" * (shared.SLICE_BYTES + 1)] * 2 + ["z" * (shared.SLICE_BYTES // 2)] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "html"])
+    got = list(shared.slices([batch, batch.slice(0, 0)], "html"))
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(len(texts)))
+    assert max(b.num_rows for b in got) <= shared.SLICE_ROWS and all(b.num_rows <= 1 or sum(len(t or "") for t in b.column("html").to_pylist()) <= shared.SLICE_BYTES for b in got)
+
+
+def test_every_parser_of_pages_yields_slices(monkeypatch):
+    import pyarrow as pa
+
+    from lensaudit.operators import chunking
+    from lensaudit.sources import html_parser, main_content, shared
+
+    n = 3 * shared.SLICE_ROWS
+
+    class Rows:
+        """Takes what a step would run on each batch."""
+
+        columns = ["id", "html"]
+
+        class schema:
+            def __iter__(self):
+                return iter(())
+
+        schema = schema()
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            return [b.num_rows for b in run([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["<p>Some words.</p>"] * n), pa.array(["Some words."] * n)], ["id", "html", "_text"])])]
+
+    monkeypatch.setattr(chunking.F, "col", lambda c: type("C", (), {"alias": lambda self, n: self})())  # without a session
+    for step in (lambda r: html_parser.extract(r), lambda r: main_content.extract(r), lambda r: main_content.blocks(r), lambda r: chunking.chunks(r, ["id"])):
+        sizes = step(Rows())
+        assert len(sizes) == 3 and sum(sizes) == n
