@@ -37,3 +37,26 @@ def test_frequent_words_alone_make_no_pairs(spark):
     c = spark.createDataFrame(chunks, "page string, chunk_idx int, heading_path string, text string").select("page", "chunk_idx", T.tokens(F.col("text")).alias("_t"))
     q = spark.createDataFrame([(1, "the of and a zebra quagga")], "q_id long, question string").select("q_id", T.tokens(F.col("question")).alias("_q"))
     assert retrieval.candidates(q, c, ["page"], 5).count() == 5
+
+
+def test_a_block_of_vectors_is_scored_by_slices():
+    """Not all scores of a block are held at once; they are those of the whole product."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lensaudit.operators import retrieval
+
+    n, k = 2048, 3
+    v = np.random.default_rng(1).integers(-9, 9, (n, 4)).astype(float)
+    rows = pa.chunked_array([pa.array(list(v))])
+    tracemalloc.start()
+    at, score = retrieval.nearest(rows, rows, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8
+    unit = retrieval.unit_rows(rows)
+    whole = np.round(unit @ unit.T, 12) + 0.0
+    want = np.argsort(-whole, axis=1, kind="stable")[:, :k]
+    assert (at.reshape(n, k) == want).all() and (score.reshape(n, k) == np.take_along_axis(whole, want, 1)).all()
