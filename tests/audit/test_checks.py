@@ -94,3 +94,12 @@ def test_for_page_with_more_questions_than_fit_a_hand_written_file(spark):
     pages = spark.createDataFrame([("u0",), ("v",), ("w",), (None,)], "url string")
     got = {r.url: r["count"] for r in Q.for_page(rows, pages).groupBy("url").count().collect()}
     assert got == {"u0": 6000, "v": 1, "w": 12_000, None: 12_000}
+
+
+def test_reports_and_scores_read_written_results(spark):
+    """Checks are run once, whatever reads their results."""
+    from lensaudit.plans import queries
+
+    got = queries.QUERIES["site_reports"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and got.where("version IS NOT NULL").count() == queries.sim.sites(queries._pages(spark, "/root/testdata/sf0.001")).count()
