@@ -39,6 +39,24 @@ def test_frequent_words_alone_make_no_pairs(spark):
     assert retrieval.candidates(q, c, ["page"], 5).count() == 5
 
 
+def test_corpus_texts_are_read_once(spark):
+    """Chunks of no page are of the corpus too, and two of one number stay two."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def say(i):
+        seen.add(1)
+        return f"the of w{i}"
+
+    chunks = spark.range(50).select(F.expr("CASE WHEN id <> 7 THEN 'p' END").alias("page"), F.expr("CAST(if(id = 9, 8, id) AS INT)").alias("chunk_idx"), F.lit("").alias("heading_path"), F.udf(say)("id").alias("text"))
+    q = spark.createDataFrame([(1, "the w7"), (2, "w8 W9"), (3, "nowhere")], "q_id long, question string")
+    got = retrieval.lexical_top_k_corpus(q, chunks, ["page"], 2)
+    rows = sorted((r.q_id, r["rank"], r.page, r.chunk_idx, round(r.score, 6)) for r in got.collect())
+    assert rows == [(1, 1, None, 7, 0.816497), (1, 2, "p", 0, 0.408248), (2, 1, "p", 8, 0.408248), (2, 2, "p", 8, 0.408248)]
+    assert seen.value == 50
+
+
 def test_a_block_of_vectors_is_scored_by_slices():
     """Not all scores of a block are held at once; they are those of the whole product."""
     import tracemalloc
