@@ -39,6 +39,20 @@ def test_frequent_words_alone_make_no_pairs(spark):
     assert retrieval.candidates(q, c, ["page"], 5).count() == 5
 
 
+def test_only_words_that_a_page_is_asked_for_become_rows(spark):
+    from pyspark.sql import functions as F
+
+    asked = spark.createDataFrame([("p", 1, 2, "zebra"), ("p", 1, 2, "w5"), ("q", 2, 1, "w7")], "page string, q_id int, nq int, term string")
+    chunks = [("p", 0, [f"w{i}" for i in range(100)]), ("p", 1, ["zebra", "w5", "x"]), ("q", 0, ["w5", "w7"]), ("q", 1, ["w5"]), ("r", 0, ["w5"])]
+    got = retrieval.sought(asked, spark.createDataFrame(chunks, "page string, chunk_idx int, _t array<string>"), ["page"])
+    assert sorted(map(tuple, got.collect())) == [("p", 0, 100, "w5"), ("p", 1, 3, "w5"), ("p", 1, 3, "zebra"), ("q", 0, 2, "w7")]
+    q = spark.createDataFrame([("p", 1, "Zebra w5"), ("p", 3, ""), ("q", 2, "w7"), ("r", 4, "none")], "page string, q_id int, question string")
+    c = spark.createDataFrame(chunks, "page string, chunk_idx int, _t array<string>").select("page", "chunk_idx", F.lit("").alias("heading_path"), F.array_join("_t", "\u3000\n").alias("text"))
+    top = retrieval.lexical_top_k(q, c, ["page"], 2).collect()
+    want = [(1, 1, 1, 0.816497), (1, 2, 0, 0.070711), (2, 1, 0, 0.707107), (2, 2, 1, 0.0), (3, 1, 0, 0.0), (3, 2, 1, 0.0), (4, 1, 0, 0.0)]
+    assert sorted((r.q_id, r["rank"], r.chunk_idx, round(r.score, 6)) for r in top) == want
+
+
 def test_corpus_texts_are_read_once(spark):
     """Chunks of no page are of the corpus too, and two of one number stay two."""
     from pyspark.sql import functions as F
