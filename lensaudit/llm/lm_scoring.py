@@ -36,7 +36,9 @@ CHUNK_BYTES = 16_000_000
 STRIDE, BATCH, NOISE, RATE = 1, 4096, 64, 0.1
 #: Words are members that occur sqrt(training tokens) / MEMBERS times; noise words of a class in a batch.
 MEMBERS, INNER_NOISE = 4, 4
-SCORE_BATCH, INNER_BATCH = 8192, 65536
+SCORE_BATCH, INNER_BATCH = 1024, 65536  # scores of the first stay in a core's cache
+#: Scores within this need no shift before they are exponentials of 32 bits.
+SAFE = 60
 
 
 def held_out(col: str = "doc_id"):
@@ -153,7 +155,22 @@ def _by_row(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first].astype(np.int64), np.add.reduceat(values[order], first)
+    return at[first].astype(np.int64), np.add.reduceat(values.take(order, 0), first)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows."""
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _log_shares(r: np.ndarray, q: np.ndarray, own: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """For each row of ``r`` the log of the share that ``own``, a row of ``q``, has in the exponentials of r . q, made in ``room``."""
+    x = np.matmul(r, q.T, out=room[: len(r) * len(q)].reshape(len(r), len(q)))
+    if x.max() > SAFE or x.min() < -SAFE:
+        x -= x.max(1, keepdims=True)
+    got = x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    return got - np.log((x @ np.ones(len(q), np.float32)).astype(np.float64))
 
 
 class Network:
@@ -183,6 +200,7 @@ class Network:
         self.c = np.ones((CONTEXT, WIDTH), np.float32)
         self.b = np.log(noise).astype(np.float32)
         self.sums = [np.full(p.shape, 1e-2, np.float32) for p in self.parameters()]
+        self.room = np.empty((BATCH, NOISE), np.float32)
 
     def parameters(self):
         return [self.e, self.q, self.c, self.b, self.q2, self.b2]
@@ -203,13 +221,17 @@ class Network:
         """One batch of noise-contrastive estimation; the noise words are shared by the batch."""
         n, symbol = len(word), self.symbol[word]
         noise = rng.choice(SYMBOLS, NOISE, p=self.noise)
-        e = [self.e[ctx[:, i]] for i in range(CONTEXT)]
+        e = [self.e.take(ctx[:, i], 0) for i in range(CONTEXT)]
         r = sum(x * self.c[i] for i, x in enumerate(e))
         prior = np.log(NOISE * self.noise).astype(np.float32)
-        own = self.q[symbol]
-        true = 1 / (1 + np.exp(-((r * own).sum(1) + self.b[symbol] - prior[symbol])))
-        false = 1 / (1 + np.exp(-(r @ self.q[noise].T + self.b[noise] - prior[noise])))
-        up, down = (1 - true)[:, None], -false
+        own = self.q.take(symbol, 0)
+        true = 1 / (1 + np.exp(-(_dot(r, own) + (self.b - prior)[symbol])))
+        down = np.matmul(r, -self.q[noise].T, out=self.room[:n])  # up to BATCH positions
+        down -= (self.b - prior)[noise]
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        up = (1 - true)[:, None]
         dr = up * own + down @ self.q[noise]
         dq, db = np.zeros_like(self.q), np.bincount(symbol, up[:, 0], SYMBOLS).astype(np.float32)
         at, d = _by_row(symbol, up * r)
@@ -217,8 +239,8 @@ class Network:
         np.add.at(dq, noise, down.T @ r)
         np.add.at(db, noise, down.sum(0))
         inner = self._inner(word, symbol, r, dr, rng) if self.members else []
-        dc = np.stack([(dr * x).sum(0) for x in e])
-        at, de = _by_row(ctx.T.ravel(), np.concatenate([dr * c for c in self.c]))
+        dc = np.stack([np.einsum("ij,ij->j", dr, x) for x in e])
+        at, de = _by_row(ctx.T.ravel(), (dr * self.c[:, None]).reshape(-1, WIDTH))
         full = slice(None)
         p, s = self.parameters(), self.sums
         # rare words take sums: means over the batch would vanish beside the start of their sums of squares
@@ -232,19 +254,19 @@ class Network:
         if not len(low):
             return []
         low = low[np.argsort(symbol[low], kind="stable")]
-        cls, out, r = symbol[low].astype(np.int64) - 1 - HEAD, word[low].astype(np.int64) - 1 - HEAD, r[low]
+        cls, out, r = symbol[low].astype(np.int64) - 1 - HEAD, word[low].astype(np.int64) - 1 - HEAD, r.take(low, 0)
         draw = np.searchsorted(self.cum, np.arange(CLASSES)[:, None] + rng.random((CLASSES, INNER_NOISE)), "right")
         noise = self.order[np.clip(draw, self.cut[:-1, None], self.cut[1:, None] - 1)]
         bias = self.b2 - np.log(INNER_NOISE * self.share).astype(np.float32)
-        own = self.q2[out]
-        up = 1 - 1 / (1 + np.exp(-((r * own).sum(1) + bias[out])))
+        own = self.q2.take(out, 0)
+        up = 1 - 1 / (1 + np.exp(-(_dot(r, own) + bias[out])))
         back = up[:, None] * own
         first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
         rows, grads, steps = [out], [up[:, None] * r], [up]
         for m in range(INNER_NOISE):
             at = noise[cls, m]
-            q = self.q2[at]
-            down = -1 / (1 + np.exp(-((r * q).sum(1) + bias[at])))
+            q = self.q2.take(at, 0)
+            down = -1 / (1 + np.exp(-(_dot(r, q) + bias[at])))
             back += down[:, None] * q
             rows.append(at[first])
             grads.append(np.add.reduceat(down[:, None] * r, first))
@@ -255,35 +277,31 @@ class Network:
 
     def log10(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of codes, by products of whole batches."""
-        tables = [self.e * self.c[i] for i in range(CONTEXT)]
-        out, symbol = np.empty(len(word)), self.symbol[word]
-        for a in range(0, len(word), SCORE_BATCH):
-            s = slice(a, a + SCORE_BATCH)
-            r = tables[0][ctx[s, 0]]
+        beside = lambda x, y: np.column_stack([x, y]).astype(np.float32)
+        tables = [beside(self.e * self.c[i], np.full(len(self.e), i == 0)) for i in range(CONTEXT)]  # r ends in 1, which meets the biases
+        q, q2 = beside(self.q, self.b), beside(self.q2, self.b2)[self.order]
+        out, symbols = np.empty(len(word)), self.symbol[word]
+        room = np.empty(SCORE_BATCH * max(SYMBOLS, np.diff(self.cut).max()), np.float32)
+        for a in range(0, len(word), INNER_BATCH):
+            symbol, ours = symbols[a : a + INNER_BATCH], out[a : a + INNER_BATCH]
+            r = tables[0].take(ctx[a : a + INNER_BATCH, 0], 0)
             for i in range(1, CONTEXT):
-                r = r + tables[i][ctx[s, i]]
-            x = r @ self.q.T
-            x += self.b
-            x -= x.max(1, keepdims=True)
-            got = x[np.arange(len(x)), symbol[s]]
-            np.exp(x, out=x)
-            out[s] = got - np.log(x.sum(1, dtype=np.float64))
-        for a in range(0, len(word) if self.members else 0, INNER_BATCH):
-            low = a + np.flatnonzero(symbol[a : a + INNER_BATCH] > HEAD)
+                r += tables[i].take(ctx[a : a + INNER_BATCH, i], 0)
+            for z in range(0, len(r), SCORE_BATCH):
+                s = slice(z, z + SCORE_BATCH)
+                ours[s] = _log_shares(r[s], q, symbol[s], room)
+            if not self.members:
+                continue
+            low = np.flatnonzero(symbol > HEAD)
             low = low[np.argsort(symbol[low], kind="stable")]
-            r = sum(t[ctx[low, i]] for i, t in enumerate(tables))
+            r, own = r.take(low, 0), word[a : a + INNER_BATCH][low].astype(np.int64)
             place = np.searchsorted(symbol[low], 1 + HEAD + np.arange(CLASSES + 1))
             for k in range(CLASSES):
-                at, rows = slice(place[k], place[k + 1]), self.order[self.cut[k] : self.cut[k + 1]]
-                if place[k] == place[k + 1] or len(rows) == 1:
-                    continue
-                x = r[at] @ self.q2[rows].T
-                x += self.b2[rows]
-                x -= x.max(1, keepdims=True)
-                own = word[low[at]].astype(np.int64)  # the rest is first, members of a class follow each other
-                got = x[np.arange(len(x)), np.where(own < SYMBOLS, 0, own - 1 - HEAD - rows[1] + 1)]
-                np.exp(x, out=x)
-                out[low[at]] += got - np.log(x.sum(1, dtype=np.float64))
+                for z in range(place[k], place[k + 1] if self.cut[k + 1] - self.cut[k] > 1 else 0, SCORE_BATCH):
+                    s = slice(z, min(z + SCORE_BATCH, place[k + 1]))
+                    # the rest is first, members of a class follow each other
+                    at = np.where(own[s] < SYMBOLS, 0, own[s] - HEAD - self.order[self.cut[k] + 1])
+                    ours[low[s]] += _log_shares(r[s], q2[self.cut[k] : self.cut[k + 1]], at, room)
         return out / np.log(10)
 
 

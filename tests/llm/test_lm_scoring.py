@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lensaudit.llm import lm_scoring as M
 
@@ -95,3 +96,17 @@ def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
     rows = M.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).where("held_out").collect()
     assert seen == [400] and sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert M._least(120000) == 87 and M._least(100 * 120000) > 3 * M._least(120000)
+
+
+@pytest.mark.parametrize("large", [1, 40])
+def test_shares_are_made_in_one_room(large):
+    """Small scores are not shifted, those beyond 32 bits are; both are the shares of 64 bits."""
+    rng = np.random.default_rng(large)
+    r, q = (large * rng.normal(0, 1, (n, 17)).astype(np.float32) for n in (100, 256))
+    own, room = rng.integers(0, 256, 100), np.empty(1024 * 256, np.float32)
+    x = r.astype(float) @ q.T.astype(float)
+    top = x.max(1, keepdims=True)
+    want = (x - top)[np.arange(100), own] - np.log(np.exp(x - top).sum(1))
+    room[:] = -1
+    got = M._log_shares(r, q, own, room)
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5) and (room[: 100 * 256] >= 0).all() and (room[100 * 256 :] == -1).all()
