@@ -121,6 +121,21 @@ def test_rows(spark):
     assert M.blocks(df.limit(0)).collect() == []
 
 
+def test_ratio_of_main_text_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    page = f"<p>{'x' * 995}</p>"
+    pages = [(1, page + " " * (1600 - len(page))), (2, page), (3, ""), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.chars, r.ratio) for r in entry.queries()["main_text"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == con.execute(f"SELECT page_id, chars, ratio FROM ({entry.oracle_sql()['main_text']}) ORDER BY 1").fetchall()
+    assert got == [(1, 995, 0.62187), (2, 995, round(995 / 1002, 5)), (3, 0, 0.0), (4, 0, 0.0)]
+
+
 def test_a_large_batch_is_read_in_slices():
     """What is made of one batch does not grow with its rows or their length."""
     import pyarrow as pa

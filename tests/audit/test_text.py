@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +30,14 @@ def test_intervals_and_buckets(spark):
     assert round(row[0] * 50) == 14 and tuple(row)[1:] == (0.0, 0.0, "b")
 
 
+@pytest.mark.parametrize("digits", [4, 5])
+def test_ratios_between_two_steps_are_rounded_as_in_sql(spark, digits):
+    n = 2 * 10**digits
+    got = spark.range(1, n, 2).select(numbers.share(F.col("id"), F.lit(n), digits)).toArrow()[0].to_pylist()
+    assert got == [r[0] for r in duckdb.execute(f"SELECT round(i / {n}, {digits}) FROM range(1, {n}, 2) t(i) ORDER BY i").fetchall()]
+    assert one(spark, numbers.share(F.lit(1), F.lit(0)), numbers.share(F.lit(995), F.lit(1600), 5)) == (None, 0.62187)
+
+
 @pytest.mark.parametrize(("url", "want"), [(" a.net/x ", "https://a.net/x"), ("http://b", "http://b"), ("ftp://c", None), ("https://", None)])
 def test_normal_urls(spark, url, want):
     assert one(spark, urls.normalize(F.lit(url)))[0] == want
